@@ -56,20 +56,21 @@ def _classes() -> tuple[str, str, str]:
 
 
 @functools.cache
-def piece_pattern() -> re.Pattern:
+def pattern_source() -> str:
     """The public pattern of byte_bpe_50k: contractions, words, numbers, marks, blanks."""
     letter, number, space = _classes()
-    return re.compile(
+    return (
         f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     )
 
 
 class PrefixEncoder:
-    """Encoder over a ``.tiktoken`` rank file (base64 token, rank), rank order = merge order."""
+    """Encoder by ``pattern`` over a ``.tiktoken`` rank file (base64 token, rank), rank order = merge order."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         import ahocorasick
 
+        self.pieces = re.compile(pattern).findall
         self.rank: dict[str, int] = {}
         with open(path, "rb") as f:
             for line in f:
@@ -147,7 +148,7 @@ class PrefixEncoder:
         """Ids of a stretch that starts and ends where pieces do."""
         out: list[int] = []
         memory = self.memory
-        for p in piece_pattern().findall(text):
+        for p in self.pieces(text):
             ids = memory.get(p)
             if ids is None:
                 ids = memory[p] = self.piece(p)
@@ -181,8 +182,8 @@ class PrefixEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PrefixEncoder:
-    return PrefixEncoder(path)
+def encoder(path: str, pattern: str) -> PrefixEncoder:
+    return PrefixEncoder(path, pattern)
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
@@ -194,9 +195,10 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
     One pass without a shuffle.
     """
     path = vocabulary or default_tokenizer_path("byte_bpe_50k.tiktoken")
+    pattern = pattern_source()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, pattern)
         for b in batches:
             texts = b.column(1).to_pylist()
             flat: list[int] = []
@@ -215,9 +217,10 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
 def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
     """(id, n_tokens): as encode_texts, but only the number of ids; 0 for null and empty texts."""
     path = vocabulary or default_tokenizer_path("byte_bpe_50k.tiktoken")
+    pattern = pattern_source()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, pattern)
         for b in batches:
             n = [sum(map(len, enc.encode(t))) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
