@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, canon, pack, pairs, reading, sentences, split, topn
+from . import bpe, canon, pack, pairs, reading, scan, sentences, split, topn
 
 QUERIES = {
     "p1_found": pairs.p1_found,
+    "p2_found": scan.p2_found,
+    "p2_repaired": scan.p2_repaired,
     "p3_found": split.p3_found,
     "p3_pieces": split.p3_pieces,
     "p4_found": sentences.p4_found,
