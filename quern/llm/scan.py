@@ -30,7 +30,9 @@ from . import canon
 #: Share of all tokens that makes one part of the vocabulary, and the count it needs in any case.
 FREQUENT, FREQUENT_LEAST = 1e-6, 4
 #: How many times more often a correction must be found than what stands there.
-TIMES = 12
+TIMES = 8
+#: Times that a correction must be found where what stands there is not in the vocabulary.
+UNKNOWN_LEAST = 6
 #: Lines at either edge of a page that may be furniture.
 EDGE = 3
 #: Share of a source's pages, and pages, on which a line repeats at the edge if it is a running header.
@@ -41,13 +43,14 @@ HEADER_WITHIN = 0.1
 # Pairs of letter groups that scanning confuses, either way.
 CONFUSED = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"), ("ri", "n"), ("in", "m"), ("nn", "m"), ("lc", "k"), ("tl", "d"), ("fi", "h"),
             ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("2", "z"), ("4", "a"), ("q", "g"), ("c", "e"), ("f", "t"), ("l", "i"), ("l", "t"), ("i", "t"), ("i", "j"),
-            ("h", "b"), ("u", "n"), ("u", "v"), ("v", "y"), ("a", "o"), ("o", "e"), ("o", "c"), ("s", "a"), ("r", "t"), ("n", "h"), ("h", "k"), ("f", "l"), ("|", "l"), ("!", "l"), ("$", "s"), ("a", "e"), ("y", "g")]
+            ("h", "b"), ("u", "n"), ("u", "v"), ("v", "y"), ("a", "o"), ("o", "e"), ("o", "c"), ("s", "a"), ("r", "t"), ("n", "h"), ("h", "k"), ("f", "l"), ("|", "l"), ("@", "a"), ("€", "e"), ("$", "s"), ("a", "e"), ("y", "g")]
 _CONFUSED = {p for a, b in CONFUSED for p in ((a, b), (b, a))}
 # Signs put for a character that was not recognised.
 UNREADABLE = "�□¤■▯◻▢"
 _DIGIT_LIKE = str.maketrans("OoQlI|iSsBZzqg" + UNREADABLE, "00011115582299" + "0" * len(UNREADABLE))
 _HYPHEN_END = re.compile(r"([-‐‑­¬⁃‧])[ \t    　]*$")
-_WORD = re.compile(f"[A-Za-zÀ-ɏ0-9{UNREADABLE}]+")
+_WORD = re.compile(f"[A-Za-zÀ-ɏ0-9@€$|{UNREADABLE}]+")
+_KANA = re.compile("[ぁ-ヺ]")
 _STANDALONE = re.compile(r"(?<![\w\-‐‑­¬])[a-zà-ɏ]+(?![\w\-‐‑­¬])")
 _COMPOUND = re.compile(r"(?<![\w-])[a-zà-ɏ0-9]+(?:-[a-zà-ɏ0-9]+)+(?![\w-])")
 _HAN = re.compile("[㐀-鿿]")
@@ -137,7 +140,7 @@ class Vocabulary:
         own = self.words.get(word, 0)
         out = []
         for meant, n in self.trie.within(word, 1 if len(word) < 5 else 2):
-            if meant != word and n >= TIMES * max(1, own):
+            if meant != word and n >= (TIMES * own if own else UNKNOWN_LEAST):
                 at = confusion_at(word, meant)
                 if at is not None:
                     out.append((meant, n, at))
@@ -145,7 +148,7 @@ class Vocabulary:
 
     def correction(self, word: str, before: str, after: str) -> tuple[str, int] | None:
         """(correction, position) of a misread word between its neighbours, or None if it may stand."""
-        if len(word) < 2:
+        if len(word) < 2 or not any(map(str.isalpha, word)):
             return None
         found = self.candidates(word)
         if not found:
@@ -266,7 +269,7 @@ def count_tokens(lines: list[str], skip: dict[int, str], counts: dict[str, Count
         words = _WORD.findall(re.sub(r"\d", "0", low))
         counts["beside"].update(map(" ".join, zip(words, words[1:])))
     text, _, _ = _tokens(lines, skip)
-    if _HAN.search(text):
+    if _HAN.search(text) and not _KANA.search(text):
         counts["pairs"].update(a + b for a, b in zip(text, text[1:]) if a > "⺀" or b > "⺀")
         counts["windows"].update(a + b + c for a, b, c in zip(text, text[1:], text[2:]) if "㐀" <= b <= "鿿")
 
@@ -338,9 +341,7 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
         bare = word.lower()
         if any(c in UNREADABLE for c in bare):
             damage.update((i, "misread_char") for (i, _), c in zip(places, word) if c in UNREADABLE)
-            if all(c in UNREADABLE for c in bare):
-                continue
-        if bare.isdigit():
+        if not any(map(str.isalnum, bare)) or bare.isdigit():
             continue
         if any(c.isdigit() for c in bare):
             if bare.isascii() and vocabulary.beside.get(f"{low[k - 1] if k else ''} {low[k]}", 0) + vocabulary.beside.get(f"{low[k]} {low[k + 1] if k + 1 < len(low) else ''}", 0) >= TIMES:
@@ -363,14 +364,18 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
         elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*", word) and low[k] not in vocabulary.words:
             damage.add((places[0][0], "misread_char"))
     joined, where, at = _tokens(lines, skip)
+    chinese = bool(joined) and not _KANA.search(joined)
+    chars = list(joined)
     for k, c in enumerate(joined):
         if c in UNREADABLE and at[k] >= 0:
             damage.add((where[k], "misread_char"))
-        if 0 < k < len(joined) - 1 and ("㐀" <= c <= "鿿" or c in UNREADABLE):
-            meant = vocabulary.ideograph(joined[k - 1], c, joined[k + 1])
+        if chinese and ("㐀" <= c <= "鿿" or c in UNREADABLE):
+            # The character before may have been put right just now; the ends of the text count as those of a sentence.
+            left, right = chars[k - 1] if k else "。", joined[k + 1] if k + 1 < len(joined) else "。"
+            meant = vocabulary.ideograph(left, c, right) or (vocabulary.ideograph("。", c, right) if at[k] == 0 else None)
             if meant:
                 damage.add((where[k], "misread_char"))
-                fixed[where[k]][at[k]] = meant
+                fixed[where[k]][at[k]] = chars[k] = meant
     longest = max((len(lines[i]) for i in body), default=0)
     out: list[str] = []
     for n, i in enumerate(body):
