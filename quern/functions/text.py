@@ -286,7 +286,8 @@ def recommendation_context(c, limit: int, override=None, least: int = 60, slack:
 
 
 RULE = "array<struct<operation:string,start:string,end:string,replacement:string,count:int,keep_start:boolean,keep_end:boolean,include_marker:boolean,required:boolean,rule_id:string>>"
-CLEANED = "text string, diagnostics array<struct<rule_id:string,status:string,removed:int>>"
+_NOTE = T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("removed", T.IntegerType())])
+CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("diagnostics", T.ArrayType(_NOTE))])
 
 
 def apply_rule(text: str, rule: dict) -> tuple[str, bool]:

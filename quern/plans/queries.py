@@ -1,19 +1,438 @@
-"""Registered core queries and the SQL that must give the same rows."""
+"""Registered core queries; the SQL that must give the same rows is in oracles.py."""
 
 from __future__ import annotations
 
-from ..operators import hierarchy
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-FLAGSHIP = "p6_found"
+from ..functions import text as X
+from ..operators import chunking, corpus, filters, generation, hierarchy, layout, quality, retrieval, sampling
+from ..session import blank, strip, table
+from ..sources import io
+from .oracles import ORACLE_SQL
+
+FLAGSHIP = "retrieval_metrics_bm25"
+#: Reference headings looked for by the stop rule; the test pages have none of the usual ones.
+STOP_HEADINGS = ["鉴别诊断"]
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gold_corpus").distinct()
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "guideline_pages").distinct()
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Latest revision of every node, ids without blanks around them, one row per id."""
+    n = table(spark, d, "document_structure_map").withColumn("node_id", strip(F.col("node_id"))).where("node_id <> ''").withColumn("parent_id", strip(F.coalesce("parent_id", F.lit(""))))
+    return io.latest_per_key(n.distinct(), "node_id", "updated_at")
+
+
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "retrieval_eval").distinct()
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """The query set of the searches: questions with text whose id is divisible by 20."""
+    return retrieval.every_twentieth(_benchmark(spark, d), "query_id").where(~blank(F.col("query")))
+
+
+def _run(results: DataFrame) -> DataFrame:
+    return results.select("query_id", "rank", F.col("id"), "score")
+
+
+def _dense_run(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best candidates of the logged dense run, recomputed from the scores."""
+    r = table(spark, d, "retrieval_results").where("query_id IS NOT NULL AND retrieved_chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+    best = r.groupBy("query_id", F.col("retrieved_chunk_id").alias("id")).agg(F.max("score").alias("score"))
+    return _run(retrieval.ranked(best, 10, F.col("score").desc(), F.col("id")))
+
+
+def _bm25(spark: SparkSession, d: str, normalize: bool) -> DataFrame:
+    text = retrieval.index_text("title_path", "display_title", F.coalesce("text", F.lit("")))
+    return retrieval.bm25_topk(_gold(spark, d).select("chunk_id", "title_path", "display_title", "text"), "chunk_id", text, _questions(spark, d), "query_id", "query", 10, normalize)
+
+
+def bm25_index_stats(spark, d):
+    text = retrieval.index_text("title_path", "display_title", F.coalesce("text", F.lit("")))
+    return retrieval.index_statistics(_gold(spark, d), "chunk_id", text, False).select("n_docs", F.round("avg_length", 6).alias("avg_length"))
+
+
+def token_df_topn(spark, d):
+    """The 100 terms in most chunks: a report of the most frequent."""
+    p = retrieval.postings(_gold(spark, d), "chunk_id", F.col("text"), False)
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("df").desc(), "term").limit(100)
+
+
+def bm25_topk(spark, d):
+    return _bm25(spark, d, True).select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_topk_plain(spark, d):
+    return _bm25(spark, d, False).select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
+def dense_topk(spark, d):
+    v = table(spark, d, "embeddings")
+    q = retrieval.every_twentieth(v, "vec_id").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    out = retrieval.dense_topk(v, "vec_id", "embedding", q, "q", "qv", 10, skip_self=True)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def _fused(spark, d):
+    mine = _questions(spark, d).select("query_id")
+    return retrieval.rrf(_run(_bm25(spark, d, False)), _dense_run(spark, d).join(mine, "query_id", "left_semi"))
+
+
+def rrf_fusion(spark, d):
+    return _fused(spark, d).select("query_id", "rank", F.col("id").alias("chunk_id"), "score", F.col("first_rank").alias("bm25_rank"), F.col("second_rank").alias("dense_rank"))
+
+
+_METRICS = ["query_id", "answerability", "gold_count", "support_count", "first_gold_rank", "first_relevant_rank", "hit_at_1", "hit_at_3", "hit_at_5", "relevant_hit_at_1", "relevant_hit_at_3", "relevant_hit_at_5", "top1_chunk_id"]
+
+
+def _dense_metrics(spark, d):
+    return retrieval.query_metrics(_dense_run(spark, d), _benchmark(spark, d))
+
+
+def retrieval_query_metrics(spark, d):
+    m = _dense_metrics(spark, d)
+    return m.select(*_METRICS, F.round("recall_at_5", 6).alias("recall_at_5"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+def retrieval_metrics(spark, d):
+    return retrieval.run_metrics(_dense_metrics(spark, d))
+
+
+def _own_metrics(spark, d, results):
+    return retrieval.query_metrics(results, _questions(spark, d))
+
+
+def retrieval_metrics_bm25(spark, d):
+    return retrieval.run_metrics(_own_metrics(spark, d, _run(_bm25(spark, d, True))))
+
+
+def compare_two_way(spark, d):
+    return retrieval.compare_two(_own_metrics(spark, d, _run(_bm25(spark, d, False))), _own_metrics(spark, d, _dense_run(spark, d)))
+
+
+def compare_three_way(spark, d):
+    runs = {"bm25": _run(_bm25(spark, d, False)), "dense": _dense_run(spark, d), "rrf": _run(_fused(spark, d))}
+    return retrieval.compare_three({k: _own_metrics(spark, d, v) for k, v in runs.items()})
+
+
+def winner_counts(spark, d):
+    return retrieval.winner_counts(compare_two_way(spark, d))
+
+
+def text_normalize(spark, d):
+    return table(spark, d, "gold_corpus").where("text IS NOT NULL").select("chunk_id", X.squeeze("text").alias("normalized"), X.margin_signature("text").alias("signature")).distinct()
+
+
+def heading_normalize(spark, d):
+    return table(spark, d, "document_structure_map").select("display_title", X.normalize_heading("display_title").alias("normalized")).distinct()
+
+
+def cjk_compact(spark, d):
+    return table(spark, d, "gold_corpus").where("text IS NOT NULL").select("chunk_id", X.compact_cjk(X.one_line("text")).alias("compacted")).distinct()
+
+
+def unwrapped_pages(spark, d):
+    return _pages(spark, d).select("page_id", X.join_wrapped_lines(X.strip_line_numbers("text"), F.coalesce("language", F.lit("zh"))).alias("text"))
+
+
+def chunk_hash(spark, d):
+    return table(spark, d, "gold_corpus").select("chunk_id", X.raw_hash("text").alias("raw_sha256"), X.text_hash("text").alias("text_hash"), F.coalesce(X.raw_hash("text") == F.col("text_sha256"), F.lit(False)).alias("hash_ok")).distinct()
+
+
+def dup_text_audit(spark, d):
+    return quality.duplicates(table(spark, d, "gold_corpus").where(~blank(F.col("text"))), X.text_hash("text"), "chunk_id", "text_hash")
+
+
+def sentence_units(spark, d):
+    s = lambda f: F.coalesce(F.size(f("text")), F.lit(0))
+    return _gold(spark, d).where("text IS NOT NULL").select("chunk_id", s(X.sentences_spaced).alias("spaced"), s(X.sentences_strong).alias("strong"), F.coalesce(F.array_max(F.transform(X.sentences_strong("text"), F.length)), F.lit(0)).alias("longest"))
+
+
+def text_fields(spark, d):
+    """Texts to embed and to retrieve by, and what a text consists of."""
+    return _gold(spark, d).select("chunk_id", X.dense_text("retrieval_text", "title_path", "display_title", "text").alias("dense_text"), X.retrieval_text(F.lit("膝"), "title_path", "text").alias("retrieval_text"), F.coalesce(X.citation_only("text"), F.lit(True)).alias("citation_only"))
+
+
+def context_selection(spark, d):
+    return _gold(spark, d).where("content_type = 'question_recommendation' AND text IS NOT NULL").select("chunk_id", X.recommendation_context("text", 120).alias("context"))
+
+
+def extractability_audit(spark, d):
+    p = _pages(spark, d).select("source_id", "page_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    g = p.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(F.col("n") >= 20).alias("nonempty_pages"), F.sum("n").alias("chars"), F.bround(F.avg("n"), 1).alias("mean_chars"))
+    return g.withColumn("status", X.extractability("pages", "nonempty_pages", "mean_chars"))
+
+
+def _policied(spark, d):
+    pages = _pages(spark, d)
+    policy = pages.select("source_id", "pdf_page_number", F.when(F.col("removed_margin_block_count") == 0, "exclude").when(F.col("pdf_page_number") % 10 == 9, "review").alias("chunk_policy")).where("chunk_policy IS NOT NULL").distinct()
+    return filters.resolve_policy(pages, policy)
+
+
+def page_policy_status(spark, d):
+    x = filters.stop_at_references(_policied(spark, d), STOP_HEADINGS)
+    return x.select("page_id", "chunk_policy", "status")
+
+
+def included_sources(spark, d):
+    s = io.latest_per_key(filters.included(table(spark, d, "source_registry")), "source_id", "priority")
+    return s.select("source_id", F.lower(F.substring("language", 1, 2)).alias("language"), F.col("publication_year").try_cast("int").alias("year"))
+
+
+def _blocks(spark, d):
+    """Page lines as blocks of equal height on a page of 1000 units."""
+    p = _pages(spark, d).where(~blank(F.col("text"))).select("source_id", F.col("pdf_page_number").alias("page"), F.coalesce("language", F.lit("zh")).alias("language"), F.split("text", "\n").alias("l"))
+    b = p.select("source_id", "page", "language", F.size("l").alias("n"), F.posexplode("l").alias("block_no", "text"))
+    return b.select("*", (F.col("block_no") * 1000.0 / F.col("n")).alias("y0"), ((F.col("block_no") + 1) * 1000.0 / F.col("n")).alias("y1"), F.lit(1000.0).alias("page_height"))
+
+
+def repeated_margin_lines(spark, d):
+    return layout.repeated_margins(_blocks(spark, d))
+
+
+def stripped_pages(spark, d):
+    return layout.drop_margins(_blocks(spark, d)).groupBy("source_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+def reading_order(spark, d):
+    """Lines set in two columns, every ninth across both, in reading order."""
+    b = _blocks(spark, d)
+    full, right = F.col("block_no") % 9 == 0, F.col("block_no") % 2 == 1
+    b = b.select("source_id", "page", "block_no", "text", "y0", "y1", F.when(full, 50.0).when(right, 520.0).otherwise(50.0).alias("x0"), F.when(full, 950.0).when(right, 950.0).otherwise(480.0).alias("x1"), F.lit(1000.0).alias("page_width"))
+    return layout.two_column_order(b).select("source_id", "page", "block_no", "position")
+
+
+def assembled_pages(spark, d):
+    b = layout.single_column_order(layout.drop_margins(_blocks(spark, d)).withColumn("x0", F.lit(0.0)))
+    return layout.assemble_pages(b.withColumn("strip_line_numbers", F.lit(True))).select("source_id", "page", "text", "text_block_count")
+
+
+def baseline_chunks(spark, d):
+    return chunking.baseline_chunks(_pages(spark, d))
+
+
+def section_chunks(spark, d):
+    return chunking.section_chunks(_pages(spark, d).withColumn("language", F.coalesce("language", F.lit("zh"))))
+
+
+def boundary_chunks(spark, d):
+    return chunking.boundary_chunks(_pages(spark, d).withColumn("language", F.coalesce("language", F.lit("zh"))))
+
+
+def gold_pack(spark, d):
+    """Texts of the corpus packed again to the third configuration's sizes."""
+    pack = chunking.pack_udf(300, 400, 60, 50)
+    return _gold(spark, d).where("text IS NOT NULL").select("chunk_id", F.posexplode(pack("text")).alias("part_no", "text"))
+
+
+def section_carry_forward(spark, d):
+    units = chunking.page_units(_pages(spark, d).withColumn("language", F.coalesce("language", F.lit("zh"))))
+    return chunking.carry_sections(chunking.cross_page_merge(units)).select("source_id", "island", "section_no", "heading", F.length("text").alias("chars"))
+
+
+def chunk_summary(spark, d):
+    c = _gold(spark, d).select("source_id", "content_type", "char_count", F.col("pdf_page_start").alias("page_start"), F.col("pdf_page_end").alias("page_end"))
+    return chunking.chunk_statistics(c, "source_id", "content_type")
+
+
+def corpus_summary(spark, d):
+    return corpus.corpus_summary(_gold(spark, d))
+
+
+def title_path(spark, d):
+    n = corpus.title_paths(_nodes(spark, d).select("node_id", "parent_id", "display_title"), strict=False)
+    return n.select("node_id", F.array_join("title_path", " > ").alias("title_path"))
+
+
+def node_slice_lead(spark, d):
+    """Where each node's pages end, the next node's start, and how much text lies between."""
+    n = _nodes(spark, d).select("node_id", "source_id", "node_order", "pdf_page")
+    w = Window.partitionBy("source_id").orderBy("node_order", "node_id")
+    n = n.withColumn("next_page", F.lead("pdf_page").over(w))
+    p = _pages(spark, d).groupBy("source_id", "pdf_page_number").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    x = n.join(p, (n.source_id == p.source_id) & (p.pdf_page_number >= n.pdf_page) & (p.pdf_page_number <= F.coalesce(n.next_page, n.pdf_page)), "left")
+    return x.groupBy("node_id", "pdf_page", "next_page").agg(F.count("pdf_page_number").alias("pages"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+
+
+def _corpus_nodes(spark, d):
+    n = corpus.title_paths(_nodes(spark, d), strict=False).withColumn("pdf_page", F.col("pdf_page"))
+    return n.withColumn("title_path", F.coalesce("title_path", F.array("display_title")))
+
+
+def gold_sections(spark, d):
+    """Section chunks built from the structure map and the pages; nodes without a marker on their page start it."""
+    nodes, pages = _corpus_nodes(spark, d), _pages(spark, d)
+    located = corpus.locate_nodes(nodes, pages).withColumn("start_pos", F.greatest("start_pos", F.lit(0)))
+    ends = corpus.document_ends(pages.groupBy("source_id").agg(F.max("pdf_page_number").alias("page")).withColumn("pos", F.lit(2**31 - 1)))
+    chunks, _ = corpus.section_chunks(nodes, corpus.slice_nodes(located, pages, ends), "gold_test", 360, 600, 60, 75)
+    return chunks.select("chunk_id", "source_id", "source_order", "node_id", "pdf_page_start", "pdf_page_end", "cross_page", "char_count", "text_sha256")
+
+
+def structure_validation(spark, d):
+    return quality.validate_structure(table(spark, d, "document_structure_map").distinct()).distinct()
+
+
+def structure_status(spark, d):
+    return quality.status_counts(structure_validation(spark, d), "source_id")
+
+
+def manual_coverage(spark, d):
+    nodes = _nodes(spark, d)
+    evidence = _gold(spark, d).where("content_type = 'manual_table_chunk'").select("node_id", F.lit("included").alias("include_status"))
+    return corpus.uncovered_manual_nodes(nodes, evidence)
+
+
+def benchmark_validation(spark, d):
+    return quality.validate_benchmark(table(spark, d, "retrieval_eval"), table(spark, d, "gold_corpus"))
+
+
+def benchmark_composition(spark, d):
+    return quality.benchmark_composition(table(spark, d, "retrieval_eval"))
+
+
+def benchmark_topics(spark, d):
+    return _benchmark(spark, d).groupBy(F.coalesce("topic", F.lit("")).alias("topic"), "evidence_scope", "review_status").agg(F.count("*").alias("questions"))
+
+
+def corpus_validation(spark, d):
+    return quality.validate_corpus(_gold(spark, d))
+
+
+def generation_inputs(spark, d):
+    questions = _benchmark(spark, d).where("query_id IS NOT NULL").select("query_id", "query", "answerability")
+    r = _dense_run(spark, d).join(questions, "query_id").withColumn("run_id", F.lit("dense"))
+    x = generation.generation_inputs(r, _gold(spark, d), "generation", 5, strict=False)
+    ids = F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), "|")
+    return x.select("run_id", "query_id", "answerability", "top_k", F.size("evidence").alias("evidence_count"), ids.alias("chunk_ids"))
+
+
+def prompt_render(spark, d):
+    g = table(spark, d, "generation_run").select(*generation.INPUT_COLUMNS).distinct()
+    p = generation.generate(generation.with_prompts(g, "只依据证据回答。", "v1"), "model")
+    return p.select("run_id", "query_id", F.length("user_prompt").alias("prompt_chars"), F.md5("user_prompt").alias("prompt_md5"), "generation_status")
+
+
+def _generated(spark, d):
+    return table(spark, d, "generation_run").select("run_id", "query_id", "query", "answerability", "top_k", "evidence", "answer", "generation_status").distinct()
+
+
+def deterministic_rules(spark, d):
+    return generation.deterministic_rules(_generated(spark, d))
+
+
+def _first_run(spark, d):
+    g = _generated(spark, d)
+    return g.join(g.groupBy("query_id").agg(F.min("run_id").alias("run_id")), ["query_id", "run_id"])
+
+
+def _digit(k: int, n: int):
+    """A number below n from the k-th hexadecimal digit of the question id's hash."""
+    return (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("query_id"), k, 1)) - 1) % n
+
+
+def _raw_judgements(spark, d):
+    """Raw answers of a judge, made up from the question ids: fenced, cut off, out of range or sound."""
+    q = _first_run(spark, d).select("query_id").distinct()
+    pick = lambda i, *v: F.element_at(F.array(*[F.lit(x) for x in v]), i + 1)
+    body = F.format_string(
+        '{"query_id":"%s","relevance_score":%d,"groundedness_score":%d,"completeness_score":%d,"unsupported_claim":%s,"unsupported_claim_severity":"%s","unanswerable_behavior":"%s","overall_verdict":"%s","reason":"r"}',
+        "query_id", F.lit(2) - _digit(1, 8).cast("int") % 3, F.when(_digit(2, 16) == 0, 3).otherwise(F.lit(2) - _digit(2, 8).cast("int") % 3), F.lit(2), pick(_digit(3, 2), "false", "true"),
+        pick(_digit(4, 3), "none", "minor", "major"), pick(_digit(5, 3), "not_applicable", "pass", "fail"), pick(_digit(6, 2), "pass", "fail"),
+    )
+    fenced = F.when(_digit(7, 4) == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(_digit(8, 16) == 0, F.substring(body, 1, 40)).otherwise(body)
+    return q.withColumn("raw_response", fenced)
+
+
+def _judged(spark, d):
+    x = _raw_judgements(spark, d).withColumn("p", generation.parse_judgement("raw_response", "query_id"))
+    r = F.col("p.judge_result")
+    return x.select("query_id", "p.judge_status", F.when(r.isNotNull(), r.withField("overall_verdict", generation.hard_fail(r))).alias("judge_result"), "p.judge_error")
+
+
+def judge_parse(spark, d):
+    return _judged(spark, d).select("query_id", "judge_status", "judge_error", F.col("judge_result.relevance_score").alias("relevance_score"), F.col("judge_result.groundedness_score").alias("groundedness_score"), F.col("judge_result.overall_verdict").alias("overall_verdict"))
+
+
+def _summary(spark, d):
+    rules = generation.deterministic_rules(_first_run(spark, d))
+    return generation.evaluation_summary(rules, _judged(spark, d))
+
+
+def evaluation_summary(spark, d):
+    return _summary(spark, d).drop("completeness_score")
+
+
+def evaluation_totals(spark, d):
+    return generation.evaluation_totals(_summary(spark, d))
+
+
+def review_queue(spark, d):
+    q = generation.review_queue(_summary(spark, d), _first_run(spark, d), _judged(spark, d))
+    return q.select("query_id", "review_reason", F.size("evidence").alias("evidence_count"), "human_verdict")
+
+
+def calibration(spark, d):
+    j = _judged(spark, d)
+    h = j.select("query_id", "judge_result", F.when(_digit(9, 4) > 0, F.col("judge_result.relevance_score")).otherwise(1).alias("human_relevance_score"), F.col("judge_result.groundedness_score").alias("human_groundedness_score"), F.lit(2).alias("human_completeness_score"), F.lit(None).cast("boolean").alias("human_unsupported_claim"), F.col("judge_result.overall_verdict").alias("human_verdict"))
+    return generation.calibration(h)
+
+
+def seeded_sample(spark, d):
+    """Twenty chunks in hash order: a sample for review."""
+    return sampling.seeded_sample(_gold(spark, d).select("chunk_id", "source_id"), "chunk_id", 20)
+
+
+def edge_samples(spark, d):
+    return sampling.edge_samples(_gold(spark, d)).select("source_id", "chunk_id", "sample_reason")
+
+
+def review_sample(spark, d):
+    return sampling.review_sample(_gold(spark, d), 400, F.col("char_count") > 700)
+
+
+def preview_pages(spark, d):
+    return io.preview_pages(_pages(spark, d).select("source_id", "page_id", "pdf_page_number"))
+
+
+def full_text(spark, d):
+    t = io.full_text(_pages(spark, d))
+    return t.select("source_id", F.length("text").alias("chars"), F.md5("text").alias("md5"))
+
+
+def authoring_catalog(spark, d):
+    return io.authoring_catalog(_gold(spark, d)).drop("text")
+
+
+def embedding_signatures(spark, d):
+    s = io.content_signature(_gold(spark, d).withColumn("t", X.dense_text("retrieval_text", "title_path", "display_title", "text")), "model", 512, "chunk_id", "t")
+    return s.select("chunk_id", "signature")
+
+
+def marker_positions(spark, d):
+    """How often and where each registered title stands on its source's pages."""
+    s = table(spark, d, "source_registry").select("source_id", F.col("title").alias("marker")).distinct()
+    x = _pages(spark, d).select("source_id", "page_id", F.coalesce("text", F.lit("")).alias("t")).join(s, "source_id")
+    return x.select("page_id", X.marker_status("t", "marker").alias("status"), X.nth_position("t", "marker", F.lit(1)).alias("position"), F.md5(X.snippet("t", "marker", 10)).alias("snippet_md5"))
+
+
+_NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
+text_normalize heading_normalize cjk_compact unwrapped_pages chunk_hash dup_text_audit sentence_units text_fields context_selection extractability_audit page_policy_status included_sources repeated_margin_lines stripped_pages reading_order assembled_pages
+baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead gold_sections structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
+generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions""".split()
 
 QUERIES = {
+    **{n: globals()[n] for n in _NAMES},
     "p6_found": hierarchy.p6_found,
     "p6_paths": hierarchy.p6_paths,
     "p6_descendants": hierarchy.p6_descendants,
 }
 
-ORACLE_SQL = {
-    "p6_found": hierarchy.P6_FOUND_SQL,
-    "p6_paths": hierarchy.P6_PATHS_SQL,
-    "p6_descendants": hierarchy.P6_DESCENDANTS_SQL,
-}
+ORACLE_SQL = {**ORACLE_SQL, "p6_found": hierarchy.P6_FOUND_SQL, "p6_paths": hierarchy.P6_PATHS_SQL, "p6_descendants": hierarchy.P6_DESCENDANTS_SQL}
