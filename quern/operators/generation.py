@@ -118,7 +118,7 @@ def parse_judgement(raw, query_id) -> Column:
     typed = F.from_json(text, JUDGE.replace("int", "string").replace("boolean", "string"))
     need = ["query_id", *SCORES, "unsupported_claim", *JUDGE_DOMAIN, "reason"]
     bad = F.coalesce(
-        F.when(r.isNull() | typed.isNull(), "not_json"),
+        F.when(F.get_json_object(text, "$").isNull(), "not_json"),
         *[F.when(typed[c].isNull(), f"missing_{c}") for c in need],
         *[F.when(~F.coalesce(typed[c].isin("0", "1", "2"), F.lit(False)), f"invalid_{c}") for c in SCORES],
         F.when(r["unsupported_claim"].isNull(), "invalid_unsupported_claim"),
