@@ -304,7 +304,8 @@ def apply_rule(text: str, rule: dict) -> tuple[str, bool]:
     if op == "trim_after":
         a = text.find(start) if start else -1
         return (text, False) if a < 0 else (text[: a + (len(start) if rule.get("include_marker") else 0)], True)
-    count = rule.get("count") or 0
+    count = rule.get("count")
+    count = int(count) if count and count == count else 0  # a missing number comes as NaN
     if op == "replace":
         return (text.replace(start, rule.get("replacement") or "", count or -1), True) if start and start in text else (text, False)
     if op == "regex_replace":
