@@ -185,10 +185,12 @@ def markdown_separators(c) -> Column:
     return F.size(F.filter(lines(c), lambda x: x.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$")))
 
 
-def extractability(pages, nonempty, mean_chars) -> Column:
-    """Whether a document's text can be extracted, from its pages, those with text, and characters per page."""
-    share = col(nonempty) / F.when(col(pages) > 0, col(pages))
-    return F.when(col(pages) == 0, "empty").when((col(mean_chars) >= 500) & (share >= 0.7), "ok").when((col(mean_chars) < 200) | (share < 0.3), "needs_ocr").otherwise("partial")
+def extractability(pages, nonempty, chars) -> Column:
+    """Whether a document's text can be extracted, from its pages, those with text, and all characters."""
+    n = F.when(col(pages) > 0, col(pages))
+    bad = (col(chars) < 500) | (col(nonempty) / n < 0.30)
+    weak = (col(chars) / n < 200) | (col(nonempty) / n < 0.70)
+    return F.when(n.isNull(), "invalid").when(bad, "ocr_required").when(weak, "partial").otherwise("ok")
 
 
 def dense_text(retrieval_text, title_path, display_title, text) -> Column:

@@ -67,4 +67,4 @@ def test_citations_and_fields(spark):
     assert one(spark, "[1,2] a", X.citation_only("t"))[0] is True
     assert one(spark, (" ", ["a", "b"], "", "t"), X.dense_text("r", "p", "d", "t"), schema="r string, p array<string>, d string, t string")[0] == "a > b\nt"
     assert one(spark, "现有的证据不足", X.says_insufficient("t"))[0] is True
-    assert one(spark, "| a | b |\n|---|:-:|\n| 1 | 2 |", X.markdown_separators("t"))[0] == 1
+    assert one(spark, "| a | b |\n|---|:---:|\n| 1 | 2 |", X.markdown_separators("t"))[0] == 1
