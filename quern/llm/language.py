@@ -17,7 +17,7 @@ FUNCTION_WORDS = {
 }
 _VOTES: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
-    for _w in set(_words):
+    for _w in {w for w in _words if len(w) > 1}:  # single letters are too often names and variables
         _VOTES[_w] = (*_VOTES.get(_w, ()), _lang)
 # First code points of blocks, each with the script it and what follows belongs to.
 _BLOCKS = [

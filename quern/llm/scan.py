@@ -436,7 +436,8 @@ def learn(records: DataFrame) -> Vocabulary:
             for row in b.itertuples(index=False):
                 count_tokens(row.text.split("\n"), _skip(row), counts)
             for kind, c in counts.items():
-                yield pd.DataFrame({"kind": kind, "token": list(c.keys()), "n": list(c.values())})
+                if c:
+                    yield pd.DataFrame({"kind": kind, "token": list(c.keys()), "n": list(c.values())})
 
     counts = cut(records.mapInPandas(run, "kind string, token string, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all"))
