@@ -46,6 +46,9 @@ STARTERS = set("The This That These In It A An For After At As When If Most Many
 # Words with which a Chinese or Japanese sentence goes on after a quotation.
 GOES_ON = tuple("的 是 这 那 等 与 和 或 为 也 都 就 并 而 及 之 则 被 成 作 とと と は が を に の で も など という って".split())
 
+# Those of them with which it goes on even after a quotation that a colon announced.
+GOES_ON_ALWAYS = ("的", "等", "这样", "と", "という", "って")
+
 CJK = re.compile(r"[\u2e80-\u2fdf\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\uac00-\ud7af]")
 THAI = re.compile(r"[\u0e01-\u0e4e]")
 _INVISIBLE = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff"
@@ -62,8 +65,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 FRESH, INSIDE, START, AFTER, MIDDLE = range(5)
 OPEN, CLOSE, END, QUOTED, THAI_BLANK = range(5)
-#: What follows an end: nothing, a word that goes on, one that starts anew, ideographs, ideographs that go on.
-EOT, LOW, NEW, IDEO, IDEO_ON = range(5)
+#: What follows an end: nothing, a word that goes on, one that starts anew, ideographs, those that likely or surely go on.
+EOT, LOW, NEW, IDEO, IDEO_ON, IDEO_SURE = range(6)
 
 
 def _follow(text: str, at: int) -> tuple[int, int]:
@@ -75,7 +78,7 @@ def _follow(text: str, at: int) -> tuple[int, int]:
     if c in ",;:，；：、,;)）]】%％" or c in _CLOSE or c in ".。．":
         return LOW, at
     if CJK.match(c):
-        return (IDEO_ON if text.startswith(GOES_ON, at) else IDEO), at
+        return (IDEO_SURE if text.startswith(GOES_ON_ALWAYS, at) else IDEO_ON if text.startswith(GOES_ON, at) else IDEO), at
     word = canon.canonical(text[at : at + 24])
     m = _WORD.match(word)
     if m and m.group()[0].islower():
@@ -99,7 +102,7 @@ def _dot_ends(text: str, at: int, end: int) -> bool:
     lead = before[: m.start()] if m else before
     ideo = bool(CJK.search(before[-14:]) or CJK.search(text[nxt : nxt + 14]))
     digit = c.isdigit()
-    if end == at + 1 and token and token[-1].isdigit() and digit and (not spaced or ideo):
+    if end == at + 1 and token and token[-1].isdigit() and digit and (not spaced or ideo or (CJK.search(before) and text[end:nxt].strip(" ") == "\n")):
         return False  # a decimal or version, also one wrapped between lines of ideographs
     if follow == LOW and c in ",;:，；：、,;)）]】%％.。．":
         return False
@@ -199,7 +202,7 @@ def _run(text: str, events: list, state: int, a: int, b: int) -> tuple[int, list
         elif kind == QUOTED:
             if follow == EOT or follow == NEW:
                 over = True
-            elif follow == LOW or follow == IDEO_ON:
+            elif follow in (LOW, IDEO_SURE) or (follow == IDEO_ON and state != AFTER):
                 over = False
             else:
                 over = state != START

@@ -295,13 +295,16 @@ def test_page_numbers():
 
 def test_repair(spark):
     body = ["Structured exercise helps adults with knee pain and stiffness in the morn-", "ing after a long-", "term rest. The long-term plan is walking in the morning every day of the week,", "and adults walk with care because walking helps and knee pain fades after weeks."]
-    rows = [(f"s-{p}", "s", "Guideline on the knee", p, "\n".join([f"Journal of joints 20{p:02d}", *body, f"- {p + 100} -"])) for p in range(1, 31)]
-    bad = "\n".join(["Journal of joints 2031", body[0], body[1], body[2].replace("walking", "wa1king"), body[3], "- l31 -"])
+    rng = random.Random(1)
+    own = lambda: " ".join("".join(rng.choice("bdgkmprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(9)) + "."
+    page = lambda p, lines, number: "\n".join([f"Journal of joints 20{p:02d}", own(), own(), *lines, own(), own(), number])
+    rows = [(f"s-{p}", "s", "Guideline on the knee", p, page(p, body, f"- {p + 100} -")) for p in range(1, 31)]
+    bad = page(31, [body[0], body[1], body[2].replace("walking", "wa1king"), body[3]], "- l31 -")
     rows += [("s-31", "s", None, 31, bad), ("s-31", "s", None, 31, bad), ("s-32", "s", None, 32, None), ("s-33", None, None, 33, " "), ("u#0", None, None, None, "Plain unit with knee pain.\n17")]
     df = spark.createDataFrame(rows, "record_id string, source_id string, title string, page int, text string").withColumn("headers", F.lit(1)).withColumn("offset", F.lit(1))
     got = {r.record_id: ({(d.line_no, d.noise) for d in r.damage}, r.repaired) for r in scan.repair_scans(df).collect()}
-    assert got["s-31"][0] == {(0, "running_header"), (1, "hyphen_break"), (3, "misread_char"), (5, "page_number")}
-    assert got["s-1"][0] == {(0, "running_header"), (1, "hyphen_break"), (5, "page_number")}
+    assert got["s-31"][0] == {(0, "running_header"), (3, "hyphen_break"), (5, "misread_char"), (9, "page_number")}
+    assert got["s-1"][0] == {(0, "running_header"), (3, "hyphen_break"), (9, "page_number")}
     assert "morning after a long-term rest. The long-term plan is walking" in got["s-31"][1]
     assert got["u#0"][0] == set() and set(got) == {f"s-{p}" for p in range(1, 32)} | {"u#0"}
     assert scan.repair_scans(df.where("false")).count() == 0
