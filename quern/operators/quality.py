@@ -190,3 +190,10 @@ def validate_corpus(chunks: DataFrame, sources: list[str] | None = None, least:
     if sources:
         rules.insert(4, Rule("unexpected_source", ~F.col("source_id").isin(*sources)))
     return validate(c, rules, "chunk_id")
+
+
+def detection_totals(detections: DataFrame, *methods: str) -> DataFrame:
+    """Per source the tables each method found, and the pages on which it found any; one row per source and page goes in."""
+    aggs = [a for m in methods for a in (F.sum(F.coalesce(m, F.lit(0))).alias(f"{m}_tables"), F.sort_array(F.collect_list(F.when(F.col(m) > 0, F.col("page")))).alias(f"{m}_pages"))]
+    agree = F.count_if(~F.coalesce(F.greatest(*methods) == F.least(*methods), F.lit(False))) if len(methods) > 1 else F.lit(0)
+    return detections.groupBy("source_id").agg(*aggs, agree.alias("differing_pages"))

@@ -210,3 +210,20 @@ def compare_three(runs: dict[str, DataFrame]) -> DataFrame:
 
 def winner_counts(compared: DataFrame, column: str = "winner") -> DataFrame:
     return compared.groupBy(column).agg(F.count("*").alias("queries"))
+
+
+def embed(texts: DataFrame, id_col: str, text_col: str, encoder, prompt: str = "", out_col: str = "embedding", batch_size: int = 4) -> DataFrame:
+    """(id, embedding): unit vectors of texts by an injected encoder, a function from a list of texts to rows of numbers.
+
+    The encoder runs in the workers, ``batch_size`` texts at a time; a prompt is put
+    before queries only.  Null texts are embedded as empty ones.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(s):
+        rows = [prompt + (t or "") for t in s]
+        m = np.vstack([np.asarray(encoder(rows[i : i + batch_size]), dtype=np.float32) for i in range(0, len(rows), batch_size)]) if rows else np.zeros((0, 1), np.float32)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return type(s)(list(np.divide(m, n, out=np.zeros_like(m), where=n > 0)))
+
+    return texts.select(F.col(id_col), run(text_col).alias(out_col))

@@ -231,4 +231,6 @@ SELECT * FROM f UNION ALL SELECT chunk_id, source_id, 'fill' FROM o WHERE k + (S
 y AS (SELECT page_id, t, m, CAST((length(t) - length(replace(t, m, ''))) / length(m) AS INTEGER) AS k, strpos(t, m) AS a FROM x)
 SELECT page_id, CASE WHEN k = 0 THEN 'not_found' WHEN k = 1 THEN 'unique' ELSE 'multiple' END AS status, CAST(a - 1 AS INTEGER) AS position, md5(CASE WHEN a > 0 THEN substr(t, greatest(1, a - 10), a - greatest(1, a - 10) + length(m) + 10) ELSE '' END) AS snippet_md5 FROM y""",
 }
+ORACLE_SQL["table_detections"] = f"""WITH x AS (SELECT source_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '^(?:A组|Group A|合计|Total|对照|Control)'))) AS r, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '^\\d+\\.\\d$'))) AS n FROM {PAGES})
+SELECT source_id, CAST(sum(r) AS BIGINT) AS rows_tables, CAST(sum(n) AS BIGINT) AS numbers_tables, CAST(count(CASE WHEN r > 0 THEN 1 END) AS INTEGER) AS rows_pages, CAST(count(CASE WHEN n > 0 THEN 1 END) AS INTEGER) AS numbers_pages, count(CASE WHEN r <> n THEN 1 END) AS differing_pages FROM x GROUP BY source_id"""
 ORACLE_SQL["winner_counts"] = f"SELECT winner, count(*) AS queries FROM ({ORACLE_SQL['compare_two_way']}) GROUP BY winner"

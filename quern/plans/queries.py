@@ -423,10 +423,20 @@ def marker_positions(spark, d):
     return x.select("page_id", X.marker_status("t", "marker").alias("status"), X.nth_position("t", "marker", F.lit(1)).alias("position"), F.md5(X.snippet("t", "marker", 10)).alias("snippet_md5"))
 
 
+def table_detections(spark, d):
+    """Table rows and numeric lines of pages as two detectors, by source."""
+    l = X.lines(F.coalesce("text", F.lit("")))
+    rows = F.size(F.filter(l, lambda x: x.rlike(r"^(?:A组|Group A|合计|Total|对照|Control)")))
+    numbers = F.size(F.filter(l, lambda x: x.rlike(r"^\d+\.\d$")))
+    x = _pages(spark, d).select("source_id", F.col("pdf_page_number").alias("page"), rows.alias("rows"), numbers.alias("numbers"))
+    t = quality.detection_totals(x, "rows", "numbers")
+    return t.select("source_id", "rows_tables", "numbers_tables", F.size("rows_pages").alias("rows_pages"), F.size("numbers_pages").alias("numbers_pages"), "differing_pages")
+
+
 _NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
 text_normalize heading_normalize cjk_compact unwrapped_pages chunk_hash dup_text_audit sentence_units text_fields context_selection extractability_audit page_policy_status included_sources repeated_margin_lines stripped_pages reading_order assembled_pages
 baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead gold_sections structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
-generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions""".split()
+generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
 
 QUERIES = {
     **{n: globals()[n] for n in _NAMES},

@@ -268,3 +268,12 @@ def test_entry_contract():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_embed_and_detections(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, t string")
+    got = {r.id: r.embedding for r in retrieval.embed(df, "id", "t", lambda ts: [[len(t), 4.0] for t in ts]).collect()}
+    assert [round(x, 4) for x in got[1]] == [0.6, 0.8] and got[2] == [0.0, 1.0]
+    d = spark.createDataFrame([("s", 1, 2, 2), ("s", 2, 0, 1), ("s", 3, None, 0)], "source_id string, page int, a int, b int")
+    r = quality.detection_totals(d, "a", "b").first()
+    assert (r.a_tables, r.a_pages, r.b_tables, r.b_pages, r.differing_pages) == (2, [1], 3, [1, 2], 1)
