@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, strip, table
+from ..session import cut, shuffle_width, strip, table
 
 
 def latest_links(df: DataFrame, node: str, parent: str, updated: str | None = None) -> DataFrame:
@@ -47,9 +47,10 @@ def resolve_hierarchy(links: DataFrame) -> DataFrame:
     while not active.where(moving).isEmpty():
         below = active.where("parent IS NOT NULL").groupBy("parent").agg(F.count("*").alias("children"), F.min("node").alias("child"))
         x = active.join(below.withColumnRenamed("parent", "node"), "node", "left")
-        h = lambda c: F.xxhash64(F.lit(len(records)), c)
-        splice = moving & (F.col("children") == 1) & (h(F.col("node")) > h(F.col("parent"))) & (h(F.col("node")) > h(F.col("child")))
-        x = cut(x.withColumn("kind", F.when(splice, 2).when(moving & F.col("children").isNull(), 1).otherwise(0)))
+        # Another hash in every round; as text its seed stays out of the compiled code, which then serves all rounds.
+        h = lambda c: F.xxhash64(F.lit(str(len(records))), c)
+        splice = moving & (F.col("children") == 1) & (h("node") > h("parent")) & (h("node") > h("child"))
+        x = x.withColumn("kind", F.when(splice, 2).when(moving & F.col("children").isNull(), 1).otherwise(0))
         # The only child of a spliced node is lifted to that node's parent.
         up = x.where("kind = 2").select(
             F.col("child").alias("node"), F.col("parent").alias("lift"), F.concat("between", F.array("node")).alias("over"))
@@ -62,12 +63,12 @@ def resolve_hierarchy(links: DataFrame) -> DataFrame:
         active = x.where("kind = 0").select("node", "parent", "between")
     empty = F.expr("cast(array() as array<string>)")
     done = active.select("node", F.when(F.col("parent").isNull(), F.array("node")).otherwise(empty).alias("path"))
-    for k, r in enumerate(reversed(records)):
+    for k, r in enumerate(reversed(records), 1):
         grown = r.join(done.select(F.col("node").alias("anchor"), F.col("path").alias("above")), "anchor")
         grown = grown.select("node", F.when(F.size("above") > 0, F.concat("above", "between", F.array("node"))).otherwise(empty).alias("path"))
         done = done.unionByName(grown)
-        if k % 4 == 3:
-            done = cut(done)
+        if k % 2 == 0 and k < len(records):  # each step reads what is done twice
+            done = cut(done.coalesce(shuffle_width(spark)))
     return done.select("node", F.coalesce(F.try_element_at("path", F.lit(1)), F.lit("")).alias("root"), F.size("path").alias("depth"), "path")
 
 
