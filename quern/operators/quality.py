@@ -27,8 +27,16 @@ def validate(df: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
     return x.select(*keep, F.array_join(F.concat("_e", "_w"), "; ").alias("issues"), F.when(F.size("_e") > 0, "error").when(F.size("_w") > 0, "review").otherwise("pass").alias("status"))
 
 
-def repeated(*keys: str) -> Column:
-    return F.count("*").over(Window.partitionBy(*keys)) > 1
+def mark_repeated(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``df`` with a boolean column: whether other rows have the same keys, nulls being equal.
+
+    Counted with map-side combining and joined back, so that a key with a large
+    share of the rows is never gathered in one task; AQE may split it in the join.
+    """
+    many = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n").withColumn(name, F.lit(True))
+    same = [df[k].eqNullSafe(many[f"_k{i}"]) for i, k in enumerate(keys)]
+    out = df.join(many, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def status_counts(report: DataFrame, *keys: str) -> DataFrame:
@@ -62,7 +70,7 @@ def validate_structure(nodes: DataFrame, pages: DataFrame | None = None, boundar
     trim = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     n = nodes.withColumn("node_id", trim("node_id")).withColumn("_p", trim("parent_id")).withColumn("source_id", trim("source_id"))
     parents = n.groupBy("node_id").agg(F.max(F.struct("source_id", "level", "node_order", "node_type", "include_status")).alias("p")).select(F.col("node_id").alias("_p"), F.col("p.source_id").alias("p_source"), F.col("p.level").alias("p_level"), F.col("p.node_order").alias("p_order"), F.col("p.node_type").alias("p_type"), F.col("p.include_status").alias("p_status"))
-    x = n.withColumn("_dup", repeated("node_id")).withColumn("_dup_order", repeated("source_id", "node_order")).join(parents, "_p", "left")
+    x = mark_repeated(mark_repeated(n, "_dup", "node_id"), "_dup_order", "source_id", "node_order").join(parents, "_p", "left")
     has = F.col("_p") != ""
     known = F.col("p_source").isNotNull()
     types, modes = ("section", "subsection", "question", "recommendation"), ("auto_text", "manual_table", "hybrid", "exclude")
@@ -102,8 +110,8 @@ def marker_order(located: DataFrame) -> DataFrame:
 def validate_tables(evidence: DataFrame, nodes: DataFrame, boundaries: DataFrame, required_terms: DataFrame | None = None, sources: list[str] | None = None) -> DataFrame:
     """Manual table records against structure, document body and the terms they must contain."""
     n = nodes.select("node_id", F.col("source_id").alias("n_source"), F.col("include_status").alias("n_status"), F.col("extraction_mode").alias("n_mode"), F.col("pdf_page").alias("n_page"))
-    x = evidence.withColumn("_page", F.col("pdf_page").cast("string").try_cast("int")).withColumn("_dup", repeated("record_id")).withColumn("_h", X.text_hash("text"))
-    x = x.withColumn("_dup_text", repeated("_h")).join(n, "node_id", "left").join(boundaries.select("source_id", "body_start_page", "body_end_page"), "source_id", "left")
+    x = evidence.withColumn("_page", F.col("pdf_page").cast("string").try_cast("int")).withColumn("_h", X.text_hash("text"))
+    x = mark_repeated(mark_repeated(x, "_dup", "record_id"), "_dup_text", "_h").join(n, "node_id", "left").join(boundaries.select("source_id", "body_start_page", "body_end_page"), "source_id", "left")
     if required_terms is not None:
         x = x.join(required_terms.select("record_id", "terms"), "record_id", "left")
     rules = [
@@ -134,7 +142,7 @@ def _referenced(benchmark: DataFrame, corpus: DataFrame) -> DataFrame:
 def validate_benchmark(benchmark: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, issues, status) of benchmark questions; identical rows count once."""
     b = benchmark.distinct()
-    b = b.withColumn("_row", F.sha2(F.to_json(F.struct(*b.columns)), 256)).withColumn("_dup", repeated("query_id"))
+    b = mark_repeated(b.withColumn("_row", F.sha2(F.to_json(F.struct(*b.columns)), 256)), "_dup", "query_id")
     x = b.join(_referenced(b, corpus), "_row", "left")
     ids = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     gold, support, answerable = ids("gold_chunk_ids"), ids("supporting_chunk_ids"), F.col("answerability") == "answerable"
@@ -178,8 +186,8 @@ FORBIDDEN = {"reference_section": "参考文献", "workgroup_roster": "共识工
 def validate_corpus(chunks: DataFrame, sources: list[str] | None = None, least: int = 30, most: int = 1800, forbidden: dict[str, str] | None = None) -> DataFrame:
     """(chunk_id, issues, status) of corpus chunks; identical rows count once."""
     c = chunks.distinct() if not any(t.startswith("map") for _, t in chunks.dtypes) else chunks
-    c = c.withColumn("_h", X.text_hash("text")).withColumn("_dup", repeated("chunk_id"))
-    c = c.withColumn("_dup_text", (F.count("*").over(Window.partitionBy("_h")) > 1) & ~blank(F.col("text")))
+    c = mark_repeated(mark_repeated(c.withColumn("_h", X.text_hash("text")), "_dup", "chunk_id"), "_dup_text", "_h")
+    c = c.withColumn("_dup_text", F.col("_dup_text") & ~blank(F.col("text")))
     rules = [
         Rule("empty_chunk_id", blank(F.col("chunk_id"))), Rule("duplicate_chunk_id", F.col("_dup")), Rule("duplicate_text", F.col("_dup_text")), Rule("missing_source", blank(F.col("source_id"))), Rule("empty_text", blank(F.col("text"))),
         Rule("citation_only", ~blank(F.col("text")) & X.citation_only("text")), *[Rule(f"forbidden_{k}", F.col("text").rlike(p)) for k, p in (FORBIDDEN if forbidden is None else forbidden).items()],

@@ -32,8 +32,8 @@ def review_sample(chunks: DataFrame, size: int, high_risk: Column, seed: int = 4
     The forced rows may be more than ``size``; then nothing is filled.  A row's
     reason is the first that applies.
     """
-    w = Window.partitionBy("source_id").orderBy(F.col("chunk_id").desc())
-    x = chunks.withColumn("_last", F.row_number().over(w) == 1)
+    last = chunks.groupBy("source_id").agg(F.max("chunk_id").alias("chunk_id")).withColumn("_last", F.lit(True))
+    x = chunks.join(last, ["source_id", "chunk_id"], "left")
     continued = x.where("context_repeated").select("node_id").distinct().withColumn("_cont", F.lit(True))
     x = x.join(continued, "node_id", "left")
     reason = F.when(F.col("content_type") == "manual_table_chunk", "manual_table").when(F.coalesce(high_risk, F.lit(False)), "high_risk").when(F.coalesce(F.col("context_repeated"), F.lit(False)), "continuation").when(F.col("_cont") & F.col("chunk_id").rlike("-C0*1$"), "continuation_start").when(F.col("_last"), "last_of_source")
