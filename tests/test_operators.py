@@ -277,3 +277,48 @@ def test_embed_and_detections(spark):
     d = spark.createDataFrame([("s", 1, 2, 2), ("s", 2, 0, 1), ("s", 3, None, 0)], "source_id string, page int, a int, b int")
     r = quality.detection_totals(d, "a", "b").first()
     assert (r.a_tables, r.a_pages, r.b_tables, r.b_pages, r.differing_pages) == (2, [1], 3, [1, 2], 1)
+
+
+def test_predicates(spark):
+    rows = ["一、概述", "（二）方法", "推荐意见 3 内容", "INTRODUCTION AND AIMS", "Not a heading.", "1. item", "• item", "plain"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = {r.t: (r.zh, r.en, r.s, r.l) for r in df.select("t", filters.is_heading("t", F.lit("zh")).alias("zh"), filters.is_heading("t", F.lit("en")).alias("en"), filters.starts_section("t").alias("s"), filters.is_list_item("t").alias("l")).collect()}
+    assert [got[r][0] for r in rows] == [True, True, True, False, False, False, False, False]
+    assert got["INTRODUCTION AND AIMS"][1] and got["INTRODUCTION AND AIMS"][2] and not got["Not a heading."][1]
+    assert [got[r][3] for r in rows] == [False, True, False, False, False, True, True, False]
+    assert [r[0] for r in df.select(filters.section_heading("t")).collect()][2] == "推荐意见 3"
+
+
+def test_structure_and_tables(spark):
+    n = "source_id string, node_id string, parent_id string, node_order int, node_type string, level int, pdf_page int, marker_text string, marker_occurrence int, include_status string, extraction_mode string"
+    nodes = spark.createDataFrame([("s", "a", None, 1, "section", 1, 1, "A", 1, "included", "auto_text"), ("s", "b", "a", 2, "recommendation", 2, 1, "B", 2, "included", "exclude"), ("s", "b", "x", 2, "odd", 5, 9, "", 0, "maybe", None), ("t", "c", "a", 1, "question", 2, 1, "C", 1, "included", "manual_table")], n)
+    pages = spark.createDataFrame([("s", 1, "B A"), ("t", 1, "C")], "source_id string, pdf_page_number int, text string")
+    bounds = spark.createDataFrame([("s", 1, 1)], "source_id string, body_start_page int, body_end_page int")
+    got = sorted((r.node_id, r.status, r.issues) for r in quality.validate_structure(nodes, pages, bounds).collect())
+    assert got[0] == ("a", "pass", "")
+    assert "marker_occurrence_out_of_range" in got[1][2] + got[2][2] and "pdf_page_not_found" in got[1][2] + got[2][2]
+    assert got[3][2].startswith("parent_from_different_source") and "document_boundary_not_found" in got[3][2]
+    located = corpus.locate_nodes(nodes.where("node_id <> 'c' AND marker_text <> ''").withColumn("marker_occurrence", F.lit(1)), pages)
+    assert [r.node_id for r in quality.marker_order(located.withColumn("node_order", F.when(F.col("node_id") == "a", 1).otherwise(2))).collect()] == ["b"]
+    e = "record_id string, source_id string, node_id string, pdf_page int, table_id string, table_title string, record_type string, scope string, display_title string, text string, include_status string, extraction_mode string, review_status string"
+    long = "x" * 50
+    ev = spark.createDataFrame([("r1", "t", "c", 1, "t1", "T", "row", "s", "d", long, "included", "manual_table", "human_verified"), ("r2", "s", "zz", None, "", "T", "row", "s", "d", "short", "included", "auto", None)], e)
+    terms = spark.createDataFrame([("r1", ["x", "y"])], "record_id string, terms array<string>")
+    got = {r.record_id: r.issues for r in quality.validate_tables(ev, nodes.where("node_id <> 'b'"), bounds, terms, ["s"]).collect()}
+    assert got["r1"].startswith("missing_required_content; ") and "unexpected_source" in got["r1"]
+    assert all(x in got["r2"] for x in ("invalid_pdf_page", "structure_node_not_found", "empty_table_id", "evidence_not_human_verified", "text_unusually_short", "record_not_in_expectation"))
+    with pytest.raises(ValueError):
+        corpus.table_chunks(ev, nodes.withColumn("title_path", F.array(F.lit("a"))), "v")
+
+
+def test_freeze_gate(spark):
+    b = "query_id string, phase string, split string, topic string, query_type string, difficulty string, query string, answerability string, gold_chunk_ids array<string>, supporting_chunk_ids array<string>, expected_source_ids array<string>, evidence_scope string, review_status string"
+    good = ("q1", "pilot", "dev", "t", "k", "easy", "long question?", "answerable", ["c1"], [], ["s"], "single_chunk", "verified")
+    corp = spark.createDataFrame([("c1", "s")], "chunk_id string, source_id string")
+    quality.freeze_gate(spark.createDataFrame([good, good], b), corp, {"questions": 1})
+    for bad in ({"gold_chunk_ids": ["zz"]}, {"split": None}, {"supporting_chunk_ids": ["c1"]}, {"evidence_scope": "multi_chunk"}, {"answerability": "unanswerable"}, {"expected_source_ids": ["other"]}):
+        row = dict(zip([x.split()[0] for x in b.split(", ")], good)) | bad
+        with pytest.raises(ValueError):
+            quality.freeze_gate(spark.createDataFrame([tuple(row.values())], b), corp, {})
+    with pytest.raises(ValueError):
+        quality.freeze_gate(spark.createDataFrame([good], b), corp, {"multi_chunk": 2})

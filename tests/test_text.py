@@ -68,3 +68,21 @@ def test_citations_and_fields(spark):
     assert one(spark, (" ", ["a", "b"], "", "t"), X.dense_text("r", "p", "d", "t"), schema="r string, p array<string>, d string, t string")[0] == "a > b\nt"
     assert one(spark, "现有的证据不足", X.says_insufficient("t"))[0] is True
     assert one(spark, "| a | b |\n|---|:---:|\n| 1 | 2 |", X.markdown_separators("t"))[0] == 1
+
+
+def test_more_normalisers(spark):
+    assert one(spark, "a  b\r\n\n c\td ", X.one_line("t"))[0] == "a b c d"
+    assert one(spark, "膝 关节 ， 痛 （ 轻 ） knee pain", X.compact_cjk("t"))[0] == "膝关节，痛 （轻） knee pain"
+    assert one(spark, "12 text\nno", X.strip_preprint_numbers("t", F.lit("s"), ["s"]))[0] == "text\nno"
+    assert one(spark, "METHODS 12\n34\nbody", X.strip_residual_numbers("t"))[0] == "METHODS\nbody"
+    assert one(spark, "abcdefg", X.hard_slices("t", 3))[0] == ["abc", "def", "g"] and one(spark, "", X.hard_slices("t", 3))[0] == []
+    assert one(spark, "一\n \n　二  三", X.paragraphs("t"))[0] == ["一", "二 三"]
+    assert one(spark, (10, 9, 6000), X.extractability("a", "b", "c"), schema="a int, b int, c int")[0] == "ok"
+    assert one(spark, (10, 2, 6000), X.extractability("a", "b", "c"), schema="a int, b int, c int")[0] == "ocr_required"
+    assert one(spark, ("v", ["a", "b"], "t"), X.retrieval_text("v", "p", "t"), schema="v string, p array<string>, t string")[0] == "主题：v\n章节：a > b\nt"
+
+
+def test_nulls_stay_null(spark):
+    row = one(spark, (None,), *[f("t") for f in (X.squeeze, X.margin_signature, X.strip_line_numbers, X.one_line, X.compact_cjk, X.normalize_heading, X.sentences_any, X.text_hash)])
+    assert all(v is None for v in row)
+    assert one(spark, (None,), X.says_insufficient("t"), X.tokens(F.coalesce("t", F.lit(""))))[0] is False
