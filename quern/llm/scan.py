@@ -15,6 +15,7 @@ tables given, so it has at most 1/FREQUENT entries however large the corpus is.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -54,6 +55,10 @@ _KANA = re.compile("[ぁ-ヺ]")
 _STANDALONE = re.compile(r"(?<![\w\-‐‑­¬])[a-zà-ɏ]+(?![\w\-‐‑­¬])")
 _COMPOUND = re.compile(r"(?<![\w-])[a-zà-ɏ0-9]+(?:-[a-zà-ɏ0-9]+)+(?![\w-])")
 _HAN = re.compile("[㐀-鿿]")
+_TIGHT = re.compile("[㐀-鿿，。；：、“”（）！？]")
+_DIGIT = re.compile(r"\d")
+_UNREADABLE = re.compile(f"[{UNREADABLE}]")
+_HAN_OR_UNREADABLE = re.compile(f"[㐀-鿿{UNREADABLE}]")
 _NUMBER_LINE = re.compile(
     rf"^(?P<deco>[-–—·•.\[［(（【|~=\s]*(?:(?:page|pag\.?|seite|p\.?|第)\s*)?)(?P<n>[\dOoQlI|iSBZ{UNREADABLE}]{{1,5}})(?P<of>\s*(?:/|of)\s*[\dOoQlI|iSBZ{UNREADABLE}]{{1,5}})?(?P<end>\s*页?[-–—·•.\]］)）】|~=\s]*)$", re.I)
 _ROMAN = re.compile(r"^[-–—·\[(\s]*(m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))[-–—·\])\s]*$", re.I)
@@ -71,24 +76,43 @@ class Trie:
             node[""] = n
 
     def within(self, word: str, most: int) -> list[tuple[str, int]]:
-        """(entry, count) of all entries within ``most`` edits: the automaton's states, a row of distances, walk the trie."""
+        """(entry, count) of all entries within ``most`` edits.
+
+        The automaton's state at depth d is the band of distances at word positions
+        d - most to d + most; a branch of the trie is left when all of it is above ``most``.
+        """
         found: list[tuple[str, int]] = []
-        stack = [(self.root, "", list(range(len(word) + 1)))]
+        n, far, wide = len(word), most + 1, 2 * most + 1
+        first = [i if i <= n else far for i in range(most + 1)]
+        stack = [(self.root, "", 0, [far] * most + first)]
         while stack:
-            node, prefix, row = stack.pop()
-            if "" in node and row[-1] <= most:
+            node, prefix, d, row = stack.pop()
+            end = n - d + most
+            if "" in node and 0 <= end < wide and row[end] <= most:
                 found.append((prefix, node[""]))
+            lo = d + 1 - most
             for c, below in node.items():
                 if not c:
                     continue
-                nxt, best = [row[0] + 1], row[0] + 1
-                for i, w in enumerate(word):
-                    v = row[i] if w == c else 1 + min(row[i], row[i + 1], nxt[i])
-                    nxt.append(v)
+                new, before, best = [], far, far
+                for j in range(wide):
+                    i = lo + j
+                    if i < 0 or i > n:
+                        v = far
+                    else:
+                        v = before + 1
+                        if j + 1 < wide and row[j + 1] + 1 < v:
+                            v = row[j + 1] + 1
+                        if i and row[j] + (word[i - 1] != c) < v:
+                            v = row[j] + (word[i - 1] != c)
+                        if v > far:
+                            v = far
+                    new.append(v)
+                    before = v
                     if v < best:
                         best = v
                 if best <= most:
-                    stack.append((below, prefix + c, nxt))
+                    stack.append((below, prefix + c, d + 1, new))
         return found
 
 
@@ -124,9 +148,15 @@ class Vocabulary:
 
     def prepare(self) -> Vocabulary:
         self.trie = Trie(self.words)
+        self.most = max(self.words.values(), default=0)
         self.around: dict[str, list[tuple[str, int]]] = {}
         for w, n in self.windows.items():
             self.around.setdefault(w[0] + w[2], []).append((w[1], n))
+        self.most_after: dict[str, int] = {}
+        self.most_before: dict[str, int] = {}
+        for p, n in self.pairs.items():
+            self.most_after[p[0]] = max(n, self.most_after.get(p[0], 0))
+            self.most_before[p[1]] = max(n, self.most_before.get(p[1], 0))
         self.left_parts = Counter()
         for c, n in self.compounds.items():
             parts = c.split("-")
@@ -138,7 +168,9 @@ class Vocabulary:
     def _candidates(self, word: str) -> list[tuple[str, int, int]]:
         """(correction, count, position of the confusion) of a word, the likeliest first."""
         own = self.words.get(word, 0)
-        out = []
+        out: list[tuple[str, int, int]] = []
+        if TIMES * own > self.most:
+            return out  # nothing is so much more frequent
         for meant, n in self.trie.within(word, 1 if len(word) < 5 else 2):
             if meant != word and n >= (TIMES * own if own else UNKNOWN_LEAST):
                 at = confusion_at(word, meant)
@@ -161,6 +193,12 @@ class Vocabulary:
             return None
         return ranked[0], ranked[2]
 
+    def doubtful(self, left: str, seen: str, right: str) -> bool:
+        """Whether any other ideograph could be so much likelier here; false for almost all that is right."""
+        return self.most_before.get(right, 0) >= TIMES * max(1, self.pairs.get(seen + right, 0)) and (
+            self.most_after.get(left, 0) >= TIMES * max(1, self.pairs.get(left + seen, 0)) or self.most_after.get("。", 0) >= TIMES * max(1, self.pairs.get("。" + seen, 0))
+        )
+
     def ideograph(self, left: str, seen: str, right: str) -> str | None:
         """The ideograph that belongs between two characters if ``seen`` does not."""
         here = self.windows.get(left + seen + right, 0)
@@ -238,20 +276,21 @@ def furniture(lines: list[str], headers: list[str], title: str, offset: int | No
 
 
 def _tokens(lines: list[str], skip: dict[int, str]) -> tuple[str, list[int], list[int]]:
-    """The running text with digits masked and line ends joined, and line and position of each character."""
-    text, where, at = [], [], []
+    """The running text with digits masked and line ends joined; where each line starts in it; the lines' numbers."""
+    parts, starts, numbers, at, last = [], [], [], 0, ""
     for i, line in enumerate(lines):
         if i in skip:
             continue
-        if text and text[-1] != " " and not (_HAN.match(text[-1]) or text[-1] in "，。；：、“”（）！？" or (line and _HAN.match(line[0]))):
-            text.append(" ")
-            where.append(i)
-            at.append(-1)
-        for j, c in enumerate(line):
-            text.append("0" if c.isdigit() else c)
-            where.append(i)
-            at.append(j)
-    return "".join(text), where, at
+        if last and last != " " and not (_TIGHT.match(last) or (line and _HAN.match(line[0]))):
+            parts.append(" ")
+            at += 1
+            last = " "
+        starts.append(at)
+        numbers.append(i)
+        parts.append(_DIGIT.sub("0", line))
+        at += len(line)
+        last = line[-1:] or last
+    return "".join(parts), starts, numbers
 
 
 def count_tokens(lines: list[str], skip: dict[int, str], counts: dict[str, Counter]) -> None:
@@ -268,7 +307,7 @@ def count_tokens(lines: list[str], skip: dict[int, str], counts: dict[str, Count
         counts["compounds"].update(_COMPOUND.findall(re.sub("[‐‑]", "-", low)))
         words = _WORD.findall(re.sub(r"\d", "0", low))
         counts["beside"].update(map(" ".join, zip(words, words[1:])))
-    text, _, _ = _tokens(lines, skip)
+    text = _tokens(lines, skip)[0]
     if _HAN.search(text) and not _KANA.search(text):
         counts["pairs"].update(a + b for a, b in zip(text, text[1:]) if a > "⺀" or b > "⺀")
         counts["windows"].update(a + b + c for a, b, c in zip(text, text[1:], text[2:]) if "㐀" <= b <= "鿿")
@@ -336,14 +375,14 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
             else:
                 stream.append((m.group(), places))
         glue = joins.get(i) == "divided" and bool(found) and found[-1].end() == cut_at
-    low = [re.sub(r"\d", "0", w.lower()) for w, _ in stream]
+    low = [_DIGIT.sub("0", w.lower()) for w, _ in stream]
     for k, (word, places) in enumerate(stream):
         bare = word.lower()
-        if any(c in UNREADABLE for c in bare):
+        if _UNREADABLE.search(bare):
             damage.update((i, "misread_char") for (i, _), c in zip(places, word) if c in UNREADABLE)
-        if not any(map(str.isalnum, bare)) or bare.isdigit():
+        if bare.isdigit() or not any(map(str.isalnum, bare)):
             continue
-        if any(c.isdigit() for c in bare):
+        if not bare.isalpha() and _DIGIT.search(bare):
             if bare.isascii() and vocabulary.beside.get(f"{low[k - 1] if k else ''} {low[k]}", 0) + vocabulary.beside.get(f"{low[k]} {low[k + 1] if k + 1 < len(low) else ''}", 0) >= TIMES:
                 continue
         before, after = low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
@@ -363,19 +402,25 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
                     fixed[x][y] = ""
         elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*", word) and low[k] not in vocabulary.words:
             damage.add((places[0][0], "misread_char"))
-    joined, where, at = _tokens(lines, skip)
+    joined, starts, numbers = _tokens(lines, skip)
     chinese = bool(joined) and not _KANA.search(joined)
     chars = list(joined)
-    for k, c in enumerate(joined):
-        if c in UNREADABLE and at[k] >= 0:
-            damage.add((where[k], "misread_char"))
-        if chinese and ("㐀" <= c <= "鿿" or c in UNREADABLE):
-            # The character before may have been put right just now; the ends of the text count as those of a sentence.
-            left, right = chars[k - 1] if k else "。", joined[k + 1] if k + 1 < len(joined) else "。"
-            meant = vocabulary.ideograph(left, c, right) or (vocabulary.ideograph("。", c, right) if at[k] == 0 else None)
+    for m in _HAN_OR_UNREADABLE.finditer(joined):
+        k, c = m.start(), m.group()
+        # The character before may have been put right just now; the ends of the text count as those of a sentence.
+        left, right = chars[k - 1] if k else "。", joined[k + 1] if k + 1 < len(joined) else "。"
+        unread = c in UNREADABLE
+        if not unread and not (chinese and vocabulary.doubtful(left, c, right)):
+            continue
+        n = bisect_right(starts, k) - 1
+        i, j = numbers[n], k - starts[n]
+        if unread:
+            damage.add((i, "misread_char"))
+        if chinese:
+            meant = vocabulary.ideograph(left, c, right) or (vocabulary.ideograph("。", c, right) if j == 0 else None)
             if meant:
-                damage.add((where[k], "misread_char"))
-                fixed[where[k]][at[k]] = chars[k] = meant
+                damage.add((i, "misread_char"))
+                fixed[i][j] = chars[k] = meant
     longest = max((len(lines[i]) for i in body), default=0)
     out: list[str] = []
     for n, i in enumerate(body):
