@@ -156,10 +156,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+# Fixed value: what a search token is.
+TOKEN = r"[\x{4e00}-\x{9fff}]+|[a-z0-9]+(?:[._/-][a-z0-9]+)*"
+
+
 def tokens(c, normalize: bool = True) -> Column:
     """Search tokens: of each run of ideographs all single ones, then all pairs; words with inner . _ / or -."""
     text = F.lower(nfkc(col(c)) if normalize else col(c))
-    runs = F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]+|[a-z0-9]+(?:[._/-][a-z0-9]+)*"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
     def expand(run: Column) -> Column:
         n = F.length(run)

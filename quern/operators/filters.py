@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..session import strip
 
+# Patterns on which the results depend.
+LIST_ITEM = r"^(?:\d+[.、）)]|[（(][一二三四五六七八九十\d]+[）)]|[①②③④⑤⑥⑦⑧⑨⑩]|[-•])"
+HEADING_ZH = r"^(?:[一二三四五六七八九十]+、\S.{0,60}|[（(][一二三四五六七八九十]+[）)]\S.{0,60}|(?:推荐意见|推荐建议|临床问题|问题)\s*\d+\S*.{0,60})$"
+HEADING_EN = r"(?i)^(?:RECOMMENDATION|QUESTION)\s+\d+\S*.{0,60}$"
+SECTION_START = r"^[一二三四五六七八九十]+、|^\d+(?:\.\d+)*[.、]\s*\S+|^(?:推荐意见|推荐建议|临床问题|问题)\s*\d+|^(?i:recommendation|question)\s*\d+"
+SECTION_CAPITALS = r"^[A-Z][A-Z0-9 /,&():\-]+$"
+SECTION_LABEL = r"^((?:推荐意见|推荐建议|临床问题|问题)\s*\d+|(?i:recommendation|question)\s*\d+)"
+
 
 def included(df: DataFrame, column: str = "include_status") -> DataFrame:
     return df.where(F.lower(strip(F.col(column))) == "included")
@@ -39,7 +47,7 @@ def body_pages(pages: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def is_list_item(c) -> Column:
-    return strip(X.col(c)).rlike(r"^(?:\d+[.、）)]|[（(][一二三四五六七八九十\d]+[）)]|[①②③④⑤⑥⑦⑧⑨⑩]|[-•])")
+    return strip(X.col(c)).rlike(LIST_ITEM)
 
 
 def ends_sentence(c, colon: bool = False) -> Column:
@@ -52,23 +60,23 @@ def is_heading(c, language) -> Column:
     """Section headings that are certain: Chinese enumerations, or English lines of up to 12 words almost all in capitals."""
     t = strip(X.col(c))
     size = F.length(t)
-    zh = t.rlike(r"^(?:[一二三四五六七八九十]+、\S.{0,60}|[（(][一二三四五六七八九十]+[）)]\S.{0,60}|(?:推荐意见|推荐建议|临床问题|问题)\s*\d+\S*.{0,60})$")
+    zh = t.rlike(HEADING_ZH)
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     caps = (letters > 0) & (F.regexp_count(t, F.lit(r"\p{Lu}")) / F.when(letters > 0, letters) >= 0.85) & (F.size(F.split(t, r"(?U)\s+")) <= 12)
-    named = t.rlike(r"(?i)^(?:RECOMMENDATION|QUESTION)\s+\d+\S*.{0,60}$")
+    named = t.rlike(HEADING_EN)
     possible = (size > 0) & (size <= 90) & ~t.rlike("[。；.;，,]$")
     return possible & F.when(F.lower(X.col(language)).startswith("zh"), zh).otherwise(named | F.coalesce(caps, F.lit(False)))
 
 
 def starts_section(c) -> Column:
     t = strip(X.col(c))
-    return t.rlike(r"^[一二三四五六七八九十]+、|^\d+(?:\.\d+)*[.、]\s*\S+|^(?:推荐意见|推荐建议|临床问题|问题)\s*\d+|^(?i:recommendation|question)\s*\d+") | ((F.length(t) <= 80) & t.rlike(r"^[A-Z][A-Z0-9 /,&():\-]+$"))
+    return t.rlike(SECTION_START) | ((F.length(t) <= 80) & t.rlike(SECTION_CAPITALS))
 
 
 def section_heading(c) -> Column:
     """A short label of the section a unit starts."""
     t = strip(X.col(c))
-    label = F.regexp_extract(t, r"^((?:推荐意见|推荐建议|临床问题|问题)\s*\d+|(?i:recommendation|question)\s*\d+)", 1)
+    label = F.regexp_extract(t, SECTION_LABEL, 1)
     return F.when(label != "", label).when(F.length(t) <= 100, t).otherwise("")
 
 
