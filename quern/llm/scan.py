@@ -400,7 +400,7 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
                 fixed[a][b] = meant
                 for x, y in places[1:]:
                     fixed[x][y] = ""
-        elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*", word) and low[k] not in vocabulary.words:
+        elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*|[lO]{2,}", word) and low[k] not in vocabulary.words:
             damage.add((places[0][0], "misread_char"))
     joined, starts, numbers = _tokens(lines, skip)
     chinese = bool(joined) and not _KANA.search(joined)
