@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,33 +32,65 @@ def index_text(title_path, display_title, text, title_repeat: int = 2) -> Column
     return F.concat_ws(" ", *[title] * title_repeat, X.col(text))
 
 
+_TOKEN = re.compile(X.TOKEN.replace(r"\x{4e00}-\x{9fff}", "\u4e00-\u9fff"))
+
+
+def token_counts(text: str, normalize: bool = True) -> Counter:
+    """Search tokens of a text and how often each occurs; the same tokens as functions.text.tokens gives."""
+    text = (unicodedata.normalize("NFKC", text) if normalize and not text.isascii() else text).lower()
+    out: Counter = Counter()
+    for run in _TOKEN.findall(text):
+        if run[0] >= "\u4e00":
+            out.update(run)
+            out.update(map("".join, zip(run, run[1:])))
+        else:
+            out[run] += 1
+    return out
+
+
 def postings(documents: DataFrame, id_col: str, text: Column, normalize: bool = True) -> DataFrame:
-    """(id, term, tf, length): one row per distinct term of a document."""
-    tokens = documents.select(F.col(id_col).alias("id"), X.tokens(F.coalesce(text, F.lit("")), normalize).alias("t"))
-    terms = tokens.select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return terms.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    """(id, term, tf, length): one row per distinct term of a document, one document a row.
 
+    Counted inside the row, so that nothing is shuffled; in Python batches, because
+    normalisation needs it and pairs of ideographs cost the JVM a scan each.  A
+    document's length comes once more in a row with an empty term.
+    """
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    schema = T.StructType([rows.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType())])
 
-def index_statistics(documents: DataFrame, id_col: str, text: Column, normalize: bool = True) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, terms, tfs, lengths = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                counts = token_counts(t, normalize)
+                n = counts.total()
+                at += [i] * (len(counts) + 1)
+                terms += ["", *counts]
+                tfs += [n, *counts.values()]
+                lengths += [n] * (len(counts) + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64())], names=["id", "term", "tf", "length"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def index_statistics(index: DataFrame) -> DataFrame:
     """(n_docs, avg_length): one row; documents without tokens count."""
-    return documents.select(F.size(X.tokens(F.coalesce(text, F.lit("")), normalize)).alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    return index.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
 
 
-def bm25_scores(index: DataFrame, queries: DataFrame, query_id: str, query: str, statistics: DataFrame, normalize: bool = True, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) of every document that shares a term with a query.
+def bm25_contributions(index: DataFrame, queries: DataFrame, query_id: str, query: str, normalize: bool = True, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, w): what each shared term adds to a document's score.
 
     The inverted index is met by term; a term's document frequency is counted over
-    the whole index.  Terms of the queries prune the index before anything is
-    joined on, and what is summed is one number per pair and term, combined map-side.
+    the whole index.  The terms of the queries prune the index before it is joined.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query), normalize)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = postings(queries.select(query_id, query).distinct(), query_id, F.col(query), normalize).where("term <> ''").groupBy(F.col("id").alias("query_id"), "term").agg(F.sum("tf").alias("qtf"))
     wanted = index.join(q.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    x = wanted.join(df, "term").crossJoin(F.broadcast(statistics))  # one row
+    x = wanted.join(df, "term").crossJoin(F.broadcast(index_statistics(index)))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    weighted = x.select("id", "term", weight.alias("w"))
-    return weighted.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    return x.select("id", "term", weight.alias("w")).join(q, "term").select("query_id", "id", (F.col("w") * F.col("qtf")).alias("w"))
 
 
 def ranked(scores: DataFrame, k: int, *order: Column, query_id: str = "query_id") -> DataFrame:
@@ -72,13 +107,12 @@ def bm25_topk(documents: DataFrame, id_col: str, text: Column, queries: DataFram
     smallest ids, so only those k rows are crossed with the queries.
     """
     index = postings(documents, id_col, text, normalize)
-    scores = bm25_scores(index, queries, query_id, query, index_statistics(documents, id_col, text, normalize), normalize)
-    hits = ranked(scores.withColumn("score", F.round("score", 12)), k, F.col("score").desc(), F.col("id"))
+    parts = bm25_contributions(index, queries, query_id, query, normalize)
     least = documents.select(F.col(id_col).alias("id")).orderBy("id").limit(k)  # k rows
-    fill = queries.select(F.col(query_id).alias("query_id")).distinct().crossJoin(F.broadcast(least))
-    fill = fill.join(scores.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    both = hits.select("query_id", "id", "score").unionByName(fill)
-    return ranked(both, k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
+    fill = queries.select(F.col(query_id).alias("query_id")).distinct().crossJoin(F.broadcast(least)).withColumn("w", F.lit(0.0))
+    # The fills join the same aggregation, which combines map-side, as contributions of 0.
+    scores = parts.unionByName(fill).groupBy("query_id", "id").agg(F.round(F.sum("w"), 12).alias("score"))
+    return ranked(scores, k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
 
 
 def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 10, skip_self: bool = False) -> DataFrame:

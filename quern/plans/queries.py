@@ -57,12 +57,12 @@ def _bm25(spark: SparkSession, d: str, normalize: bool) -> DataFrame:
 
 def bm25_index_stats(spark, d):
     text = retrieval.index_text("title_path", "display_title", F.coalesce("text", F.lit("")))
-    return retrieval.index_statistics(_gold(spark, d), "chunk_id", text, False).select("n_docs", F.round("avg_length", 6).alias("avg_length"))
+    return retrieval.index_statistics(retrieval.postings(_gold(spark, d), "chunk_id", text, False)).select("n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
 def token_df_topn(spark, d):
     """The 100 terms in most chunks: a report of the most frequent."""
-    p = retrieval.postings(_gold(spark, d), "chunk_id", F.col("text"), False)
+    p = retrieval.postings(_gold(spark, d), "chunk_id", F.col("text"), False).where("term <> ''")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("df").desc(), "term").limit(100)
 
 
