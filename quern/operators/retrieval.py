@@ -18,6 +18,8 @@ from ..functions import text as X
 K1, B = 1.5, 0.75
 #: Bytes of query vectors that are sent to every worker at once; more are scored in blocks of this size.
 QUERY_BLOCK_BYTES = 64 << 20
+#: Cells of the term by query matrix up to which all documents are scored by matrix products; beyond it terms are joined.
+MATRIX_CELLS = 8_000_000
 MISS = 999
 
 
@@ -78,21 +80,61 @@ def index_statistics(index: DataFrame) -> DataFrame:
     return index.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
 
 
-def bm25_contributions(index: DataFrame, queries: DataFrame, query_id: str, query: str, normalize: bool = True, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, w): what each shared term adds to a document's score.
+def query_terms(queries: DataFrame, query_id: str, query: str, normalize: bool = True) -> DataFrame:
+    """(query_id, term, qtf)"""
+    rows = postings(queries.select(query_id, query).distinct(), query_id, F.col(query), normalize).where("term <> ''")
+    return rows.groupBy(F.col("id").alias("query_id"), "term").agg(F.sum("tf").alias("qtf"))
 
-    The inverted index is met by term; a term's document frequency is counted over
-    the whole index.  The terms of the queries prune the index before it is joined.
-    """
-    q = postings(queries.select(query_id, query).distinct(), query_id, F.col(query), normalize).where("term <> ''").groupBy(F.col("id").alias("query_id"), "term").agg(F.sum("tf").alias("qtf"))
-    wanted = index.join(q.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    x = wanted.join(df, "term").crossJoin(F.broadcast(index_statistics(index)))  # one row
+
+def _frequencies(index: DataFrame, q: DataFrame) -> DataFrame:
+    """(term, df) of the queries' terms, counted over the whole index."""
+    return index.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25_contributions(index: DataFrame, q: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, w): what each shared term adds to a document's score; the inverted index is met by term."""
+    x = index.where("term <> ''").join(_frequencies(index, q), "term").crossJoin(F.broadcast(index_statistics(index)))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     return x.select("id", "term", weight.alias("w")).join(q, "term").select("query_id", "id", (F.col("w") * F.col("qtf")).alias("w"))
 
 
+def _by_matrix(documents: DataFrame, id_col: str, text: Column, index: DataFrame, q: DataFrame, names: list, k: int, normalize: bool, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score): k candidates per query and batch of documents, scored by a product of weights and query terms."""
+    freq = {r.term: r.df for r in _frequencies(index, q).collect()}
+    stat = index_statistics(index).first()
+    n_docs, mean = stat.n_docs, stat.avg_length or 1.0
+    column = {t: j for j, t in enumerate(sorted(freq))}
+    idf = np.log(1 + (n_docs - np.array([freq[t] for t in sorted(freq)], dtype=float) + 0.5) / (np.array([freq[t] for t in sorted(freq)], dtype=float) + 0.5))
+    place = {name: i for i, name in enumerate(names)}
+    wanted = np.zeros((len(column), len(names)))
+    for r in q.collect():
+        if r.term in column:
+            wanted[column[r.term], place[r.query_id]] = r.qtf * idf[column[r.term]] * (k1 + 1)
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    step = max(16, min(2048, MATRIX_CELLS // (2 * max(1, len(column)))))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), rows.schema["id"], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = sorted(zip(batch.column(0)[at : at + step].to_pylist(), batch.column(1)[at : at + step].to_pylist()))
+                m = np.zeros((len(part), len(column)))
+                for i, (_, t) in enumerate(part):
+                    counts = token_counts(t, normalize)
+                    own = [(column[x], c) for x, c in counts.items() if x in column]
+                    if own:
+                        j, tf = np.array(own).T
+                        m[i, j] = tf / (tf + k1 * (1 - b + b * counts.total() / mean))
+                score = np.round(m @ wanted, 12) + 0.0
+                top = np.argsort(-score, axis=0, kind="stable")[:k]
+                ids = [part[i][0] for i in top.T.ravel()]
+                who = [x for x in names for _ in range(len(top))]
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids, batch.schema.field(0).type), pa.array(np.take_along_axis(score, top, 0).T.ravel())], names=["query_id", "id", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def ranked(scores: DataFrame, k: int, *order: Column, query_id: str = "query_id") -> DataFrame:
     """The first k rows of each query by ``order``, with rank from 1; WindowGroupLimit prunes before the shuffle."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).where(F.col("rank") <= k)
@@ -103,15 +145,22 @@ def bm25_topk(documents: DataFrame, id_col: str, text: Column, queries: DataFram
 
     Scores are compared rounded to twelve places, as the order in which terms are
     summed is not fixed.  Documents without a common term have score 0 and fill up
-    by id: a query with m hits needs at most k - m of them, and they are among the k
-    smallest ids, so only those k rows are crossed with the queries.
+    by id.  Where terms times queries are at most MATRIX_CELLS, that matrix is sent to
+    the workers and every batch of documents is scored by one product; beyond it the
+    inverted index is joined by term, and only the k smallest ids, all that fills can
+    be, are crossed with the queries.
     """
     index = postings(documents, id_col, text, normalize)
-    parts = bm25_contributions(index, queries, query_id, query, normalize)
-    least = documents.select(F.col(id_col).alias("id")).orderBy("id").limit(k)  # k rows
-    fill = queries.select(F.col(query_id).alias("query_id")).distinct().crossJoin(F.broadcast(least)).withColumn("w", F.lit(0.0))
-    # The fills join the same aggregation, which combines map-side, as contributions of 0.
-    scores = parts.unionByName(fill).groupBy("query_id", "id").agg(F.round(F.sum("w"), 12).alias("score"))
+    q = query_terms(queries, query_id, query, normalize)
+    asked = queries.select(F.col(query_id).alias("query_id")).where("query_id IS NOT NULL").distinct()
+    n_terms, n_queries = q.select("term").distinct().count(), asked.count()
+    if n_queries and n_terms * n_queries <= MATRIX_CELLS and n_queries <= 4096:
+        scores = _by_matrix(documents, id_col, text, index, q, [r.query_id for r in asked.collect()], k, normalize)
+    else:
+        least = documents.select(F.col(id_col).alias("id")).orderBy("id").limit(k)  # k rows
+        fill = asked.crossJoin(F.broadcast(least)).withColumn("w", F.lit(0.0))
+        # The fills join the same aggregation, which combines map-side, as contributions of 0.
+        scores = bm25_contributions(index, q).unionByName(fill).groupBy("query_id", "id").agg(F.round(F.sum("w"), 12).alias("score"))
     return ranked(scores, k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
 
 

@@ -11,7 +11,9 @@ from quern.operators import chunking, corpus, filters, generation, layout, quali
 from quern.sources import io
 
 
-def test_bm25_against_brute_force(spark):
+@pytest.mark.parametrize("cells", [8_000_000, 0])
+def test_bm25_against_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", cells)
     docs = {"d1": "膝痛 exercise", "d2": "膝痛 膝痛", "d3": "exercise exercise plan", "d4": "", "d0": "none of it"}
     queries = {"q1": "膝痛 exercise", "q2": "nothing here", "q3": "plan plan"}
 
