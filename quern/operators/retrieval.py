@@ -99,19 +99,35 @@ def bm25_contributions(index: DataFrame, q: DataFrame, k1: float = K1, b: float
     return x.select("id", "term", weight.alias("w")).join(q, "term").select("query_id", "id", (F.col("w") * F.col("qtf")).alias("w"))
 
 
-def _by_matrix(documents: DataFrame, id_col: str, text: Column, index: DataFrame, q: DataFrame, names: list, k: int, normalize: bool, k1: float = K1, b: float = B) -> DataFrame:
+def _by_matrix(documents: DataFrame, id_col: str, text: Column, q: DataFrame, names: list, k: int, normalize: bool, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score): k candidates per query and batch of documents, scored by a product of weights and query terms."""
-    freq = {r.term: r.df for r in _frequencies(index, q).collect()}
-    stat = index_statistics(index).first()
-    n_docs, mean = stat.n_docs, stat.avg_length or 1.0
+    asked = q.collect()
+    terms = {r.term for r in asked}
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df: Counter = Counter()
+            total = 0
+            for t in batch.column(0).to_pylist():
+                counts = token_counts(t, normalize)
+                df.update(counts.keys() & terms)
+                total += counts.total()
+            yield pa.RecordBatch.from_arrays([pa.array(["", *df]), pa.array([batch.num_rows, *df.values()], pa.int64()), pa.array([total] + [0] * len(df), pa.int64())], names=["term", "df", "total"])
+
+    # One row per term of the queries, and one with an empty term for all documents.
+    found = rows.select("text").mapInArrow(count, "term string, df bigint, total bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).collect()
+    freq = {r.term: r.df for r in found if r.term}
+    n_docs = sum(r.df for r in found if not r.term)
+    mean = sum(r.total for r in found) / n_docs if n_docs else 1.0
+    mean = mean or 1.0
     column = {t: j for j, t in enumerate(sorted(freq))}
     idf = np.log(1 + (n_docs - np.array([freq[t] for t in sorted(freq)], dtype=float) + 0.5) / (np.array([freq[t] for t in sorted(freq)], dtype=float) + 0.5))
     place = {name: i for i, name in enumerate(names)}
     wanted = np.zeros((len(column), len(names)))
-    for r in q.collect():
+    for r in asked:
         if r.term in column:
             wanted[column[r.term], place[r.query_id]] = r.qtf * idf[column[r.term]] * (k1 + 1)
-    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     step = max(16, min(2048, MATRIX_CELLS // (2 * max(1, len(column)))))
     schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), rows.schema["id"], T.StructField("score", T.DoubleType())])
 
@@ -155,7 +171,7 @@ def bm25_topk(documents: DataFrame, id_col: str, text: Column, queries: DataFram
     asked = queries.select(F.col(query_id).alias("query_id")).where("query_id IS NOT NULL").distinct()
     n_terms, n_queries = q.select("term").distinct().count(), asked.count()
     if n_queries and n_terms * n_queries <= MATRIX_CELLS and n_queries <= 4096:
-        scores = _by_matrix(documents, id_col, text, index, q, [r.query_id for r in asked.collect()], k, normalize)
+        scores = _by_matrix(documents, id_col, text, q, [r.query_id for r in asked.collect()], k, normalize)
     else:
         least = documents.select(F.col(id_col).alias("id")).orderBy("id").limit(k)  # k rows
         fill = asked.crossJoin(F.broadcast(least)).withColumn("w", F.lit(0.0))
