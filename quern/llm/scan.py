@@ -51,6 +51,7 @@ UNREADABLE = "�□¤■▯◻▢"
 _DIGIT_LIKE = str.maketrans("OoQlI|iSsBZzqg" + UNREADABLE, "00011115582299" + "0" * len(UNREADABLE))
 _HYPHEN_END = re.compile(r"([-‐‑­¬⁃‧])[ \t    　]*$")
 _WORD = re.compile(f"[A-Za-zÀ-ɏ0-9@€$|{UNREADABLE}]+")
+_NUMBER_LIKE = re.compile(r"(?=.*\d)[\dOoQlI|iSsBZzqg]{1,6}")
 _KANA = re.compile("[ぁ-ヺ]")
 _STANDALONE = re.compile(r"(?<![\w\-‐‑­¬])[a-zà-ɏ]+(?![\w\-‐‑­¬])")
 _COMPOUND = re.compile(r"(?<![\w-])[a-zà-ɏ0-9]+(?:-[a-zà-ɏ0-9]+)+(?![\w-])")
@@ -145,6 +146,7 @@ class Vocabulary:
     beside: dict[str, int] = field(default_factory=dict)
     pairs: dict[str, int] = field(default_factory=dict)
     windows: dict[str, int] = field(default_factory=dict)
+    numbers: dict[str, int] = field(default_factory=dict)
 
     def prepare(self) -> Vocabulary:
         self.trie = Trie(self.words)
@@ -178,6 +180,26 @@ class Vocabulary:
                     out.append((meant, n, at))
         return sorted(out, key=lambda x: (-x[1], x[0]))
 
+    def near(self, before: str, word: str, after: str) -> int:
+        """How often a word (digits masked) stands beside either neighbour."""
+        return self.beside.get(f"{before} {word}", 0) + self.beside.get(f"{word} {after}", 0)
+
+    def stands(self, seen: str, meant: str, before: str, after: str) -> bool:
+        """Whether ``seen`` is found between its neighbours and ``meant`` is not so much more often; a ratio, as misreads repeat too where there is much text."""
+        own = self.near(before, seen, after)
+        return own > 0 and self.near(before, meant, after) < TIMES * own
+
+    def number_stands(self, word: str, before: str, after: str) -> bool:
+        """Whether a number with one of O, o, l and I in it is no misread: it is found here, and in the whole or beside these words the pure number is not so much more often."""
+        masked = _DIGIT.sub("0", word.lower())
+        if not self.near(before, masked, after):
+            return False
+        if self.numbers.get(word.translate(_DIGIT_LIKE), 0) < TIMES * self.numbers.get(word.lower(), 0):
+            return True
+        # Numbers stand beside any number, so only words tell.
+        before, after = (w if any(map(str.isalpha, w)) else "" for w in (before, after))
+        return self.stands(masked, "0" * len(word), before, after)
+
     def correction(self, word: str, before: str, after: str) -> tuple[str, int] | None:
         """(correction, position) of a misread word between its neighbours, or None if it may stand."""
         if len(word) < 2 or not any(map(str.isalpha, word)):
@@ -185,7 +207,7 @@ class Vocabulary:
         found = self.candidates(word)
         if not found:
             return None
-        near = lambda w: self.beside.get(f"{before} {w}", 0) + self.beside.get(f"{w} {after}", 0)
+        near = lambda w: self.near(before, w, after)
         ranked = max(found, key=lambda x: (near(x[0]), x[1]))
         if word in self.words and near(ranked[0]) < TIMES * max(1, near(word)):
             return None  # a known word stands unless its place clearly asks for another
@@ -307,6 +329,7 @@ def count_tokens(lines: list[str], skip: dict[int, str], counts: dict[str, Count
         counts["compounds"].update(_COMPOUND.findall(re.sub("[‐‑]", "-", low)))
         words = _WORD.findall(re.sub(r"\d", "0", low))
         counts["beside"].update(map(" ".join, zip(words, words[1:])))
+        counts["numbers"].update(w for w in _WORD.findall(low) if _NUMBER_LIKE.fullmatch(w) or _NUMBER_LIKE.fullmatch(w.upper()))
     text = _tokens(lines, skip)[0]
     if _HAN.search(text) and not _KANA.search(text):
         counts["pairs"].update(a + b for a, b in zip(text, text[1:]) if a > "⺀" or b > "⺀")
@@ -382,11 +405,11 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
             damage.update((i, "misread_char") for (i, _), c in zip(places, word) if c in UNREADABLE)
         if bare.isdigit() or not any(map(str.isalnum, bare)):
             continue
-        if not bare.isalpha() and _DIGIT.search(bare):
-            if bare.isascii() and vocabulary.beside.get(f"{low[k - 1] if k else ''} {low[k]}", 0) + vocabulary.beside.get(f"{low[k]} {low[k + 1] if k + 1 < len(low) else ''}", 0) >= TIMES:
-                continue
         before, after = low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
+        mixed = bare.isascii() and _DIGIT.search(bare)
         better = vocabulary.correction(bare, before, after)
+        if mixed and better and vocabulary.stands(low[k], better[0], before, after):
+            better = None
         if better:
             meant, at = better
             i, j = places[min(at, len(places) - 1)]
@@ -400,7 +423,7 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
                 fixed[a][b] = meant
                 for x, y in places[1:]:
                     fixed[x][y] = ""
-        elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*|[lO]{2,}", word) and low[k] not in vocabulary.words:
+        elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*|[lO]{2,}", word) and low[k] not in vocabulary.words and not (mixed and vocabulary.number_stands(word, before, after)):
             damage.add((places[0][0], "misread_char"))
     joined, starts, numbers = _tokens(lines, skip)
     chinese = bool(joined) and not _KANA.search(joined)
@@ -477,7 +500,7 @@ def learn(records: DataFrame) -> Vocabulary:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon.install(setup)
         for b in batches:
-            counts = {k: Counter() for k in ("words", "compounds", "beside", "pairs", "windows")}
+            counts = {k: Counter() for k in ("words", "compounds", "beside", "pairs", "windows", "numbers")}
             for row in b.itertuples(index=False):
                 count_tokens(row.text.split("\n"), _skip(row), counts)
             for kind, c in counts.items():
@@ -486,7 +509,7 @@ def learn(records: DataFrame) -> Vocabulary:
 
     counts = cut(records.mapInPandas(run, "kind string, token string, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all"))
-    kept = counts.join(totals, "kind").where((F.col("n") >= FREQUENT * F.col("all")) & (F.col("n") >= F.when(F.col("kind") == "compounds", 2).otherwise(FREQUENT_LEAST)))
+    kept = counts.join(totals, "kind").where((F.col("n") >= FREQUENT * F.col("all")) & (F.col("n") >= F.when(F.col("kind") == "numbers", 1).when(F.col("kind") == "compounds", 2).otherwise(FREQUENT_LEAST)))
     vocabulary = Vocabulary()
     # At most 1/FREQUENT rows of a kind.
     rows = kept.select("kind", "token", "n").toPandas()

@@ -310,6 +310,19 @@ def test_repair(spark):
     assert scan.repair_scans(df.where("false")).count() == 0
 
 
+def test_repair_does_not_depend_on_repetition(spark):
+    texts = [f"Adults should walk for {n} weeks. The 6th visit is late (95 CI 10 to 20; I2 = {n} with care)." for n in range(10, 60)]
+    texts += ["Adults sh0uld walk for 4O weeks. The 6th visit is late."]
+
+    def damage(times):
+        df = spark.createDataFrame([(f"{t}-{i}", x) for t in range(times) for i, x in enumerate(texts)], "record_id string, text string")
+        df = df.select("record_id", F.lit("s").alias("source_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("page"), "text")
+        return {(r.record_id.split("-")[1], d.line_no, d.noise) for r in scan.repair_scans(df).collect() for d in r.damage}, {r.record_id.split("-")[1]: r.repaired for r in scan.repair_scans(df).collect()}
+
+    once, often = damage(1), damage(10)
+    assert once == often and once[0] == {("50", 0, "misread_char")} and once[1]["50"].startswith("Adults should walk for")
+
+
 # --- reading level
 
 
