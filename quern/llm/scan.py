@@ -189,16 +189,22 @@ class Vocabulary:
         own = self.near(before, seen, after)
         return own > 0 and self.near(before, meant, after) < TIMES * own
 
-    def number_stands(self, word: str, before: str, after: str) -> bool:
-        """Whether a number with one of O, o, l and I in it is no misread: it is found here, and in the whole or beside these words the pure number is not so much more often."""
-        masked = _DIGIT.sub("0", word.lower())
-        if not self.near(before, masked, after):
-            return False
-        if self.numbers.get(word.translate(_DIGIT_LIKE), 0) < TIMES * self.numbers.get(word.lower(), 0):
-            return True
+    def number_misread(self, word: str, before: str, after: str) -> bool:
+        """Whether letters in a number are misread digits.
+
+        With only O, o, l and I they are, unless the token is found here and the pure
+        number is not so much more often in the whole or beside these words; other
+        letters also mark grades and the like, so they are only where the pure number
+        is so much more often in the whole and beside these words.
+        """
+        masked, pure = _DIGIT.sub("0", word.lower()), "0" * len(word)
+        more = self.numbers.get(word.translate(_DIGIT_LIKE), 0) >= TIMES * max(1, self.numbers.get(word.lower(), 0))
+        found = self.near(before, masked, after)
         # Numbers stand beside any number, so only words tell.
         before, after = (w if any(map(str.isalpha, w)) else "" for w in (before, after))
-        return self.stands(masked, "0" * len(word), before, after)
+        if re.fullmatch(r"[\dOolI]+", word):
+            return not found or (more and not self.stands(masked, pure, before, after))
+        return more and self.near(before, pure, after) >= TIMES * max(1, self.near(before, masked, after))
 
     def correction(self, word: str, before: str, after: str) -> tuple[str, int] | None:
         """(correction, position) of a misread word between its neighbours, or None if it may stand."""
@@ -410,6 +416,9 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
         better = vocabulary.correction(bare, before, after)
         if mixed and better and vocabulary.stands(low[k], better[0], before, after):
             better = None
+        number = mixed and _NUMBER_LIKE.fullmatch(word) and vocabulary.number_misread(word, before, after)
+        if number and better and vocabulary.near(before, "0" * len(word), after) >= vocabulary.near(before, better[0], after):
+            better = None
         if better:
             meant, at = better
             i, j = places[min(at, len(places) - 1)]
@@ -423,7 +432,7 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
                 fixed[a][b] = meant
                 for x, y in places[1:]:
                     fixed[x][y] = ""
-        elif re.fullmatch(r"\d*[OolI]\d+|\d+[OolI]\d*|[lO]{2,}", word) and low[k] not in vocabulary.words and not (mixed and vocabulary.number_stands(word, before, after)):
+        elif number or (re.fullmatch("[lO]{2,}", word) and low[k] not in vocabulary.words):
             damage.add((places[0][0], "misread_char"))
     joined, starts, numbers = _tokens(lines, skip)
     chinese = bool(joined) and not _KANA.search(joined)

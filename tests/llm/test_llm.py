@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +323,17 @@ def test_repair_does_not_depend_on_repetition(spark):
     assert once == often and once[0] == {("50", 0, "misread_char")} and once[1]["50"].startswith("Adults should walk for")
 
 
+def test_letters_in_numbers():
+    texts = [f"Walk again within {n} weeks (grade {n % 9 + 1}B evidence), then rest; CI 10 to 20; I2 = {n}." for n in range(40, 60)] * 9
+    counts = defaultdict(Counter)
+    for x in texts:
+        scan.count_tokens([x], {}, counts)
+    vocabulary = scan.Vocabulary(**{k: dict(c) for k, c in counts.items()}).prepare()
+    damaged = lambda x: scan.repair(x, {}, vocabulary)[0] == [(0, "misread_char")]
+    assert all(damaged(f"Walk again within {n} weeks.") for n in ("4S", "S9", "S0", "4g", "4O", "4l"))
+    assert not any(damaged(x) for x in ("Walk again within 45 weeks.", "Rest (grade 5B evidence), then rest; CI 10 to 20; I2 = 45.", "Kept at S5 here."))
+
+
 # --- reading level
 
 
