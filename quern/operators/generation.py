@@ -140,13 +140,19 @@ def consistent(result: Column) -> Column:
     return ~listed | (result["unsupported_claim"] & (result["groundedness_score"] < 2))
 
 
+def _keys(judged: DataFrame) -> list[str]:
+    """The key of judged answers: with the run where judgements of several runs are kept apart."""
+    return ["run_id", "query_id"] if "run_id" in judged.columns else ["query_id"]
+
+
 def judge(cases: DataFrame, client: Callable[[str], str], retry_note: str = "\n\nReturn only valid JSON.") -> DataFrame:
-    """Cases with judge_prompt judged; one retry where the answer does not parse, none where the call fails."""
+    """Cases with judge_prompt judged; one retry where the answer does not parse, none where the call fails; run_id is kept if there."""
+    key = _keys(cases)
 
     def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for q, p in zip(b.query_id, b.judge_prompt):
+            for *k, p in zip(*(b[c] for c in key), b.judge_prompt):
                 raw = error = None
                 for note in ("", retry_note):
                     try:
@@ -159,24 +165,29 @@ def judge(cases: DataFrame, client: Callable[[str], str], retry_note: str = "\n\
                         break
                     except ValueError:
                         continue
-                rows.append((q, raw, error))
-            yield pd.DataFrame(rows, columns=["query_id", "raw_response", "call_error"])
+                rows.append((*k, raw, error))
+            yield pd.DataFrame(rows, columns=[*key, "raw_response", "call_error"])
 
-    x = cases.select("query_id", "judge_prompt").mapInPandas(attempt, "query_id string, raw_response string, call_error string")
+    x = cases.select(*key, "judge_prompt").mapInPandas(attempt, ", ".join(f"{c} string" for c in [*key, "raw_response", "call_error"]))
     x = x.withColumn("_p", parse_judgement("raw_response", "query_id"))
     r = F.col("_p.judge_result")
     fixed = F.when(r.isNotNull(), r.withField("overall_verdict", hard_fail(r)))
-    return x.select("query_id", F.when(F.col("call_error").isNotNull(), "error").otherwise(F.col("_p.judge_status")).alias("judge_status"), fixed.alias("judge_result"), F.coalesce("call_error", F.col("_p.judge_error")).alias("judge_error"), "raw_response")
+    return x.select(*key, F.when(F.col("call_error").isNotNull(), "error").otherwise(F.col("_p.judge_status")).alias("judge_status"), fixed.alias("judge_result"), F.coalesce("call_error", F.col("_p.judge_error")).alias("judge_error"), "raw_response")
 
 
 def evaluation_summary(rules: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row per question with the flags of rules and judge, manual_review and its ordered reasons."""
-    x = rules.join(judged.select("query_id", "judge_status", "judge_result"), "query_id")
+    """One row per answer with the flags of rules and judge, manual_review and its ordered reasons.
+
+    Where ``judged`` has run_id, rows are joined on (run_id, query_id) and keep both;
+    else on query_id, which holds for the answers of one run only.
+    """
+    key = _keys(judged)
+    x = rules.join(judged.select(*key, "judge_status", "judge_result"), key)
     r = F.col("judge_result")
     below = ~F.coalesce((r["relevance_score"] == 2) & (r["groundedness_score"] == 2) & (r["completeness_score"] == 2), F.lit(False))
     reasons = [("deterministic_fail", F.col("deterministic_pass") == 0), ("judge_error", F.col("judge_status") != "success"), ("judge_fail", r["overall_verdict"] == "fail"), ("unsupported_claim", r["unsupported_claim"]), ("non_max_score", below)]
     why = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in reasons]), lambda v: v.isNotNull())
-    return x.select("query_id", "answerability", "deterministic_pass", "judge_status", *[r[s].alias(s) for s in SCORES], r["unsupported_claim"].alias("unsupported_claim"), r["overall_verdict"].alias("overall_verdict"), (F.size(why) > 0).cast("int").alias("manual_review"), F.array_join(why, "; ").alias("review_reason"))
+    return x.select(*key, "answerability", "deterministic_pass", "judge_status", *[r[s].alias(s) for s in SCORES], r["unsupported_claim"].alias("unsupported_claim"), r["overall_verdict"].alias("overall_verdict"), (F.size(why) > 0).cast("int").alias("manual_review"), F.array_join(why, "; ").alias("review_reason"))
 
 
 def evaluation_totals(summary: DataFrame) -> DataFrame:
@@ -194,10 +205,11 @@ HUMAN = {"human_relevance_score": "int", "human_groundedness_score": "int", "hum
 
 
 def review_queue(summary: DataFrame, runs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Answers to be reviewed, with evidence, judgement and empty columns for the reviewer."""
-    q = summary.where("manual_review = 1").select("query_id", "review_reason")
-    x = q.join(runs.select("query_id", "query", "answerability", "answer", "evidence"), "query_id").join(judged.select("query_id", "judge_result"), "query_id")
-    return x.select("query_id", "query", "answerability", "answer", "evidence", "judge_result", "review_reason", *[F.lit(None).cast(t).alias(c) for c, t in HUMAN.items()])
+    """Answers to be reviewed, with evidence, judgement and empty columns for the reviewer; keyed as ``judged`` is."""
+    key = _keys(judged)
+    q = summary.where("manual_review = 1").select(*key, "review_reason")
+    x = q.join(runs.select(*key, "query", "answerability", "answer", "evidence"), key).join(judged.select(*key, "judge_result"), key)
+    return x.select(*key, "query", "answerability", "answer", "evidence", "judge_result", "review_reason", *[F.lit(None).cast(t).alias(c) for c, t in HUMAN.items()])
 
 
 PAIRS = {"relevance_score": "human_relevance_score", "groundedness_score": "human_groundedness_score", "completeness_score": "human_completeness_score", "unsupported_claim": "human_unsupported_claim", "overall_verdict": "human_verdict"}

@@ -338,9 +338,9 @@ def _digit(k: int, n: int):
     return (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("query_id"), k, 1)) - 1) % n
 
 
-def _raw_judgements(spark, d):
+def _raw_judgements(answers, *key):
     """Raw answers of a judge, made up from the question ids: fenced, cut off, out of range or sound."""
-    q = _first_run(spark, d).select("query_id").distinct()
+    q = answers.select(*key).distinct()
     pick = lambda i, *v: F.element_at(F.array(*[F.lit(x) for x in v]), i + 1)
     body = F.format_string(
         '{"query_id":"%s","relevance_score":%d,"groundedness_score":%d,"completeness_score":%d,"unsupported_claim":%s,"unsupported_claim_severity":"%s","unanswerable_behavior":"%s","overall_verdict":"%s","reason":"r"}',
@@ -351,10 +351,18 @@ def _raw_judgements(spark, d):
     return q.withColumn("raw_response", fenced)
 
 
-def _judged(spark, d):
-    x = _raw_judgements(spark, d).withColumn("p", generation.parse_judgement("raw_response", "query_id"))
+def _judge(answers, *key):
+    x = _raw_judgements(answers, *key).withColumn("p", generation.parse_judgement("raw_response", "query_id"))
     r = F.col("p.judge_result")
-    return x.select("query_id", "p.judge_status", F.when(r.isNotNull(), r.withField("overall_verdict", generation.hard_fail(r))).alias("judge_result"), "p.judge_error")
+    return x.select(*key, "p.judge_status", F.when(r.isNotNull(), r.withField("overall_verdict", generation.hard_fail(r))).alias("judge_result"), "p.judge_error")
+
+
+def _judged(spark, d):
+    return _judge(_first_run(spark, d), "query_id")
+
+
+def _judged_runs(spark, d):
+    return _judge(_generated(spark, d), "run_id", "query_id")
 
 
 def judge_parse(spark, d):
@@ -379,6 +387,25 @@ def review_queue(spark, d):
     return q.select("query_id", "review_reason", F.size("evidence").alias("evidence_count"), "human_verdict")
 
 
+def _summary_runs(spark, d):
+    rules = generation.deterministic_rules(_generated(spark, d))
+    return generation.evaluation_summary(rules, _judged_runs(spark, d))
+
+
+def evaluation_summary_runs(spark, d):
+    """evaluation_summary over the answers of all runs."""
+    return _summary_runs(spark, d).drop("completeness_score")
+
+
+def evaluation_totals_runs(spark, d):
+    return generation.evaluation_totals(_summary_runs(spark, d))
+
+
+def review_queue_runs(spark, d):
+    q = generation.review_queue(_summary_runs(spark, d), _generated(spark, d), _judged_runs(spark, d))
+    return q.select("run_id", "query_id", "review_reason", F.size("evidence").alias("evidence_count"), "human_verdict")
+
+
 def calibration(spark, d):
     j = _judged(spark, d)
     h = j.select("query_id", "judge_result", F.when(_digit(9, 4) > 0, F.col("judge_result.relevance_score")).otherwise(1).alias("human_relevance_score"), F.col("judge_result.groundedness_score").alias("human_groundedness_score"), F.lit(2).alias("human_completeness_score"), F.lit(None).cast("boolean").alias("human_unsupported_claim"), F.col("judge_result.overall_verdict").alias("human_verdict"))
@@ -436,7 +463,7 @@ def table_detections(spark, d):
 _NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
 text_normalize heading_normalize cjk_compact unwrapped_pages chunk_hash dup_text_audit sentence_units text_fields context_selection extractability_audit page_policy_status included_sources repeated_margin_lines stripped_pages reading_order assembled_pages
 baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead gold_sections structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
-generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
+generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue evaluation_summary_runs evaluation_totals_runs review_queue_runs calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
 
 QUERIES = {
     **{n: globals()[n] for n in _NAMES},

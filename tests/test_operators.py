@@ -219,6 +219,27 @@ def test_judge_retries_once(spark):
     assert generation.judge(cases, down).first().judge_error == "http"
 
 
+def test_evaluation_over_all_runs(spark, tmp_path):
+    import __spark_entry__ as e
+
+    ok = '{"query_id":"q1","relevance_score":2,"groundedness_score":2,"completeness_score":2,"unsupported_claim":false,"unsupported_claim_severity":"none","unanswerable_behavior":"pass","overall_verdict":"pass","reason":"r"}'
+    rows = [("r1", "q1", "Walk daily."), ("r2", "q1", None), ("r2", "q2", "Rest."), ("r2", "q2", "Rest.")]
+    df = spark.createDataFrame(rows, "run_id string, query_id string, answer string").withColumns({"query": F.lit("Q?"), "answerability": F.lit("answerable"), "top_k": F.lit(1), "generation_status": F.lit("success")})
+    df = df.withColumn("evidence", F.array(F.struct(F.lit(1).alias("rank"))))
+    df.write.parquet(f"{tmp_path}/generation_run.parquet")
+    got = {n: e.queries()[n](spark, str(tmp_path)).collect() for n in ("evaluation_summary_runs", "evaluation_totals_runs", "review_queue_runs")}
+    assert sorted((r.run_id, r.query_id, r.deterministic_pass) for r in got["evaluation_summary_runs"]) == [("r1", "q1", 1), ("r2", "q1", 0), ("r2", "q2", 1)]
+    assert [(r.answers, r.deterministic_pass) for r in got["evaluation_totals_runs"]] == [(3, 2)]
+    queue = {(r.run_id, r.query_id): r.review_reason for r in got["review_queue_runs"]}
+    assert queue[("r2", "q1")].startswith("deterministic_fail") and "deterministic_fail" not in queue.get(("r1", "q1"), "")
+    # The operators themselves: judgements of one run must not reach another's answers.
+    cases = df.where("query_id = 'q1'").select("run_id", "query_id", F.col("run_id").alias("judge_prompt"))
+    judged = generation.judge(cases, lambda p: ok if p.startswith("r1") else "no json")
+    summary = generation.evaluation_summary(generation.deterministic_rules(df.where("query_id = 'q1'")), judged)
+    assert sorted((r.run_id, r.judge_status, r.manual_review) for r in summary.collect()) == [("r1", "success", 0), ("r2", "error", 1)]
+    assert [r.run_id for r in generation.review_queue(summary, df, judged).collect()] == ["r2"]
+
+
 def test_sampling(spark):
     df = spark.createDataFrame([(f"c{i:02d}", "s", f"n{i}", "section_text", False, 1, 1 + i % 2, i) for i in range(20)], "chunk_id string, source_id string, node_id string, content_type string, context_repeated boolean, pdf_page_start int, pdf_page_end int, char_count int")
     s = sampling.review_sample(df, 6, F.col("char_count") > 17)
