@@ -144,7 +144,7 @@ def segments(answer: str) -> tuple[list[str], str, bool, bool, bool]:
         return [], "", True, False, False
     last, item = parts[-1]
     core = last.rstrip(_SHUT + " ")
-    finished = bool(cited and cited.start() and cited.end() == len(answer)) or (bool(core) and core[-1] in _FINAL) or (last != core and bool(_QUOTED.search(last[-400:])) and last[-1] in "”」』»\"")
+    finished = bool(cited and cited.start() and cited.end() == len(answer)) or (bool(core) and core[-1] in _FINAL) or (last != core and bool(_QUOTED.search(last)) and last[-1] in "”」』»\"")
     if last.count("“") > last.count("”") or last.count("「") > last.count("」") or last.count("（") > last.count("）") or last.count("(") > last.count(")"):
         finished = False
     doubtful = False

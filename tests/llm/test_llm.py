@@ -243,6 +243,11 @@ def test_pair_rules():
     assert not pairs.is_foreign("膝痛怎么办？", "原文表述为“Rest and then move again.”建议锻炼。") and not pairs.is_foreign("膝痛怎么办？", "NSAID")
 
 
+def test_long_closing_quotation():
+    assert pairs.segments("It says “rest often" + " and often" * 100 + "”")[2]
+    assert not pairs.segments("It says “rest often" + " and often" * 100)[2]
+
+
 def test_broken_pairs(spark):
     whole = "Exercise helps most people with knee pain."
     rows = [("r", "1", "Q one?", "answerable", whole), ("r", "1", "Q one?", "answerable", whole), ("r", "2", "Q two?", "answerable", "Rest. Exercise helps most peo"), ("r", "3", "Q three?", "answerable", "Tips:\n1. rest well\n2. walk a lot"), ("r", "4", "Q four?", "answerable", "Tips:\n1. walk a lot\n2. rest w")]
