@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..session import strip
 
 CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+#: The same with the hexagrams between them, as the compacting and citation rules have it.
+CJK_BLOCKS = r"\x{3400}-\x{9fff}"
 #: Line separators as str.splitlines knows them.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
@@ -40,27 +42,29 @@ def margin_signature(c) -> Column:
 
 
 def strip_line_numbers(c) -> Column:
-    """Numbers of up to three digits off the line starts, if at least half of the non-blank lines have one."""
+    """Non-blank lines without white space at their ends; numbers of up to three digits off the line starts, if at least half of the lines have one."""
     numbered = r"(?U)^\s*\d{1,3}\s+(?=\S)"
-    full = F.filter(lines(c), lambda x: x.rlike(r"(?U)\S"))
+    full = F.filter(F.transform(lines(c), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
     hits = F.size(F.filter(full, lambda x: x.rlike(numbered)))
-    cleaned = F.array_join(F.transform(lines(c), lambda x: F.regexp_replace(x, numbered, "")), "\n")
-    return F.when((hits > 0) & (hits * 2 >= F.size(full)), cleaned).otherwise(col(c))
+    cleaned = F.filter(F.transform(full, lambda x: strip(F.regexp_replace(x, numbered, ""))), lambda x: x != "")
+    return F.array_join(F.when(hits * 2 >= F.size(full), cleaned).otherwise(full), "\n")
 
 
 def join_wrapped_lines(c, language) -> Column:
-    """Lines of a paragraph as one: nothing between ideographs, one blank otherwise, English words divided by a hyphen rejoined."""
-    parts = F.filter(F.transform(lines(c), strip), lambda x: x != "")
-    chinese = F.lower(col(language)).startswith("zh")
-    ideo = f"[{CJK}]"
+    """Lines of a paragraph as one: in Chinese nothing around ideographs and inside marks, otherwise one blank except before closing marks; English words divided by a hyphen rejoined.
 
-    def add(acc: Column, x: Column) -> Column:
-        tight = chinese & (acc.rlike(f"(?:{ideo}|[，。；：、！？）】》])$") | x.rlike(f"^(?:{ideo}|[，。；：、！？）】》])"))
-        rejoin = ~chinese & acc.rlike(r"\p{L}-$") & x.rlike(r"^\p{Ll}")
-        mark = x.rlike(r"^[,.;:!?)\]]")
-        return F.when(acc == "", x).when(rejoin, F.concat(F.regexp_replace(acc, "-$", ""), x)).when(tight | mark, F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))
+    What comes between two lines depends on these two only, so each is met by its
+    successor once and nothing is folded.
+    """
+    parts = F.filter(F.transform(lines(c), squeeze), lambda x: x != "")
+    chinese, english = (F.lower(col(language)).startswith(x) for x in ("zh", "en"))
+
+    def piece(x: Column, after: Column) -> Column:
+        rejoin = english & x.endswith("-") & after.rlike(r"^\p{L}")
+        tight = F.when(chinese, x.rlike(f"[{CJK}（《【]$") | after.rlike(f"^[{CJK}，。；：！？、）》】]")).otherwise(after.rlike(r"^[,.;:!?)\]}]"))
+        return F.when(after.isNull(), x).when(rejoin, F.substr(x, F.lit(1), F.length(x) - 1)).when(tight, x).otherwise(F.concat(x, F.lit(" ")))
 
-    return F.aggregate(parts, F.lit(""), add)
+    return squeeze(F.array_join(F.zip_with(parts, F.slice(parts, 2, F.size(parts)), piece), ""))
 
 
 def paragraphs(c) -> Column:
@@ -80,10 +84,10 @@ def one_line(c) -> Column:
 
 
 def compact_cjk(c) -> Column:
-    """No blanks between ideographs, before closing or after opening marks of Chinese text."""
-    text = F.regexp_replace(col(c), rf"(?<=[{CJK}])\s+(?=[{CJK}])", "")
-    text = F.regexp_replace(text, r"\s+(?=[，。；：、！？）】》”])", "")
-    return F.regexp_replace(text, r"(?<=[（【《“，。；：、！？])\s+", "")
+    """No blanks between ideographs, before closing or after opening marks of Chinese text; all other white space one blank."""
+    text = F.regexp_replace(col(c), rf"(?U)(?<=[{CJK_BLOCKS}])\s+(?=[{CJK_BLOCKS}])", "")
+    text = F.regexp_replace(text, r"(?U)\s+(?=[，。；：、！？、）】])", "")
+    return squeeze(F.regexp_replace(text, r"(?U)(?<=[（【])\s+", ""))
 
 
 def normalize_heading(c) -> Column:
@@ -93,15 +97,25 @@ def normalize_heading(c) -> Column:
     return F.regexp_replace(text, "^[：:]+|[：:]+$", "")
 
 
+def heading_key(text: str) -> str:
+    """normalize_heading of a text on the driver."""
+    return re.sub(r"^[一二三四五六七八九十\d.、（）()]+", "", re.sub(r"\s+", "", text).lower()).strip("：:")
+
+
 def strip_preprint_numbers(c, source, numbered_sources: list[str]) -> Column:
-    """Line numbers at line starts of the sources that are printed with them."""
-    return F.when(col(source).isin(numbered_sources), F.regexp_replace(col(c), r"(?m)^[ \t]*\d{1,4}[ \t]+(?=\S)", "")).otherwise(col(c))
+    """Of the sources that are printed with line numbers: lines that are only a number, and numbers before Latin text at line starts."""
+    text = F.regexp_replace(col(c), r"(?Umd)^\s*\d{1,4}\s*$", "")
+    text = F.regexp_replace(text, r"(?Umd)^\s*\d{1,4}\s+(?=[A-Za-z])", "")
+    return F.when(col(source).isin(numbered_sources), text).otherwise(col(c))
 
 
-def strip_residual_numbers(c) -> Column:
-    """A line that is only a number is dropped; a number behind an upper-case heading is cut off."""
-    keep = F.filter(lines(c), lambda x: ~x.rlike(r"(?U)^\s*\d{1,4}\s*$"))
-    return F.array_join(F.transform(keep, lambda x: F.when(x.rlike(r"^[A-Z][A-Z &,/()-]{3,}\s+\d{1,4}\s*$"), F.regexp_replace(x, r"\s+\d{1,4}\s*$", "")).otherwise(x)), "\n")
+def strip_residual_numbers(c, source, numbered_sources: list[str]) -> Column:
+    """A paragraph that is only a number becomes empty; of the numbered sources also a number before Latin text or behind a heading in capitals goes."""
+    text = strip(col(c))
+    bare = F.regexp_replace(text, r"(?U)^\d{1,4}\s+(?=[A-Za-z])", "")
+    heading = F.regexp_extract(bare, r"(?U)^([A-Z][A-Z0-9 /,&()\-]{2,70})\s+\d{1,4}$", 1)
+    numbered = F.when(heading != "", strip(heading)).otherwise(bare)
+    return F.when(text.rlike(r"(?U)^\d{1,4}$"), "").when(col(source).isin(numbered_sources), numbered).otherwise(text)
 
 
 def trim_before(c, marker, strict: bool = False) -> Column:
@@ -145,9 +159,9 @@ def hard_slices(c, size: int) -> Column:
 
 
 def citation_only(c) -> Column:
-    """Whether nothing but bracketed citations and fewer than four letters or digits is left."""
-    text = F.regexp_replace(col(c), r"\[[\d,，\s~～–-]+\]", "")
-    return F.length(F.regexp_replace(text, rf"[^{CJK}A-Za-z0-9]", "")) < 4
+    """Whether fewer than four letters, digits or ideographs are left without bracketed citations."""
+    text = F.regexp_replace(col(c), r"［[^］]{1,30}］|\[[^\]]{1,30}\]", "")
+    return F.length(F.regexp_replace(text, rf"[^A-Za-z0-9{CJK_BLOCKS}]+", "")) < 4
 
 
 @F.pandas_udf(T.StringType())
@@ -243,26 +257,13 @@ def snippet(c, marker, reach: int = 100) -> Column:
     return F.when(at > 0, F.substr(col(c), start, at - start + F.length(col(marker)) + reach)).otherwise("")
 
 
-@F.pandas_udf(T.IntegerType())
-def flexible_prefix(text: pd.Series, prefix: pd.Series) -> pd.Series:
-    """How much of ``text`` a prefix covers if white space inside either does not count; 0 if it is none."""
-
-    def cover(t: str | None, p: str | None) -> int:
-        want = re.sub(r"\s+", "", p or "")
-        if not t or not want:
-            return 0
-        k = 0
-        for i, c in enumerate(t):
-            if c.isspace():
-                continue
-            if c != want[k]:
-                return 0
-            k += 1
-            if k == len(want):
-                return i + 1
-        return 0
-
-    return pd.Series([cover(t, p) for t, p in zip(text, prefix)], dtype="int32")
+def flexible_prefix(c, prefix) -> Column:
+    """How many characters of a text a prefix covers if white space inside either does not count; 0 if it is none."""
+    want = F.regexp_replace(F.coalesce(col(prefix), F.lit("")), r"(?U)\s+", "")
+    # Each character quoted, white space allowed between any two.
+    body = F.regexp_replace(want, r"(?s)(.)", r"\\Q$1\\E\\s*")
+    pattern = F.concat(F.lit(r"(?U)^\s*"), F.substr(body, F.lit(1), F.length(body) - 3))
+    return F.when(want == "", 0).otherwise(F.coalesce(F.length(F.regexp_substr(col(c), pattern)), F.lit(0)))
 
 
 def marker_is_heading(marker, title) -> Column:
@@ -272,23 +273,38 @@ def marker_is_heading(marker, title) -> Column:
 
 
 def strip_own_heading(c, marker, title, anchor=None) -> Column:
-    """The text without its own heading at the start, unless the node anchors content."""
-    cut = flexible_prefix(col(c), col(marker))
-    keep = F.coalesce(col(anchor), F.lit(False)) if anchor is not None else F.lit(False)
-    return F.when(marker_is_heading(marker, title) & (cut > 0) & ~keep, strip(F.substr(col(c), cut + 1))).otherwise(col(c))
+    """The text as one line without its own heading at the start, nor marks and blanks behind that, unless the node anchors content.
+
+    The heading is the longer of title and marker that the text begins with.
+    """
+    text, keep = one_line(c), F.coalesce(col(anchor), F.lit(False)) if anchor is not None else F.lit(False)
+    m, t = (strip(F.coalesce(col(x), F.lit(""))) for x in (marker, title))
+    longer, shorter = F.when(F.length(t) >= F.length(m), t).otherwise(m), F.when(F.length(t) >= F.length(m), m).otherwise(t)
+    first = flexible_prefix(text, longer)
+    cut = F.when(first > 0, first).otherwise(flexible_prefix(text, shorter))
+    rest = F.regexp_replace(F.substr(text, cut + 1), r"(?U)^[\s:：、，,；;。]+", "")
+    return F.when(marker_is_heading(marker, title) & ~keep, rest).otherwise(text)
+
+
+# The marks that may close a context, the first found counting first.
+CONTEXT_MARKS = ("。", "！", "？", "；", "!", "?", ";")
 
 
 def recommendation_context(c, limit: int, override=None, least: int = 60, slack: int = 180) -> Column:
-    """A recommendation's opening as context: an override, the whole, up to a first delimiter in [least, limit), up to one within the slack, or a hard cut.
+    """A recommendation's opening as context, as one compact line.
 
-    Delimiters are tried in order of strength, and only the first place of each.
+    An override; the whole if it is short enough; up to the first place of a mark in
+    [least, limit), the marks tried in order; up to a mark's first place in [limit,
+    limit + slack); or a cut there.
     """
-    text = col(c)
-    places = [F.instr(text, F.lit(d)) for d in ("。", "；", "！", "？", ";", "!", "?")]
-    near = F.coalesce(*[F.when((p >= least) & (p < limit), F.substr(text, F.lit(1), p)) for p in places])
-    far = F.coalesce(*[F.when((p >= least) & (p <= limit + slack), F.substr(text, F.lit(1), p)) for p in places])
-    given = F.when(strip(col(override)) != "", col(override)) if override is not None else F.lit(None).cast("string")
-    return F.coalesce(given, F.when(F.length(text) <= limit, text), near, far, F.substr(text, F.lit(1), F.lit(limit)))
+    text = one_line(c)
+    upto = lambda n: F.substr(text, F.lit(1), n)
+    stop = F.least(F.length(text), F.lit(limit + slack))
+    near = [F.when((F.instr(text, F.lit(d)) > least) & (F.instr(text, F.lit(d)) <= limit), upto(F.instr(text, F.lit(d)))) for d in CONTEXT_MARKS]
+    places = [F.locate(d, text, limit + 1) for d in CONTEXT_MARKS]
+    far = [F.when((p > limit) & (p <= stop), upto(p)) for p in places]
+    given = F.when(strip(col(override)) != "", strip(col(override))) if override is not None else F.lit(None).cast("string")
+    return compact_cjk(F.coalesce(given, F.when(F.length(text) <= limit, text), *near, *far, upto(stop)))
 
 
 RULE = "array<struct<operation:string,start:string,end:string,replacement:string,count:int,keep_start:boolean,keep_end:boolean,include_marker:boolean,required:boolean,rule_id:string>>"

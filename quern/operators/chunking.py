@@ -1,139 +1,204 @@
-"""Chunkers: sequential folds over the units of one page, section or document."""
+"""Chunkers: pages prepared and cut into units, units joined and packed into chunks.
+
+What follows the order of a document is worked out in blocks of pages: within a block
+by a window, between blocks by a window over one row per block, so that no task has
+to walk through a whole source.  Tables that are met by a part of themselves are
+written first, else every such step would double the work before it.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from .filters import ends_sentence, is_list_item, section_heading, starts_section
+from ..session import cut
+from .filters import ends_sentence, is_heading, is_list_item, is_reference_heading, resolve_policy, section_heading, starts_section, stop_at_references
+
+#: Pages of a source that one task walks through.
+PAGES_PER_BLOCK = 64
 
+# Patterns, marks and shares on which the chunks depend.
 _ANY = re.compile(r"(?<=[。！？；.!?;])\s*")
 _SPACED = re.compile(r"(?<=[。！？；])|(?<=[.!?;])\s+")
 _STRONG = re.compile(r"(?s).+?(?:[。！？；!?;]+|$)")
 _STRONG_MARKS = "。！？；!?;"
 _CLAUSE_MARKS = "，,、：:"
 _NUMBERED = re.compile(r"(?<![\d.])(?:[1-9]|1\d)\.\s*")
+STRONG_FROM, CLAUSE_FROM = 0.45, 0.85
+SEPARATOR = "\n\n"
 
 
-def pack_with_overlap(units: list[str], limit: int, overlap: int, sep: str = "\n\n", prefix: Callable[[list[str]], str] | None = None) -> list[list[int]]:
-    """Numbers of the units in each chunk: greedy, the trailing units of a chunk opening the next.
+def pack_with_overlap(lengths: list[int], limit: int, overlap: int, lead: Callable[[int], int] = lambda at: 0, fixed: int = 0, least_one: bool = False) -> list[tuple[int, int]]:
+    """[from, to) of the units in each chunk: greedy, the trailing units of a chunk opening the next.
 
-    At least one trailing unit is taken, more while they stay within the overlap,
-    and units are given up from the front where the next one would not fit.
+    Units are joined by a blank line, which counts, and ``lead`` gives what stands
+    before a chunk that begins with a unit.  The last unit is taken over, and more
+    while they stay within the overlap; units are given up from the front where the
+    next one would not fit.  The first ``fixed`` units are never taken over; without
+    an overlap none is, unless ``least_one``.  Only a unit that is too long by itself
+    makes a chunk too long.
     """
-    if overlap >= limit:
-        raise ValueError("the overlap must be below the limit")
-    size = lambda ns: len(sep.join(units[n] for n in ns)) + (len(prefix([units[n] for n in ns])) if prefix else 0)
-    out: list[list[int]] = []
-    current: list[int] = []
-    for n in range(len(units)):
-        if current and size([*current, n]) > limit:
-            out.append(current)
-            keep: list[int] = []
-            for m in reversed(current):
-                if keep and len(sep.join(units[i] for i in [m, *keep])) > overlap:
-                    break
-                keep.insert(0, m)
-                if len(sep.join(units[i] for i in keep)) >= overlap:
-                    break
-            while keep and size([*keep, n]) > limit:
-                keep.pop(0)
-            current = keep
-        current.append(n)
-    if current:
-        out.append(current)
+    total = [0]
+    for n in lengths:
+        total.append(total[-1] + n + len(SEPARATOR))
+    size = lambda a, b: total[b] - total[a] - len(SEPARATOR)
+    out, start = [], 0
+    for n in range(len(lengths)):
+        if start < n and lead(start) + size(start, n + 1) > limit:
+            out.append((start, n))
+            back = n
+            if (overlap > 0 or least_one) and n > max(start, fixed):
+                back = n - 1
+                while back > max(start, fixed) and size(back, n) < overlap and size(back - 1, n) <= overlap:
+                    back -= 1
+            while back < n and lead(back) + size(back, n + 1) > limit:
+                back += 1
+            start = back
+    if lengths:
+        out.append((start, len(lengths)))
     return out
 
 
-def baseline_units(text: str, limit: int, stop_headings: frozenset[str] = frozenset()) -> list[str]:
-    """Paragraphs of a page up to a stop heading; those above the limit as sentences, those as slices."""
-    out = []
-    text = re.sub("[ 　]", " ", text)
-    for p in re.split(r"\n\s*\n", re.sub(r"[ \t]+", " ", text)):
-        p = p.strip()
-        if not p:
-            continue
-        if re.sub(r"^[一二三四五六七八九十\d.、（）()]+", "", re.sub(r"\s+", "", p).lower()).strip("：:") in stop_headings:
-            break
-        if len(p) <= limit:
-            out.append(p)
-            continue
-        for s in filter(None, map(str.strip, _ANY.split(p))):
-            out += [s[i : i + limit] for i in range(0, len(s), limit)]
-    return out
+# --- pages and their units
 
 
-def baseline_chunks(pages: DataFrame, limit: int = 900, overlap: int = 150, stop_headings: tuple[str, ...] = ()) -> DataFrame:
-    """(source_id, page, chunk_id, chunk_no, text, char_count): page-local chunks; null and blank pages have none."""
-    stops = frozenset(h.lower() for h in stop_headings)
+def prepare_pages(pages: DataFrame, registry: DataFrame, policy: DataFrame | None = None, stop_headings: tuple[str, ...] = (), exclude_pending: bool = True) -> DataFrame:
+    """Pages that are chunked, with ``language`` as the registry has it.
 
-    @F.pandas_udf("array<string>")
-    def chunks(text: pd.Series) -> pd.Series:
-        def one(t):
-            units = baseline_units(t or "", limit, stops)
-            return ["\n\n".join(units[n] for n in ns) for ns in pack_with_overlap(units, limit, overlap)]
+    A page of a source that is not registered is an error; pages that the policy
+    excludes and pages behind a source's first page with a stop heading are left out.
+    """
+    known = registry.groupBy("source_id").agg(F.max("language").alias("_language")).withColumn("_known", F.lit(True))
+    x = pages.drop("language").join(known, "source_id", "left")
+    x = x.where(F.coalesce("_known", F.raise_error(F.concat(F.lit("not in the registry: "), F.coalesce("source_id", F.lit("null")))).cast("boolean")))
+    x = x.withColumn("language", F.coalesce("_language", F.lit(""))).drop("_language", "_known")
+    empty = pages.sparkSession.createDataFrame([], "source_id string, pdf_page_number int, chunk_policy string")
+    x = resolve_policy(x, empty if policy is None else policy, exclude_pending)
+    return stop_at_references(x, list(stop_headings)).where("status = 'included'").drop("status", "chunk_policy")
 
-        return text.map(one)
 
-    x = pages.select("source_id", F.col("pdf_page_number").alias("page"), F.posexplode(chunks("text")).alias("i", "text"))
-    chunk_id = F.format_string("%s-P%03d-C%02d", "source_id", "page", F.col("i") + 1)
-    return x.select("source_id", "page", chunk_id.alias("chunk_id"), (F.col("i") + 1).alias("chunk_no"), "text", F.length("text").alias("char_count"))
+def apply_page_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Page texts after the trim rules of their page, in order.
+
+    ``rules`` has source_id, pdf_page_number, rule_order, action and marker;
+    trim_before keeps what follows from the first marker on, trim_after what stands
+    before it; a marker that is absent changes nothing, another action is an error.
+    """
+    action = F.lower(X.strip(F.col("action")))
+    checked = F.when(action.isin("trim_before", "trim_after"), action).otherwise(F.raise_error(F.concat(F.lit("unknown cleanup action: "), action)).cast("string"))
+    by_page = rules.groupBy("source_id", "pdf_page_number").agg(F.array_sort(F.collect_list(F.struct("rule_order", checked.alias("action"), X.strip(F.col("marker")).alias("marker")))).alias("_rules"))
 
+    def step(text: Column, rule: Column) -> Column:
+        at = F.instr(text, rule["marker"])
+        return F.when((at == 0) | (rule["marker"] == ""), text).when(rule["action"] == "trim_before", F.substr(text, at)).otherwise(F.substr(text, F.lit(1), at - 1))
 
-def page_units(pages: DataFrame) -> DataFrame:
-    """(source_id, language, page, seq, text): paragraphs of pages in reading order."""
-    x = pages.select("source_id", "language", F.col("pdf_page_number").alias("page"), F.posexplode(X.paragraphs("text")).alias("i", "text"))
-    return x.withColumn("text", X.normalize_paragraph("text")).where("text <> ''").withColumnRenamed("i", "seq")
+    x = pages.join(by_page, ["source_id", "pdf_page_number"], "left")
+    return x.withColumn("text", F.when(F.col("_rules").isNull(), F.col("text")).otherwise(X.strip(F.aggregate("_rules", F.col("text"), step)))).drop("_rules")
 
 
-def merge_islands(units: DataFrame, join: Column, sep_free: Column | None = None) -> DataFrame:
-    """Units joined into islands: ``join`` says of a unit that it goes on from the one before.
+def page_units(pages: DataFrame, stop_headings: tuple[str, ...] = (), clean: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(source_id, language, page, seq, text, follows): paragraphs of pages in reading order, up to a stop heading.
 
-    Gaps and islands: a running count of the breaks numbers the islands, and an
-    ordered fold joins each one's texts; English words divided by a hyphen are rejoined.
+    ``follows`` says that the page before is there too, be it empty; ``clean`` maps a
+    paragraph and its source to what is left of it.
     """
-    order = Window.partitionBy("source_id").orderBy("page", "seq")
-    x = units.withColumn("_j", F.coalesce(join, F.lit(False))).withColumn("island", F.sum((~F.col("_j")).cast("int")).over(order))
+    x = pages.select("source_id", "language", F.col("pdf_page_number").alias("page"), X.paragraphs("text").alias("p"))
+    there = x.select("source_id", (F.col("page") + 1).alias("page")).distinct().withColumn("follows", F.lit(True))
+    x = x.join(there, ["source_id", "page"], "left").withColumn("follows", F.coalesce("follows", F.lit(False)))
+    if stop_headings:
+        stop = F.array_position(F.transform("p", lambda t: F.coalesce(is_reference_heading(t, list(stop_headings)), F.lit(False))), True)
+        x = x.withColumn("p", F.when(stop > 0, F.slice("p", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("p")))
+    x = x.select("source_id", "language", "page", "follows", F.posexplode("p").alias("seq", "text")).withColumn("text", X.normalize_paragraph("text"))
+    x = x.withColumn("text", clean(F.col("text"), F.col("source_id"))) if clean else x
+    return x.where("text <> ''").select("source_id", "language", "page", "seq", "text", "follows")
+
+
+# --- running through a document in blocks
+
+
+def _blocks(df: DataFrame, page: str) -> DataFrame:
+    return df.withColumn("block", F.floor(F.col(page) / PAGES_PER_BLOCK).cast("int"))
+
+
+def with_previous(df: DataFrame, page: str, order: list[str], columns: list[str]) -> DataFrame:
+    """``df`` with ``prev``, a struct of the columns of the row before in its source, null for the first."""
+    x = _blocks(df, page)
+    row = F.struct(*columns)
+    x = x.withColumn("_own", F.lag(row).over(Window.partitionBy("source_id", "block").orderBy(*order)))
+    last = x.groupBy("source_id", "block").agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    # One row per block: what the next block's first row has before it.
+    carry = last.select("source_id", F.lead("block").over(Window.partitionBy("source_id").orderBy("block")).alias("block"), "_last").where("block IS NOT NULL")
+    return x.join(carry, ["source_id", "block"], "left").withColumn("prev", F.coalesce("_own", "_last")).drop("_own", "_last", "block")
+
+
+def with_running_sum(df: DataFrame, page: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` from its source's first row to each row."""
+    x = _blocks(df.withColumn("_v", value.cast("long")), page)
+    x = x.withColumn("_here", F.sum("_v").over(Window.partitionBy("source_id", "block").orderBy(*order)))
+    per = x.groupBy("source_id", "block").agg(F.sum("_v").alias("_sum"))
+    before = per.select("source_id", "block", F.sum("_sum").over(Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return x.join(before, ["source_id", "block"], "left").withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_v", "_here", "_before", "block")
+
+
+def merge_islands(units: DataFrame, join: Column, hyphens: bool) -> DataFrame:
+    """Units joined into islands: ``join`` says of a unit, which has ``prev``, that it goes on from the one before.
+
+    A running count of the breaks numbers the islands.  Chinese texts are joined
+    without anything, others by a blank, or, with ``hyphens``, by dropping a hyphen
+    that the first one ends with.
+    """
+    x = with_running_sum(units.withColumn("_j", F.coalesce(join, F.lit(False))), "page", ["page", "seq"], ~F.col("_j"), "island")
     parts = F.array_sort(F.collect_list(F.struct("page", "seq", "text")))
-    g = x.groupBy("source_id", "island").agg(parts.alias("p"), F.first("language").alias("language"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    chinese = F.lower("language").startswith("zh") if sep_free is None else sep_free
-    # The language is the same all over a source, so it may be read outside the fold.
-    add = lambda a, t: F.when(a == "", t).when(chinese, F.concat(a, t)).when(a.rlike(r"\p{L}-$") & t.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(a, "-$", ""), t)).otherwise(F.concat(a, F.lit(" "), t))
-    return g.select("source_id", "language", "island", "page_start", "page_end", F.aggregate(F.transform("p", lambda u: u["text"]), F.lit(""), add).alias("text"))
+    keep = [c for c in ("is_heading",) if c in units.columns]
+    g = x.groupBy("source_id", "island").agg(
+        F.transform(parts, lambda u: u["text"]).alias("p"), F.max("language").alias("language"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), *[F.max(c).alias(c) for c in keep])
+    chinese = F.lower("language").startswith("zh")
+
+    def piece(t: Column, after: Column) -> Column:
+        divided = t.endswith("-") if hyphens else F.lit(False)
+        return F.when(after.isNull() | chinese, t).when(divided, F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(F.concat(t, F.lit(" ")))
+
+    text = F.array_join(F.zip_with("p", F.slice("p", 2, F.size("p")), piece), "")
+    return g.select("source_id", "language", "island", "page_start", "page_end", *keep, (X.normalize_paragraph(text) if hyphens else text).alias("text"))
 
 
 def cross_page_merge(units: DataFrame) -> DataFrame:
-    """The first unit of a page joined to the last of the page before, where that one is unfinished and this one starts no section."""
-    order = Window.partitionBy("source_id").orderBy("page", "seq")
-    join = (F.lag("page").over(order) == F.col("page") - 1) & ~ends_sentence(F.lag("text").over(order), colon=True) & ~starts_section("text")
-    return merge_islands(units, join)
+    """The first unit of a page joined to the last one before, where the page before is there, that unit is unfinished and this one starts no section."""
+    x = with_previous(cut(units), "page", ["page", "seq"], ["page", "text"])
+    first = F.col("prev.page") < F.col("page")
+    return merge_islands(x, first & F.col("follows") & ~ends_sentence("prev.text", colon=True) & ~starts_section("text"), hyphens=False)
 
 
-def fragment_merge(units: DataFrame, heading: Column) -> DataFrame:
-    """Any unit joined to the one before on the same or the page before, unless either is a heading, that one is finished or this one is a list item."""
-    x = units.withColumn("_h", F.coalesce(heading, F.lit(False)))
-    order = Window.partitionBy("source_id").orderBy("page", "seq")
-    near = F.col("page") - F.lag("page").over(order) <= 1
-    join = near & ~F.col("_h") & ~F.lag("_h").over(order) & ~ends_sentence(F.lag("text").over(order)) & ~is_list_item("text")
-    return merge_islands(x, join)
+def fragment_merge(units: DataFrame) -> DataFrame:
+    """Any unit joined to the one before on the same page, or on an earlier one if the page before is there, unless either is a heading, that one is finished or this one is a list item."""
+    x = with_previous(cut(units.withColumn("is_heading", is_heading("text", "language"))), "page", ["page", "seq"], ["page", "text", "is_heading"])
+    near = F.col("follows") | (F.col("prev.page") == F.col("page"))
+    return merge_islands(x, near & ~F.col("is_heading") & ~F.col("prev.is_heading") & ~ends_sentence("prev.text") & ~is_list_item("text"), hyphens=True)
 
 
 def carry_sections(units: DataFrame) -> DataFrame:
-    """Islands with their section number (0 before the first heading) and heading carried forward."""
-    w = Window.partitionBy("source_id").orderBy("island")
-    starts = starts_section("text")
-    heading = F.last(F.when(starts, section_heading("text")), ignorenulls=True).over(w)
-    return units.withColumn("section_no", F.sum(starts.cast("int")).over(w)).withColumn("heading", F.coalesce(heading, F.lit("")))
+    """Islands with their section's number, from 1, and its heading; a unit that starts a section, or a source, begins one."""
+    x = with_previous(cut(units), "page_start", ["page_start", "island"], ["island"])
+    begins = F.col("prev").isNull() | starts_section("text")
+    x = with_running_sum(x.withColumn("begins", begins), "page_start", ["page_start", "island"], begins, "section_no").drop("prev")
+    x = cut(x)
+    heads = x.where("begins").select("source_id", "section_no", F.when(starts_section("text"), section_heading("text")).otherwise("").alias("heading"))
+    return x.drop("begins").join(heads, ["source_id", "section_no"])
+
+
+# --- folds
 
 
 def _fold(df: DataFrame, keys: list[str], fold, schema: str) -> DataFrame:
     """Applies a fold to the ordered units of each group as one array, so that no group is shuffled twice."""
-    units = F.array_sort(F.collect_list(F.struct("island", "text", "page_start", "page_end", "heading", F.col("is_heading").cast("boolean").alias("is_heading"))))
+    flag = F.col("is_heading") if "is_heading" in df.columns else F.lit(False)
+    units = F.array_sort(F.collect_list(F.struct("island", "text", "page_start", "page_end", "heading", flag.alias("is_heading"))))
     udf = F.pandas_udf(lambda s: s.map(lambda us: fold(list(us))), schema)
     return df.groupBy(*keys).agg(units.alias("u")).select(*keys, F.posexplode(udf("u")).alias("i", "c")).select(*keys, "i", "c.*")
 
@@ -141,91 +206,136 @@ def _fold(df: DataFrame, keys: list[str], fold, schema: str) -> DataFrame:
 _CHUNK = "array<struct<text string, page_start int, page_end int, heading string>>"
 
 
+def _atoms(units: list[dict]) -> Iterator[tuple[str, dict]]:
+    """Sentences of units with their unit; a heading is one."""
+    for u in units:
+        for s in [u["text"]] if u["is_heading"] else _SPACED.split(u["text"]):
+            if s and s.strip():
+                yield s.strip(), u
+
+
+def _chunk(atoms: list[tuple[str, dict]], heading: str, lead: str = "") -> dict:
+    return {"text": lead + SEPARATOR.join(t for t, _ in atoms), "page_start": min(u["page_start"] for _, u in atoms), "page_end": max(u["page_end"] for _, u in atoms), "heading": heading}
+
+
 def section_fold(units: list[dict], limit: int, overlap: int) -> list[dict]:
-    """Chunks of one section: sentences packed with overlap, the heading repeated where the text does not start with it."""
-    atoms = [(s.strip(), u) for u in units for s in _SPACED.split(u["text"]) if s and s.strip()]
+    """Chunks of one section: sentences packed with overlap, the heading, which counts, repeated where the text does not start with it."""
+    atoms = list(_atoms(units))
     head = units[0]["heading"] if units else ""
-    lead = lambda ts: "" if not head or (ts and ts[0].startswith(head)) else head + "\n"
-    texts = [a for a, _ in atoms]
-    out = []
-    for ns in pack_with_overlap(texts, limit, overlap, " ", lead):
-        own = [texts[n] for n in ns]
-        out.append({"text": lead(own) + " ".join(own), "page_start": min(atoms[n][1]["page_start"] for n in ns), "page_end": max(atoms[n][1]["page_end"] for n in ns), "heading": head})
-    return out
+    bare = [not head or t.startswith(head) for t, _ in atoms]
+    lead = lambda at: 0 if bare[at] else len(head) + len(SEPARATOR)
+    return [_chunk(atoms[a:b], head, "" if bare[a] else head + SEPARATOR) for a, b in pack_with_overlap([len(t) for t, _ in atoms], limit, overlap, lead, least_one=True)]
 
 
-def section_chunks(pages: DataFrame, limit: int = 1200, overlap: int = 120) -> DataFrame:
-    """Section-aware chunks; numbers run over the whole source."""
-    units = carry_sections(cross_page_merge(page_units(pages))).withColumn("is_heading", F.lit(False))
-    x = _fold(units, ["source_id", "section_no"], lambda us: section_fold(us, limit, overlap), _CHUNK)
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy("section_no", "i"))
-    return x.withColumn("chunk_id", F.format_string("%s-S%03d-C%03d", "source_id", "section_no", n)).select("source_id", "section_no", "chunk_id", "heading", "page_start", "page_end", "text", F.length("text").alias("char_count"))
+def section_chunks(pages: DataFrame, limit: int = 1200, overlap: int = 120, stop_headings: tuple[str, ...] = ()) -> DataFrame:
+    """Section-aware chunks of prepared pages; numbers run over the whole source."""
+    units = carry_sections(cross_page_merge(page_units(pages, stop_headings)))
+    x = cut(_fold(units, ["source_id", "section_no"], lambda us: section_fold(us, limit, overlap), _CHUNK))
+    per = x.groupBy("source_id", "section_no").agg(F.count("*").alias("n"))
+    before = per.select("source_id", "section_no", F.coalesce(F.sum("n").over(Window.partitionBy("source_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    x = x.join(before, ["source_id", "section_no"])
+    chunk_id = F.format_string("%s-S%03d-C%03d", "source_id", "section_no", F.col("before") + F.col("i") + 1)
+    return x.select("source_id", "section_no", chunk_id.alias("chunk_id"), "heading", "page_start", "page_end", "text", F.length("text").alias("char_count"))
 
 
 def boundary_fold(units: list[dict], limit: int, least: int, overlap: int) -> list[dict]:
-    """Chunks of one source: a heading starts a chunk, overlap never reaches over one, short chunks join the one before under the same heading."""
-    runs: list[list[tuple[str, dict, bool]]] = [[]]
-    for u in units:
-        if u["is_heading"]:
-            runs.append([(u["text"], u, True)])
-        else:
-            runs[-1] += [(s.strip(), u, False) for s in _SPACED.split(u["text"]) if s and s.strip()]
+    """Chunks of units under one heading: a heading starts a chunk, overlap never reaches over one, a short chunk joins the one before where both fit."""
+    runs: list[list[tuple[str, dict]]] = [[]]
+    for t, u in _atoms(units):
+        if u["is_heading"] and runs[-1]:
+            runs.append([])
+        runs[-1].append((t, u))
     out: list[dict] = []
-    for run in runs:
-        start, current = "", []
-        head = run[0][0] if run and run[0][2] else (out[-1]["heading"] if out else "")
-        body = run[1:] if run and run[0][2] else run
-        texts = [t for t, _, _ in body]
-        groups = pack_with_overlap(texts, max(1, limit), min(overlap, limit - 1), " ") if texts else []
-        for k, ns in enumerate(groups or ([[]] if run and run[0][2] else [])):
-            parts = ([run[0][0]] if run[0][2] and k == 0 else []) + [" ".join(texts[n] for n in ns)]
-            owners = ([run[0][1]] if run[0][2] and k == 0 else []) + [body[n][1] for n in ns]
-            c = {"text": "\n".join(filter(None, parts)), "page_start": min(o["page_start"] for o in owners), "page_end": max(o["page_end"] for o in owners), "heading": head}
-            p = out[-1] if out else None
-            if p and len(c["text"]) < least and p["heading"] == head and len(p["text"]) + 2 + len(c["text"]) <= limit:
-                p["text"] += "\n\n" + c["text"]
-                p["page_end"] = max(p["page_end"], c["page_end"])
+    for run in filter(None, runs):
+        headed = run[0][1]["is_heading"]
+        for a, b in pack_with_overlap([len(t) for t, _ in run], limit, overlap, fixed=int(headed)):
+            c = _chunk(run[a:b], run[0][1]["heading"])
+            joined = out[-1]["text"] + SEPARATOR + c["text"] if out and len(c["text"]) < least else ""
+            if joined and len(joined) <= limit:
+                out[-1] |= {"text": joined, "page_end": max(out[-1]["page_end"], c["page_end"])}
             else:
                 out.append(c)
     return out
 
 
-def boundary_chunks(pages: DataFrame, limit: int = 1000, least: int = 250, overlap: int = 100) -> DataFrame:
-    """Boundary-aware chunks, one fold per source over its merged fragments."""
-    from .filters import is_heading
+def boundary_chunks(pages: DataFrame, limit: int = 1000, least: int = 250, overlap: int = 100, numbered_sources: tuple[str, ...] = ()) -> DataFrame:
+    """Boundary-aware chunks of prepared pages: one fold per run of units under equal headings, numbered over the whole source."""
+    units = page_units(pages, clean=lambda text, source: X.strip_residual_numbers(text, source, list(numbered_sources)))
+    order = ["page_start", "island"]
+    merged = cut(with_running_sum(cut(fragment_merge(units)), "page_start", order, F.col("is_heading"), "run"))
+    # Runs whose headings are equal and adjacent are one group, as short chunks may join across them.
+    heads = merged.where("is_heading").select("source_id", "run", F.col("text").alias("heading"))
+    w = Window.partitionBy("source_id").orderBy("run")
+    heads = heads.withColumn("part", F.sum((F.coalesce(F.lag("heading").over(w), F.lit("")) != F.col("heading")).cast("long")).over(w))
+    merged = merged.join(heads, ["source_id", "run"], "left").withColumn("part", F.coalesce("part", F.lit(0))).withColumn("heading", F.coalesce("heading", F.lit("")))
+    x = cut(_fold(merged, ["source_id", "part"], lambda us: boundary_fold(us, limit, least, overlap), _CHUNK))
+    per = x.groupBy("source_id", "part").agg(F.count("*").alias("n"))
+    before = per.select("source_id", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    x = x.join(before, ["source_id", "part"])
+    return x.select("source_id", F.format_string("%s-B%03d", "source_id", F.col("before") + F.col("i") + 1).alias("chunk_id"), "heading", "page_start", "page_end", "text", F.length("text").alias("char_count"))
 
-    units = page_units(pages)
-    merged = fragment_merge(units, is_heading("text", "language"))
-    merged = merged.withColumn("is_heading", is_heading("text", "language")).withColumn("heading", F.lit(""))
-    x = _fold(merged, ["source_id"], lambda us: boundary_fold(us, limit, least, overlap), _CHUNK)
-    return x.withColumn("chunk_id", F.format_string("%s-B%03d", "source_id", F.col("i") + 1)).select("source_id", "chunk_id", "heading", "page_start", "page_end", "text", F.length("text").alias("char_count"))
+
+def baseline_units(text: str, limit: int, stop_headings: frozenset[str] = frozenset()) -> list[str]:
+    """Paragraphs of a page up to a stop heading; those above the limit as sentences, those as slices."""
+    out: list[str] = []
+    for p in re.split(r"\n\s*\n", text.replace("\u00a0", " ").replace("\u3000", " ")):
+        p = re.sub(r"[ \t]+", " ", p).strip()
+        if p and X.heading_key(p) in stop_headings:
+            break
+        pieces = [p] if len(p) <= limit else [s.strip() for s in _ANY.split(p)]
+        out += [x for s in pieces for i in range(0, len(s), limit) if (x := s[i : i + limit].strip())]
+    return out
+
+
+def baseline_chunks(pages: DataFrame, limit: int = 900, overlap: int = 150, stop_headings: tuple[str, ...] = ()) -> DataFrame:
+    """(source_id, page, chunk_id, chunk_no, text, char_count): page-local chunks; null and blank pages have none."""
+    if overlap >= limit:
+        raise ValueError("the overlap must be below the limit")
+    stops = frozenset(map(X.heading_key, stop_headings))
+
+    @F.pandas_udf("array<string>")
+    def chunks(text: pd.Series) -> pd.Series:
+        def one(t):
+            units = baseline_units(t or "", limit, stops)
+            return [SEPARATOR.join(units[a:b]) for a, b in pack_with_overlap([len(u) for u in units], limit, overlap)]
+
+        return text.map(one)
+
+    x = pages.select("source_id", F.col("pdf_page_number").alias("page"), F.posexplode(chunks("text")).alias("i", "text"))
+    chunk_id = F.format_string("%s-P%03d-C%02d", "source_id", "page", F.col("i") + 1)
+    return x.select("source_id", "page", chunk_id.alias("chunk_id"), (F.col("i") + 1).alias("chunk_no"), "text", F.length("text").alias("char_count"))
+
+
+# --- sentences packed without overlap
+
+
+def _cuts(text: str, limit: int, overflow: int) -> Iterator[int]:
+    """Where a text above the limit may be cut, the best place first; the last one is always there."""
+    window = text[: limit + 1]
+    strong = max(map(window.rfind, _STRONG_MARKS))
+    if strong >= int(STRONG_FROM * limit):
+        yield strong + 1
+    beyond = [p for m in _STRONG_MARKS if (p := text.find(m, limit, limit + overflow + 1)) >= 0]
+    if beyond:
+        yield min(beyond) + 1
+    yield from [m.start() for m in _NUMBERED.finditer(window) if m.start() >= int(STRONG_FROM * limit)][-1:]
+    clause = max(map(window.rfind, _CLAUSE_MARKS))
+    if clause >= int(CLAUSE_FROM * limit):
+        yield clause + 1
+    yield limit
 
 
 def cut_long(text: str, limit: int, overflow: int) -> list[str]:
     """Pieces of a sentence above the limit: at the last strong mark from 45 %, the next within the overflow, a list number, the last clause mark from 85 %, or the limit."""
-    out = []
+    out, text = [], text.strip()
     while len(text) > limit:
-        window = text[: limit + 1]
-        strong = max(window.rfind(m) for m in _STRONG_MARKS)
-        later = min((p for p in (text.find(m, limit, limit + overflow + 1) for m in _STRONG_MARKS) if p >= 0), default=-1)
-        numbers = [m.start() for m in _NUMBERED.finditer(window) if m.start() >= int(0.45 * limit)]
-        clause = max(window.rfind(m) for m in _CLAUSE_MARKS)
-        if strong >= int(0.45 * limit):
-            at = strong + 1
-        elif later >= 0:
-            at = later + 1
-        elif numbers:
-            at = numbers[-1]
-        elif clause >= int(0.85 * limit):
-            at = clause + 1
-        else:
-            at = limit
+        at = next(_cuts(text, limit, overflow))
         out.append(text[:at].strip())
         text = text[at:].strip()
     return [x for x in [*out, text] if x]
 
 
-def pack_sentences(text: str, target: int, limit: int, least: int, overflow: int, sep: str = "") -> list[str]:
+def pack_sentences(text: str, target: int, limit: int, least: int, overflow: int) -> list[str]:
     """Sentences packed without separator: flushed at a strong mark from the target on, and where limit plus overflow would be passed; a short tail joins its predecessor."""
     if len(text) <= limit:
         return [text] if text else []
@@ -235,7 +345,7 @@ def pack_sentences(text: str, target: int, limit: int, least: int, overflow: int
         if current and len(current) + len(u) > limit + overflow:
             out.append(current)
             current = ""
-        current = current + sep + u if current else u
+        current += u
         if len(current) >= target and current[-1] in _STRONG_MARKS:
             out.append(current)
             current = ""
@@ -246,12 +356,10 @@ def pack_sentences(text: str, target: int, limit: int, least: int, overflow: int
     return out
 
 
-def pack_udf(target: int, limit: int, least: int, overflow: int):
-    @F.pandas_udf("array<string>")
-    def pack(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: pack_sentences(t or "", target, limit, least, overflow))
-
-    return pack
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def pack(text: pd.Series, target: pd.Series, limit: pd.Series, least: pd.Series, overflow: pd.Series) -> pd.Series:
+    """pack_sentences over columns."""
+    return pd.Series([pack_sentences(t or "", *map(int, sizes)) for t, *sizes in zip(text, target, limit, least, overflow)])
 
 
 def chunk_statistics(chunks: DataFrame, *keys: str, chars: str = "char_count", least: int = 120) -> DataFrame:

@@ -81,23 +81,25 @@ def section_heading(c) -> Column:
 
 
 def is_reference_heading(c, headings: list[str]) -> Column:
-    return X.normalize_heading(c).isin([h.lower().replace(" ", "") for h in headings])
+    return X.normalize_heading(c).isin([X.heading_key(h) for h in headings])
 
 
-def page_number_line(c) -> Column:
-    return strip(X.col(c)).rlike(r"^[-–—]?\s*\d{1,4}\s*[-–—]?$")
+def page_number_block(c) -> Column:
+    """Whether a block is nothing but a number."""
+    return strip(X.col(c)).rlike(r"(?U)^\d+$")
 
 
 def stop_at_references(pages: DataFrame, headings: list[str]) -> DataFrame:
     """Pages with ``status``: included, policy_excluded, or after_references for those behind a source's first page with such a heading.
 
-    The heading counts on included pages only, and being behind it comes before the policy.
+    The heading is a paragraph of its own; it counts on included pages only, and being behind it comes before the policy.
     """
-    is_ref = F.exists(X.paragraphs("text"), lambda p: is_reference_heading(p, headings)) | F.exists(X.lines("text"), lambda p: is_reference_heading(p, headings))
+    is_ref = F.exists(X.paragraphs("text"), lambda p: is_reference_heading(p, headings))
     x = pages.withColumn("_ref", (F.col("chunk_policy") == "include") & F.coalesce(is_ref, F.lit(False)))
-    w = Window.partitionBy("source_id").orderBy("pdf_page_number").rowsBetween(Window.unboundedPreceding, -1)
-    after = F.coalesce(F.max("_ref").over(w), F.lit(False))
-    return x.withColumn("status", F.when(after, "after_references").when(F.col("chunk_policy") != "include", "policy_excluded").otherwise("included")).drop("_ref")
+    first = x.where("_ref").groupBy("source_id").agg(F.min("pdf_page_number").alias("_first"))
+    after = F.coalesce(F.col("pdf_page_number") > F.col("_first"), F.lit(False))
+    x = x.join(first, "source_id", "left")
+    return x.withColumn("status", F.when(after, "after_references").when(F.col("chunk_policy") != "include", "policy_excluded").otherwise("included")).drop("_ref", "_first")
 
 
 def limit_rows(df: DataFrame, key: str, only: str | None = None, limit: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .filters import page_number_block
 
 #: Share of the page width by which a block must pass the middle on both sides, or which it must fill, to be full width.
 MIDDLE, FULL = 0.07, 0.72
@@ -27,10 +28,10 @@ def repeated_margins(blocks: DataFrame) -> DataFrame:
 
 
 def drop_margins(blocks: DataFrame) -> DataFrame:
-    """Blocks without repeated margins and without page numbers standing alone."""
+    """Blocks without repeated margins and without those that are nothing but a number, wherever they stand."""
     marked = blocks.withColumn("signature", F.when(is_margin(), X.margin_signature("text")))
     kept = marked.join(repeated_margins(blocks), ["source_id", "signature"], "left_anti").drop("signature")
-    return kept.where(~(is_margin() & X.squeeze("text").rlike(r"^[-–—]?\s*\d{1,4}\s*[-–—]?$")))
+    return kept.where(~page_number_block("text"))
 
 
 def single_column_order(blocks: DataFrame) -> DataFrame:

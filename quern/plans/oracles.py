@@ -1,23 +1,7 @@
 """SQL that gives the same rows as the registered core queries, independent of the Spark code."""
 
-# Unicode white space for an engine whose \s is ASCII's.
-WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def squeeze(c: str) -> str:
-    return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'), ' ')"
-
-
-def strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
-
-
-def blank(c: str) -> str:
-    return f"coalesce(regexp_replace({c}, '{WS}+', '', 'g') = '', true)"
-
-
-GOLD = "(SELECT DISTINCT * FROM gold_corpus)"
-PAGES = "(SELECT DISTINCT * FROM guideline_pages)"
+from .chunk_oracles import CHUNK_SQL
+from .oracle_parts import GOLD, HEADING, PAGES, blank, squeeze, strip
 
 _TOKENS = """list_transform(regexp_extract_all(lower({c}), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9]+(?:[._/-][a-z0-9]+)*'),
   lambda r: CASE WHEN regexp_matches(r, '^[\\x{4e00}-\\x{9fff}]') THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END)"""
@@ -151,7 +135,6 @@ cv AS (SELECT chunk_id, concat_ws('; ', CASE WHEN {blank('chunk_id')} THEN 'empt
 _REPORT = "concat_ws('; ', nullif(e, ''), nullif(w, '')) AS issues, CASE WHEN e <> '' THEN 'error' WHEN w <> '' THEN 'review' ELSE 'pass' END AS status"
 _STATS = "CAST(min(char_count) AS INTEGER) AS min_chars, round_even(median(char_count), 1) AS median_chars, round_even(avg(char_count), 1) AS mean_chars, CAST(max(char_count) AS INTEGER) AS max_chars"
 _SOME = lambda c: f"nullif({strip(c)}, '')"
-_HEADING = f"regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({{c}}, '{WS}+', '', 'g')), '^(?:[一二三四五六七八九十.、（）()]|\\p{{Nd}})+', ''), '^[：:]+', ''), '[：:]+$', '')"
 _DENSE_TEXT = f"coalesce({_SOME('retrieval_text')}, concat_ws(chr(10), {_SOME(chr(97) + 'rray_to_string(title_path, ' + repr(' > ') + ')')}, {_SOME('display_title')}, {_SOME('text')}))"
 
 ORACLE_SQL = {
@@ -172,7 +155,7 @@ SELECT query_id, x AS bm25_rank, y AS dense_rank, x - y AS rank_delta, CASE WHEN
 z AS (SELECT query_id, coalesce(CASE WHEN a.answerability = 'answerable' THEN a.fg END, 999) AS x, coalesce(CASE WHEN a.answerability = 'answerable' THEN b.fg END, 999) AS y, coalesce(CASE WHEN a.answerability = 'answerable' THEN c.fg END, 999) AS w FROM a JOIN b USING (query_id) JOIN c USING (query_id))
 SELECT query_id, x AS bm25_rank, y AS dense_rank, w AS rrf_rank, concat_ws('|', CASE WHEN x = least(x, y, w) THEN 'bm25' END, CASE WHEN y = least(x, y, w) THEN 'dense' END, CASE WHEN w = least(x, y, w) THEN 'rrf' END) AS winners FROM z""",
     "text_normalize": f"SELECT DISTINCT chunk_id, {squeeze('text')} AS normalized, regexp_replace(lower({squeeze('text')}), '\\p{{Nd}}+', '#', 'g') AS signature FROM gold_corpus WHERE text IS NOT NULL",
-    "heading_normalize": f"SELECT DISTINCT display_title, {_HEADING.replace('{c}', 'display_title')} AS normalized FROM document_structure_map",
+    "heading_normalize": f"SELECT DISTINCT display_title, {HEADING.replace('{c}', 'display_title')} AS normalized FROM document_structure_map",
     "chunk_hash": f"SELECT DISTINCT chunk_id, sha256(text) AS raw_sha256, sha256({squeeze('text')}) AS text_hash, coalesce(sha256(text) = text_sha256, false) AS hash_ok FROM gold_corpus",
     "dup_text_audit": f"SELECT sha256({squeeze('text')}) AS text_hash, count(DISTINCT chunk_id) AS copies, min(chunk_id) AS first_id FROM gold_corpus WHERE NOT {blank('text')} GROUP BY 1 HAVING count(DISTINCT chunk_id) > 1",
     "sentence_units": f"""WITH x AS (SELECT chunk_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([。！？；])', '\\1' || chr(1), 'g'), '([.!?;])[\\t-\\r ]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '') AS a,
@@ -182,7 +165,7 @@ SELECT chunk_id, CAST(len(a) AS INTEGER) AS spaced, CAST(len(b) AS INTEGER) AS s
     "extractability_audit": f"""WITH g AS (SELECT source_id, count(*) AS pages, count(CASE WHEN length(coalesce(text, '')) >= 20 THEN 1 END) AS nonempty_pages, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, round_even(avg(length(coalesce(text, ''))), 1) AS mean_chars FROM {PAGES} GROUP BY source_id)
 SELECT *, CASE WHEN chars < 500 OR nonempty_pages / pages < 0.3 THEN 'ocr_required' WHEN chars / pages < 200 OR nonempty_pages / pages < 0.7 THEN 'partial' ELSE 'ok' END AS status FROM g""",
     "page_policy_status": f"""WITH p AS (SELECT *, CASE WHEN removed_margin_block_count = 0 THEN 'exclude' WHEN pdf_page_number % 10 = 9 THEN 'exclude_pending' ELSE 'include' END AS cp FROM {PAGES}),
-r AS (SELECT *, cp = 'include' AND coalesce(len(list_filter(string_split(text, chr(10)), lambda s: {_HEADING.replace('{c}', 's')} = '鉴别诊断')) > 0, false) AS ref FROM p),
+r AS (SELECT *, cp = 'include' AND coalesce(len(list_filter(string_split(text, chr(10)), lambda s: {HEADING.replace('{c}', 's')} = '鉴别诊断')) > 0, false) AS ref FROM p),
 a AS (SELECT *, coalesce(bool_or(ref) OVER (PARTITION BY source_id ORDER BY pdf_page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS aft FROM r)
 SELECT page_id, cp AS chunk_policy, CASE WHEN aft THEN 'after_references' WHEN cp <> 'include' THEN 'policy_excluded' ELSE 'included' END AS status FROM a""",
     "included_sources": f"SELECT DISTINCT source_id, lower(substr(language, 1, 2)) AS language, try_cast(publication_year AS INTEGER) AS year FROM source_registry WHERE lower({strip('include_status')}) = 'included'",
@@ -234,3 +217,4 @@ SELECT page_id, CASE WHEN k = 0 THEN 'not_found' WHEN k = 1 THEN 'unique' ELSE '
 ORACLE_SQL["table_detections"] = f"""WITH x AS (SELECT source_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '^(?:A组|Group A|合计|Total|对照|Control)'))) AS r, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '^\\d+\\.\\d$'))) AS n FROM {PAGES})
 SELECT source_id, CAST(sum(r) AS BIGINT) AS rows_tables, CAST(sum(n) AS BIGINT) AS numbers_tables, CAST(count(CASE WHEN r > 0 THEN 1 END) AS INTEGER) AS rows_pages, CAST(count(CASE WHEN n > 0 THEN 1 END) AS INTEGER) AS numbers_pages, count(CASE WHEN r <> n THEN 1 END) AS differing_pages FROM x GROUP BY source_id"""
 ORACLE_SQL["winner_counts"] = f"SELECT winner, count(*) AS queries FROM ({ORACLE_SQL['compare_two_way']}) GROUP BY winner"
+ORACLE_SQL |= CHUNK_SQL

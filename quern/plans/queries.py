@@ -171,17 +171,28 @@ def extractability_audit(spark, d):
     return g.withColumn("status", X.extractability("pages", "nonempty_pages", "chars"))
 
 
-def _policied(spark, d):
-    pages = _pages(spark, d)
-    policy = pages.select("source_id", "pdf_page_number", F.when(F.col("removed_margin_block_count") == 0, "exclude").when(F.col("pdf_page_number") % 10 == 9, "review").alias("chunk_policy")).where("chunk_policy IS NOT NULL").distinct()
-    return filters.resolve_policy(pages, policy)
+def _lines_as_blocks(pages):
+    """Pages whose lines are paragraphs, as text blocks are on extracted pages."""
+    return pages.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+def _policy(pages):
+    """A policy made up from what the pages say of themselves."""
+    p = F.when(F.col("removed_margin_block_count") == 0, "exclude").when(F.col("pdf_page_number") % 10 == 9, "review")
+    return pages.select("source_id", "pdf_page_number", p.alias("chunk_policy")).where("chunk_policy IS NOT NULL").distinct()
 
 
 def page_policy_status(spark, d):
-    x = filters.stop_at_references(_policied(spark, d), STOP_HEADINGS)
+    pages = _lines_as_blocks(_pages(spark, d))
+    x = filters.stop_at_references(filters.resolve_policy(pages, _policy(pages)), STOP_HEADINGS)
     return x.select("page_id", "chunk_policy", "status")
 
 
+def _prepared(spark, d, blocks: bool):
+    pages = _pages(spark, d)
+    return chunking.prepare_pages(_lines_as_blocks(pages) if blocks else pages, table(spark, d, "source_registry"), _policy(pages), tuple(STOP_HEADINGS))
+
+
 def included_sources(spark, d):
     s = io.latest_per_key(filters.included(table(spark, d, "source_registry")), "source_id", "priority")
     return s.select("source_id", F.lower(F.substring("language", 1, 2)).alias("language"), F.col("publication_year").try_cast("int").alias("year"))
@@ -216,25 +227,27 @@ def assembled_pages(spark, d):
 
 
 def baseline_chunks(spark, d):
-    return chunking.baseline_chunks(_pages(spark, d))
+    return chunking.baseline_chunks(_prepared(spark, d, blocks=False), stop_headings=tuple(STOP_HEADINGS))
 
 
 def section_chunks(spark, d):
-    return chunking.section_chunks(_pages(spark, d).withColumn("language", F.coalesce("language", F.lit("zh"))))
+    return chunking.section_chunks(_prepared(spark, d, blocks=True), stop_headings=tuple(STOP_HEADINGS))
 
 
 def boundary_chunks(spark, d):
-    return chunking.boundary_chunks(_pages(spark, d).withColumn("language", F.coalesce("language", F.lit("zh"))))
+    return chunking.boundary_chunks(_prepared(spark, d, blocks=True))
 
 
 def gold_pack(spark, d):
-    """Texts of the corpus packed again to the third configuration's sizes."""
-    pack = chunking.pack_udf(300, 400, 60, 50)
-    return _gold(spark, d).where("text IS NOT NULL").select("chunk_id", F.posexplode(pack("text")).alias("part_no", "text"))
+    """Texts of the corpus packed again to the sizes of every configuration."""
+    texts = _gold(spark, d).where("text IS NOT NULL").select("chunk_id", X.compact_cjk(X.one_line("text")).alias("t"))
+    config = table(spark, d, "chunk_config").distinct().select(F.col("corpus_version").alias("config"), "target_chars", "max_chars", "min_chars", "sentence_overflow_chars")
+    x = texts.crossJoin(F.broadcast(config))  # one row per configuration
+    return x.select("config", "chunk_id", F.posexplode(chunking.pack("t", "target_chars", "max_chars", "min_chars", "sentence_overflow_chars")).alias("part_no", "text"))
 
 
 def section_carry_forward(spark, d):
-    units = chunking.page_units(_pages(spark, d).withColumn("language", F.coalesce("language", F.lit("zh"))))
+    units = chunking.page_units(_prepared(spark, d, blocks=True), tuple(STOP_HEADINGS))
     return chunking.carry_sections(chunking.cross_page_merge(units)).select("source_id", "island", "section_no", "heading", F.length("text").alias("chars"))
 
 
