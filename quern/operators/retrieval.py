@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -9,17 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import cut
 
 K1, B = 1.5, 0.75
-#: Bytes of query vectors that are sent to every worker at once; more are scored in blocks of this size.
-QUERY_BLOCK_BYTES = 64 << 20
-#: Cells of the term by query matrix up to which all documents are scored by matrix products; beyond it terms are joined.
-MATRIX_CELLS = 8_000_000
+#: Documents and queries of one block: what one task scores at a time.
+DOCUMENTS_PER_BLOCK, QUERIES_PER_BLOCK = 2048, 1024
+#: Parts into which the postings of a term are divided where terms are joined.
+TERM_SALTS = 16
 MISS = 999
 
 
@@ -50,105 +53,79 @@ def token_counts(text: str, normalize: bool = True) -> Counter:
     return out
 
 
-def postings(documents: DataFrame, id_col: str, text: Column, normalize: bool = True) -> DataFrame:
-    """(id, term, tf, length): one row per distinct term of a document, one document a row.
+def tokenized(documents: DataFrame, id_col: str, text: Column, normalize: bool = True) -> DataFrame:
+    """(id, terms, tfs, length): the distinct terms of each text and their frequencies, and how many tokens it has.
 
-    Counted inside the row, so that nothing is shuffled; in Python batches, because
-    normalisation needs it and pairs of ideographs cost the JVM a scan each.  A
-    document's length comes once more in a row with an empty term.
+    In Python batches, because normalisation needs it and pairs of ideographs cost the JVM a scan each.
     """
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType())])
+    schema = T.StructType([rows.schema["id"], T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType())), T.StructField("length", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, terms, tfs, lengths = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                counts = token_counts(t, normalize)
-                n = counts.total()
-                at += [i] * (len(counts) + 1)
-                terms += ["", *counts]
-                tfs += [n, *counts.values()]
-                lengths += [n] * (len(counts) + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64())], names=["id", "term", "tf", "length"])
+            counts = [token_counts(t, normalize) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())), pa.array([c.total() for c in counts], pa.int64())],
+                names=["id", "terms", "tfs", "length"])
 
     return rows.mapInArrow(run, schema)
 
 
-def index_statistics(index: DataFrame) -> DataFrame:
-    """(n_docs, avg_length): one row; documents without tokens count."""
-    return index.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-
+def postings(tokens: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of what ``tokenized`` gives."""
+    return tokens.select("id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", "length", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
 
-def query_terms(queries: DataFrame, query_id: str, query: str, normalize: bool = True) -> DataFrame:
-    """(query_id, term, qtf)"""
-    rows = postings(queries.select(query_id, query).distinct(), query_id, F.col(query), normalize).where("term <> ''")
-    return rows.groupBy(F.col("id").alias("query_id"), "term").agg(F.sum("tf").alias("qtf"))
 
+def index_statistics(tokens: DataFrame) -> DataFrame:
+    """(n_docs, avg_length): one row; documents without tokens count."""
+    return tokens.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
 
-def _frequencies(index: DataFrame, q: DataFrame) -> DataFrame:
-    """(term, df) of the queries' terms, counted over the whole index."""
-    return index.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
+def query_terms(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, idf weight): the terms of tokenised queries with what each counts by the documents ``tokens``; terms of no document are left out.
 
-def bm25_contributions(index: DataFrame, q: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, w): what each shared term adds to a document's score; the inverted index is met by term."""
-    x = index.where("term <> ''").join(_frequencies(index, q), "term").crossJoin(F.broadcast(index_statistics(index)))  # one row
+    Frequencies of all terms are counted with map-side combining, so a common term is one row when it meets the queries.
+    """
+    df = postings(tokens).groupBy("term").agg(F.count("*").alias("df"))
+    q = postings(queries).select(F.col("id").alias("query_id"), "term", "tf").join(df, "term").crossJoin(F.broadcast(index_statistics(tokens)))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return x.select("id", "term", weight.alias("w")).join(q, "term").select("query_id", "id", (F.col("w") * F.col("qtf")).alias("w"))
+    return q.select("query_id", "term", (idf * F.col("tf")).alias("weight"), "avg_length")
 
 
-def _by_matrix(documents: DataFrame, id_col: str, text: Column, q: DataFrame, names: list, k: int, normalize: bool, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score): k candidates per query and batch of documents, scored by a product of weights and query terms."""
-    asked = q.collect()
-    terms = {r.term for r in asked}
-    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+def bm25_contributions(tokens: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, w): what each shared term adds to a document's score; the inverted index is met by (term, salt), as a common term has postings of nearly all documents."""
+    x = postings(tokens).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(TERM_SALTS)).cast("int"))
+    q = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+    weight = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    return x.join(q, ["term", "salt"]).select("query_id", "id", weight.alias("w"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            df: Counter = Counter()
-            total = 0
-            for t in batch.column(0).to_pylist():
-                counts = token_counts(t, normalize)
-                df.update(counts.keys() & terms)
-                total += counts.total()
-            yield pa.RecordBatch.from_arrays([pa.array(["", *df]), pa.array([batch.num_rows, *df.values()], pa.int64()), pa.array([total] + [0] * len(df), pa.int64())], names=["term", "df", "total"])
-
-    # One row per term of the queries, and one with an empty term for all documents.
-    found = rows.select("text").mapInArrow(count, "term string, df bigint, total bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).collect()
-    freq = {r.term: r.df for r in found if r.term}
-    n_docs = sum(r.df for r in found if not r.term)
-    mean = sum(r.total for r in found) / n_docs if n_docs else 1.0
-    mean = mean or 1.0
-    column = {t: j for j, t in enumerate(sorted(freq))}
-    idf = np.log(1 + (n_docs - np.array([freq[t] for t in sorted(freq)], dtype=float) + 0.5) / (np.array([freq[t] for t in sorted(freq)], dtype=float) + 0.5))
-    place = {name: i for i, name in enumerate(names)}
-    wanted = np.zeros((len(column), len(names)))
-    for r in asked:
-        if r.term in column:
-            wanted[column[r.term], place[r.query_id]] = r.qtf * idf[column[r.term]] * (k1 + 1)
-    step = max(16, min(2048, MATRIX_CELLS // (2 * max(1, len(column)))))
-    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), rows.schema["id"], T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = sorted(zip(batch.column(0)[at : at + step].to_pylist(), batch.column(1)[at : at + step].to_pylist()))
-                m = np.zeros((len(part), len(column)))
-                for i, (_, t) in enumerate(part):
-                    counts = token_counts(t, normalize)
-                    own = [(column[x], c) for x, c in counts.items() if x in column]
-                    if own:
-                        j, tf = np.array(own).T
-                        m[i, j] = tf / (tf + k1 * (1 - b + b * counts.total() / mean))
-                score = np.round(m @ wanted, 12) + 0.0
-                top = np.argsort(-score, axis=0, kind="stable")[:k]
-                ids = [part[i][0] for i in top.T.ravel()]
-                who = [x for x in names for _ in range(len(top))]
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids, batch.schema.field(0).type), pa.array(np.take_along_axis(score, top, 0).T.ravel())], names=["query_id", "id", "score"])
+def in_blocks(rows: DataFrame, queries: DataFrame, score, schema: T.StructType) -> DataFrame:
+    """Every block of ``queries`` against every block of ``rows``: ``score`` maps two Arrow tables to one.
 
-    return rows.mapInArrow(run, schema)
+    Both sides have an ``id``.  A block of rows is repeated for every block of queries and the other way round; nothing is
+    collected or broadcast, and a task holds one block of each whatever their numbers.
+    """
+    n, m = (max(1, -(-d.count() // size)) for d, size in ((rows, DOCUMENTS_PER_BLOCK), (queries, QUERIES_PER_BLOCK)))
+    part = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = rows.withColumn("_a", part(n)).withColumn("_b", every(m))
+    b = queries.withColumn("_b", part(m)).withColumn("_a", every(n))
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(score, schema)
+
+
+def _best(scores: np.ndarray, ids: list, asked: list, k: int, skip_self: bool, types: tuple) -> pa.Table:
+    """The k best columns of each row, equal scores by id; ``ids`` are in order."""
+    if skip_self:
+        place = {v: i for i, v in enumerate(ids)}
+        for i, v in enumerate(asked):
+            if v in place:
+                scores[i, place[v]] = -np.inf
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    found = np.take_along_axis(scores, top, 1).ravel()
+    keep = np.isfinite(found)
+    who = np.repeat(np.arange(len(asked)), top.shape[1])[keep]
+    return pa.table({"query_id": pa.array(asked, types[0]).take(pa.array(who)), "id": pa.array(ids, types[1]).take(pa.array(top.ravel()[keep])), "score": pa.array(found[keep])})
 
 
 def ranked(scores: DataFrame, k: int, *order: Column, query_id: str = "query_id") -> DataFrame:
@@ -159,80 +136,81 @@ def ranked(scores: DataFrame, k: int, *order: Column, query_id: str = "query_id"
 def bm25_topk(documents: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query: str, k: int = 10, normalize: bool = True) -> DataFrame:
     """(query_id, rank, id, score): the k best documents, equal scores by id.
 
-    Scores are compared rounded to twelve places, as the order in which terms are
-    summed is not fixed.  Documents without a common term have score 0 and fill up
-    by id.  Where terms times queries are at most MATRIX_CELLS, that matrix is sent to
-    the workers and every batch of documents is scored by one product; beyond it the
-    inverted index is joined by term, and only the k smallest ids, all that fills can
-    be, are crossed with the queries.
+    Documents are tokenised once and written; blocks of queries meet blocks of
+    documents, in which only terms that both have are multiplied, and k documents of
+    every block go on.  Scores are compared rounded to twelve places.  Documents
+    without a common term have score 0 and fill up by id.
     """
-    index = postings(documents, id_col, text, normalize)
-    q = query_terms(queries, query_id, query, normalize)
-    asked = queries.select(F.col(query_id).alias("query_id")).where("query_id IS NOT NULL").distinct()
-    n_terms, n_queries = q.select("term").distinct().count(), asked.count()
-    if n_queries and n_terms * n_queries <= MATRIX_CELLS and n_queries <= 4096:
-        scores = _by_matrix(documents, id_col, text, q, [r.query_id for r in asked.collect()], k, normalize)
-    else:
-        least = documents.select(F.col(id_col).alias("id")).orderBy("id").limit(k)  # k rows
-        fill = asked.crossJoin(F.broadcast(least)).withColumn("w", F.lit(0.0))
-        # The fills join the same aggregation, which combines map-side, as contributions of 0.
-        scores = bm25_contributions(index, q).unionByName(fill).groupBy("query_id", "id").agg(F.round(F.sum("w"), 12).alias("score"))
-    return ranked(scores, k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
+    tokens = cut(tokenized(documents, id_col, text, normalize))
+    rows = queries.select(query_id, query).where(F.col(query_id).isNotNull()).distinct()
+    asked = cut(tokenized(rows, query_id, F.col(query), normalize))
+    weights = query_terms(tokens, asked).groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"), F.max("avg_length").alias("avg_length"))  # as long as a query
+    weighted = asked.select(F.col("id").alias("query_id")).join(weights, "query_id", "left").withColumnRenamed("query_id", "id")
+    schema = T.StructType([T.StructField("query_id", weighted.schema["id"].dataType), T.StructField("id", tokens.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def score(docs: pa.Table, block: pa.Table) -> pa.Table:
+        docs = docs.take(pc.sort_indices(docs, [("id", "ascending")]))
+        ids, names = docs["id"].to_pylist(), block["id"].to_pylist()
+        out = np.zeros((len(names), len(ids)))
+        wanted: dict[str, tuple[list, list]] = {}
+        mean = next((x for x in block["avg_length"].to_pylist() if x), 1.0)
+        for i, (terms, ws) in enumerate(zip(block["terms"].to_pylist(), block["weights"].to_pylist())):
+            for t, w in zip(terms or (), ws or ()):
+                own = wanted.setdefault(t, ([], []))
+                own[0].append(i)
+                own[1].append(w)
+        places: dict[str, tuple[list, list]] = {t: ([], []) for t in wanted}
+        for j, (terms, tfs) in enumerate(zip(docs["terms"].to_pylist(), docs["tfs"].to_pylist())):
+            for t, n in zip(terms, tfs):
+                if t in places:
+                    places[t][0].append(j)
+                    places[t][1].append(n)
+        norm = K1 * (1 - B + B * docs["length"].to_numpy() / mean)
+        for t in sorted(wanted):
+            j, tf = places[t]
+            if j:
+                i, w = wanted[t]
+                tf = np.array(tf, dtype=float)
+                out[np.ix_(i, j)] += np.outer(w, tf * (K1 + 1) / (tf + norm[j]))
+        return _best(np.round(out, 12) + 0.0, ids, names, k, False, (block.schema.field("id").type, docs.schema.field("id").type))
+
+    return ranked(in_blocks(tokens, weighted, score, schema), k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
 
 
 def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 10, skip_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k nearest vectors by exact cosine, in double precision, equal scores by id.
 
-    The query set is collected in blocks of at most QUERY_BLOCK_BYTES and sent to
-    the workers; each multiplies it with its batches and keeps k candidates per
-    query and batch.  Scores are compared rounded to nine places.  Null vectors are
+    Blocks of queries meet blocks of vectors by one matrix product, and k vectors of
+    every block go on.  Scores are compared rounded to nine places.  Null vectors are
     left out, a zero vector has score 0.
     """
-    rows = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).where("q IS NOT NULL AND v IS NOT NULL").distinct()
-    found = rows.toPandas()
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    schema = T.StructType([T.StructField("query_id", rows.schema["q"].dataType), T.StructField("id", source.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    if found.empty:
-        return source.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).select("query_id", "rank", "id", "score")
-
-    def unit(m: np.ndarray) -> np.ndarray:
+    side = lambda d, i, v: d.select(F.col(i).alias("id"), F.col(v).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows, asked = side(vectors, id_col, vector_col), side(queries, query_id, query_vector).distinct()
+    schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    all_q = unit(np.array(found.v.tolist(), dtype=np.float64))
-    step = max(1, QUERY_BLOCK_BYTES // (all_q.shape[1] * 8))
-    parts = []
-    for at in range(0, len(all_q), step):
-        block, names = all_q[at : at + step], found.q.iloc[at : at + step].to_numpy()
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = np.array(batch.column(0).to_pylist(), dtype=object)
-                if not len(ids):
-                    continue
-                s = np.round(block @ unit(np.array(batch.column(1).to_pylist(), dtype=np.float64)).T, 9) + 0.0
-                order = np.argsort(ids.astype(str) if isinstance(ids[0], str) else ids.astype(np.int64), kind="stable")
-                ids, s = ids[order], s[:, order]
-                if skip_self:
-                    s[names[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                q, pick = np.repeat(names, top.shape[1]), top.ravel()
-                score = np.take_along_axis(s, top, 1).ravel()
-                keep = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep].tolist(), batch.schema.field(0).type if not isinstance(q[0], str) else pa.string()), pa.array(ids[pick][keep].tolist(), batch.schema.field(0).type), pa.array(score[keep])], names=["query_id", "id", "score"])
-
-        parts.append(source.mapInArrow(run, schema))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return ranked(both, k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
-
-
-def rrf(first: DataFrame, second: DataFrame, constant: int = 60, depth: int = 10, k: int = 10) -> DataFrame:
+    def score(docs: pa.Table, block: pa.Table) -> pa.Table:
+        if not docs.num_rows or not block.num_rows:
+            return pa.table({"query_id": pa.array([], block.schema.field("id").type), "id": pa.array([], docs.schema.field("id").type), "score": pa.array([], pa.float64())})
+        docs = docs.take(pc.sort_indices(docs, [("id", "ascending")]))
+        s = np.round(unit(block["v"]) @ unit(docs["v"]).T, 9) + 0.0
+        return _best(s, docs["id"].to_pylist(), block["id"].to_pylist(), k, skip_self, (block.schema.field("id").type, docs.schema.field("id").type))
+
+    return ranked(in_blocks(rows, asked, score, schema), k, F.col("score").desc(), F.col("id")).select("query_id", "rank", "id", "score")
+
+
+def rrf(first: DataFrame, second: DataFrame, constant: int = 60, depth: int = 10, k: int = 10, questions: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score, first_rank, second_rank): reciprocal-rank fusion of two rankings.
 
     Of each ranking the first ``depth`` count; equal sums go by the better single rank, then by id.
+    Both must answer the same questions, and those of ``questions`` if given; otherwise it is an error.
     """
+    require_same_queries(first, second, *([questions] if questions is not None else []))
     a = first.where(F.col("rank") <= depth).select("query_id", "id", F.col("rank").alias("first_rank"))
     b = second.where(F.col("rank") <= depth).select("query_id", "id", F.col("rank").alias("second_rank"))
     x = a.join(b, ["query_id", "id"], "full_outer")
@@ -244,11 +222,29 @@ def rrf(first: DataFrame, second: DataFrame, constant: int = 60, depth: int = 10
 
 def require_same_queries(*runs: DataFrame) -> None:
     """All runs must answer the same questions."""
-    first = runs[0].select("query_id").distinct()
-    for other in runs[1:]:
-        q = other.select("query_id").distinct()
-        if not first.join(q, "query_id", "left_anti").isEmpty() or not q.join(first, "query_id", "left_anti").isEmpty():
-            raise ValueError("the runs answer different questions")
+    sides = [d.select("query_id", F.lit(i).alias("i")) for i, d in enumerate(runs)]
+    both = sides[0]
+    for d in sides[1:]:
+        both = both.unionByName(d)
+    odd = both.groupBy("query_id").agg(F.countDistinct("i").alias("n")).where(F.col("n") < len(runs)).limit(3).collect()
+    if odd:
+        raise ValueError(f"the runs answer different questions: {[r.query_id for r in odd]}")
+
+
+def require_frozen(benchmark: DataFrame, sha256: str) -> DataFrame:
+    """The benchmark as it is, if its content has the hash it was frozen with; an error otherwise."""
+    found = frozen_hash(benchmark)
+    if found != sha256:
+        raise ValueError(f"the benchmark is not the frozen one: {found}")
+    return benchmark
+
+
+def frozen_hash(benchmark: DataFrame) -> str:
+    """Hash of a table's distinct rows whatever their order: the digits of the sum of the rows' hashes, hashed again."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in sorted(benchmark.columns)]), 256)
+    digest = lambda a: F.sum(F.conv(F.substring(row, a, 12), 16, 10).cast("decimal(38,0)"))
+    r = benchmark.distinct().agg(F.count("*"), *[digest(a) for a in (1, 13, 25, 37)]).first()
+    return hashlib.sha256("|".join(map(str, r)).encode()).hexdigest()
 
 
 def query_metrics(results: DataFrame, benchmark: DataFrame, cutoff: int = 10) -> DataFrame:
@@ -298,7 +294,8 @@ def compare_two(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("bm25", "d
 
 
 def compare_three(runs: dict[str, DataFrame]) -> DataFrame:
-    """Per question all runs that share the best first gold rank, joined by |; driven by the questions that every run has."""
+    """Per question all runs that share the best first gold rank, joined by |; an error unless all runs have the same questions."""
+    require_same_queries(*runs.values())
     x = None
     for name, d in runs.items():
         y = d.select("query_id", F.coalesce("first_gold_rank", F.lit(MISS)).alias(name))

@@ -1,7 +1,7 @@
 """SQL that gives the same rows as the registered core queries, independent of the Spark code."""
 
-from .chunk_oracles import CHUNK_SQL
-from .oracle_parts import GOLD, HEADING, PAGES, blank, squeeze, strip
+from .chunk_oracles import CHUNK_SQL, compact
+from .oracle_parts import GOLD, HEADING, PAGES, WS, blank, nfkc, squeeze, strip
 
 _TOKENS = """list_transform(regexp_extract_all(lower({c}), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9]+(?:[._/-][a-z0-9]+)*'),
   lambda r: CASE WHEN regexp_matches(r, '^[\\x{4e00}-\\x{9fff}]') THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END)"""
@@ -34,7 +34,7 @@ dn AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTIT
 _RRF = f"""
 rr0 AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS bm25_rank, b.rank AS dense_rank,
   round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 15) AS s
-  FROM bm a FULL JOIN (SELECT * FROM dn WHERE query_id IN (SELECT query_id FROM {_QUESTIONS})) b ON a.query_id = b.query_id AND a.id = b.id),
+  FROM (SELECT * FROM bm WHERE query_id IN (SELECT query_id FROM dn)) a FULL JOIN (SELECT * FROM dn WHERE query_id IN (SELECT query_id FROM {_QUESTIONS})) b ON a.query_id = b.query_id AND a.id = b.id),
 rf AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, least(bm25_rank, dense_rank), id) AS INTEGER) AS rank FROM rr0) WHERE rank <= 10)"""
 
 
@@ -122,7 +122,7 @@ bv AS (SELECT query_id, concat_ws('; ', {_domain('phase', 'pilot', 'expansion')}
   CASE WHEN evidence_scope = 'single_chunk' AND len({_G}) <> 1 THEN 'single_chunk_requires_one_gold' END, CASE WHEN evidence_scope = 'multi_chunk' AND len({_G}) < 2 THEN 'multi_chunk_requires_multiple_gold' END,
   CASE WHEN list_sort(list_distinct({_X})) <> gs THEN 'expected_source_mismatch' END) AS e, CASE WHEN length({strip('query')}) < 6 THEN 'query_unusually_short' ELSE '' END AS w FROM bx)"""
 
-_CITE = r"length(regexp_replace(regexp_replace(text, '\[[\d,，\s~～–-]+\]', '', 'g'), '[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g')) < 4"
+_CITE = r"length(regexp_replace(regexp_replace(text, '［[^］]{1,30}］|\[[^\]]{1,30}\]', '', 'g'), '[^A-Za-z0-9\x{3400}-\x{9fff}]+', '', 'g')) < 4"
 
 _CORPUS = f"""
 cx AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) > 1 AS dup, count(*) OVER (PARTITION BY sha256({squeeze('text')})) > 1 AS dupt, {blank('text')} AS bt FROM {GOLD}),
@@ -170,7 +170,7 @@ a AS (SELECT *, coalesce(bool_or(ref) OVER (PARTITION BY source_id ORDER BY pdf_
 SELECT page_id, cp AS chunk_policy, CASE WHEN aft THEN 'after_references' WHEN cp <> 'include' THEN 'policy_excluded' ELSE 'included' END AS status FROM a""",
     "included_sources": f"SELECT DISTINCT source_id, lower(substr(language, 1, 2)) AS language, try_cast(publication_year AS INTEGER) AS year FROM source_registry WHERE lower({strip('include_status')}) = 'included'",
     "repeated_margin_lines": f"WITH {_LINES} SELECT source_id, signature FROM rm",
-    "stripped_pages": f"""WITH {_LINES} SELECT source_id, page, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM bk WHERE NOT (margin AND (source_id, sig) IN (SELECT source_id, signature FROM rm)) AND NOT (margin AND regexp_matches({squeeze('text')}, '^[-–—]?[\\t-\\r ]*\\d{{1,4}}[\\t-\\r ]*[-–—]?$')) GROUP BY ALL""",
+    "stripped_pages": f"""WITH {_LINES} SELECT source_id, page, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM bk WHERE NOT (margin AND (source_id, sig) IN (SELECT source_id, signature FROM rm)) AND NOT regexp_matches({strip('text')}, '^\\p{{Nd}}+$') GROUP BY ALL""",
     "chunk_summary": f"SELECT source_id, content_type, count(*) AS chunks, {_STATS}, count(CASE WHEN pdf_page_end > pdf_page_start THEN 1 END) AS cross_page, count(CASE WHEN char_count < 120 THEN 1 END) AS below_minimum FROM {GOLD} GROUP BY ALL",
     "corpus_summary": f"SELECT CASE WHEN grouping(source_id) = 1 THEN 'ALL' ELSE source_id END AS source_id, CASE WHEN grouping(content_type) = 1 THEN 'ALL' ELSE content_type END AS content_type, count(*) AS chunks, {_STATS}, count(CASE WHEN cross_page THEN 1 END) AS cross_page FROM {GOLD} g GROUP BY GROUPING SETS ((g.source_id, g.content_type), ())",
     "title_path": f"""WITH RECURSIVE {_NODES}, lk AS (SELECT n.node_id, n.display_title, p.node_id AS par FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id),
@@ -218,3 +218,30 @@ ORACLE_SQL["table_detections"] = f"""WITH x AS (SELECT source_id, len(list_filte
 SELECT source_id, CAST(sum(r) AS BIGINT) AS rows_tables, CAST(sum(n) AS BIGINT) AS numbers_tables, CAST(count(CASE WHEN r > 0 THEN 1 END) AS INTEGER) AS rows_pages, CAST(count(CASE WHEN n > 0 THEN 1 END) AS INTEGER) AS numbers_pages, count(CASE WHEN r <> n THEN 1 END) AS differing_pages FROM x GROUP BY source_id"""
 ORACLE_SQL["winner_counts"] = f"SELECT winner, count(*) AS queries FROM ({ORACLE_SQL['compare_two_way']}) GROUP BY winner"
 ORACLE_SQL |= CHUNK_SQL
+_BM25_NFKC = _BM25.replace(tokens(_INDEX), tokens(nfkc(_INDEX))).replace(tokens("query"), tokens(nfkc("query")))
+ORACLE_SQL["bm25_topk"] = f"WITH {_BM25_NFKC} SELECT query_id, rank, id AS chunk_id, round(score, 6) AS score FROM bm"
+ORACLE_SQL["bm25_term_join"] = f"WITH {_BM25} SELECT query_id, id AS chunk_id, round(score, 6) AS score, terms FROM sc JOIN (SELECT query_id, id, count(*) AS terms FROM post JOIN qt USING (term) GROUP BY ALL) USING (query_id, id)"
+ORACLE_SQL["retrieval_metrics_bm25"] = ORACLE_SQL["retrieval_metrics"].replace(f"WITH {_DENSE}, {_metrics('m', 'dn', _ALL_Q)}", f"WITH {_BM25_NFKC}, {_metrics('m', 'bm', _QUESTIONS)}")
+
+_BREAK = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_NUMBERED = f"'^{WS}*\\p{{Nd}}{{1,3}}{WS}+'"
+_PIECE = """CASE WHEN b IS NULL THEN a WHEN starts_with(lang, 'en') AND ends_with(a, '-') AND regexp_matches(b, '^\\p{L}') THEN left(a, length(a) - 1)
+  WHEN CASE WHEN starts_with(lang, 'zh') THEN regexp_matches(a, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}（《【]$') OR regexp_matches(b, '^[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}，。；：！？、）》】]') ELSE regexp_matches(b, '^[,.;:!?)\\]}]') END THEN a ELSE a || ' ' END"""
+ORACLE_SQL["unwrapped_pages"] = f"""WITH x AS (SELECT page_id, lower(coalesce(language, 'zh')) AS lang, text IS NULL AS none, list_filter(list_transform(regexp_split_to_array(text, {_BREAK}), lambda s: regexp_replace(s, '{WS}+$', '')), lambda s: s <> '') AS f FROM {PAGES}),
+y AS (SELECT *, list_filter(list_transform(CASE WHEN 2 * len(list_filter(f, lambda s: regexp_matches(s, {_NUMBERED}))) >= len(f) THEN list_transform(f, lambda s: regexp_replace(s, {_NUMBERED}, '')) ELSE f END, lambda s: {squeeze('s')}), lambda s: s <> '') AS l FROM x),
+z AS (SELECT page_id, i, a, b, lang FROM (SELECT page_id, lang, unnest(l) AS a, unnest(l[2:] || [NULL]) AS b, generate_subscripts(l, 1) AS i FROM y)),
+w AS (SELECT page_id, string_agg({_PIECE}, '' ORDER BY i) AS t FROM z GROUP BY page_id)
+SELECT page_id, CASE WHEN NOT none THEN coalesce({squeeze('t')}, '') END AS text FROM y LEFT JOIN w USING (page_id)"""
+ORACLE_SQL["cjk_compact"] = f"SELECT DISTINCT chunk_id, {compact(squeeze('text'))} AS compacted FROM gold_corpus WHERE text IS NOT NULL"
+_MARKS = "['。', '！', '？', '；', '!', '?', ';']"
+ORACLE_SQL["context_selection"] = f"""WITH x AS (SELECT chunk_id, {squeeze('text')} AS t FROM {GOLD} WHERE content_type = 'question_recommendation' AND text IS NOT NULL),
+y AS (SELECT *, list_filter({_MARKS}, lambda m: strpos(t, m) > 60 AND strpos(t, m) <= 120)[1] AS near, list_filter({_MARKS}, lambda m: strpos(substr(t, 121, 180), m) > 0)[1] AS far FROM x)
+SELECT chunk_id, {compact("CASE WHEN length(t) <= 120 THEN t WHEN near IS NOT NULL THEN left(t, strpos(t, near)) WHEN far IS NOT NULL THEN left(t, 120 + strpos(substr(t, 121, 180), far)) ELSE left(t, 300) END")} AS context FROM y"""
+ORACLE_SQL["reading_order"] = f"""WITH {_LINES}, b AS (SELECT source_id, page, i AS block_no, i * 1000.0::DOUBLE / n AS y0, (i + 1) * 1000.0::DOUBLE / n AS y1, i % 9 = 0 AS bar, CASE WHEN i % 9 <> 0 AND i % 2 = 1 THEN 1 ELSE 0 END AS r FROM bl),
+f AS (SELECT *, row_number() OVER w AS zone, coalesce(max(y1) OVER (PARTITION BY source_id, page ORDER BY round_even(y0, 1), block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-infinity'::DOUBLE) AS top FROM b WHERE bar WINDOW w AS (PARTITION BY source_id, page ORDER BY round_even(y0, 1), block_no)),
+zn AS (SELECT source_id, page, zone, top, y0 AS bottom FROM f UNION ALL SELECT source_id, page, max(zone) + 1, max(y1), 'infinity'::DOUBLE FROM f GROUP BY ALL),
+co AS (SELECT b.source_id, b.page, block_no, y0, r, min(CASE WHEN zn.top <= (y0 + y1) / 2 AND (y0 + y1) / 2 < zn.bottom THEN zone END) AS zone, count(zone) AS zones FROM b LEFT JOIN zn ON zn.source_id = b.source_id AND zn.page = b.page WHERE NOT bar GROUP BY ALL),
+al AS (SELECT source_id, page, block_no, y0, r, 0 AS q, coalesce(zone, CASE WHEN zones = 0 THEN 1 ELSE 2147483647 END) AS zone FROM co UNION ALL SELECT source_id, page, block_no, y0, 0, 1, zone FROM f)
+SELECT source_id, page, CAST(block_no AS INTEGER) AS block_no, CAST(row_number() OVER (PARTITION BY source_id, page ORDER BY zone, q, r, round_even(y0, 1), block_no) AS INTEGER) AS position FROM al"""
+ORACLE_SQL["assembled_pages"] = f"""WITH {_LINES}, k AS (SELECT source_id, page, i, {squeeze(f"regexp_replace(text, {_NUMBERED}, '')")} AS t FROM bk WHERE NOT (margin AND (source_id, sig) IN (SELECT source_id, signature FROM rm)) AND NOT regexp_matches({strip('text')}, '^\\p{{Nd}}+$'))
+SELECT source_id, page, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text, count(*) AS text_block_count FROM k WHERE t <> '' GROUP BY ALL"""

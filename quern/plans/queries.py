@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, corpus, filters, generation, hierarchy, layout, quality, retrieval, sampling
-from ..session import blank, strip, table
+from ..session import blank, cut, strip, table
 from ..sources import io
 from .oracles import ORACLE_SQL
 
@@ -55,17 +55,29 @@ def _bm25(spark: SparkSession, d: str, normalize: bool) -> DataFrame:
     return retrieval.bm25_topk(_gold(spark, d).select("chunk_id", "title_path", "display_title", "text"), "chunk_id", text, _questions(spark, d), "query_id", "query", 10, normalize)
 
 
-def bm25_index_stats(spark, d):
+def _tokens(spark, d, normalize=False):
     text = retrieval.index_text("title_path", "display_title", F.coalesce("text", F.lit("")))
-    return retrieval.index_statistics(retrieval.postings(_gold(spark, d), "chunk_id", text, False)).select("n_docs", F.round("avg_length", 6).alias("avg_length"))
+    return retrieval.tokenized(_gold(spark, d), "chunk_id", text, normalize)
+
+
+def bm25_index_stats(spark, d):
+    return retrieval.index_statistics(_tokens(spark, d)).select("n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
 def token_df_topn(spark, d):
     """The 100 terms in most chunks: a report of the most frequent."""
-    p = retrieval.postings(_gold(spark, d), "chunk_id", F.col("text"), False).where("term <> ''")
+    p = retrieval.postings(retrieval.tokenized(_gold(spark, d), "chunk_id", F.col("text"), False))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("df").desc(), "term").limit(100)
 
 
+def bm25_term_join(spark, d):
+    """Scores of all chunks that share a term with a question, by the inverted index."""
+    tokens = cut(_tokens(spark, d))
+    terms = retrieval.query_terms(tokens, retrieval.tokenized(_questions(spark, d).select("query_id", "query").distinct(), "query_id", F.col("query"), False))
+    s = retrieval.bm25_contributions(tokens, terms).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("terms"))
+    return s.withColumnRenamed("id", "chunk_id")
+
+
 def bm25_topk(spark, d):
     return _bm25(spark, d, True).select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
@@ -81,13 +93,15 @@ def dense_topk(spark, d):
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-def _fused(spark, d):
-    mine = _questions(spark, d).select("query_id")
-    return retrieval.rrf(_run(_bm25(spark, d, False)), _dense_run(spark, d).join(mine, "query_id", "left_semi"))
+def _both_runs(spark, d):
+    """The lexical and the dense run over the questions that both answer; the lexical one, which is used twice, is written."""
+    dense = _dense_run(spark, d)
+    bm25 = cut(_run(_bm25(spark, d, False)).join(dense.select("query_id").distinct(), "query_id", "left_semi"))
+    return bm25, dense.join(bm25.select("query_id").distinct(), "query_id", "left_semi")
 
 
 def rrf_fusion(spark, d):
-    return _fused(spark, d).select("query_id", "rank", F.col("id").alias("chunk_id"), "score", F.col("first_rank").alias("bm25_rank"), F.col("second_rank").alias("dense_rank"))
+    return retrieval.rrf(*_both_runs(spark, d)).select("query_id", "rank", F.col("id").alias("chunk_id"), "score", F.col("first_rank").alias("bm25_rank"), F.col("second_rank").alias("dense_rank"))
 
 
 _METRICS = ["query_id", "answerability", "gold_count", "support_count", "first_gold_rank", "first_relevant_rank", "hit_at_1", "hit_at_3", "hit_at_5", "relevant_hit_at_1", "relevant_hit_at_3", "relevant_hit_at_5", "top1_chunk_id"]
@@ -119,7 +133,8 @@ def compare_two_way(spark, d):
 
 
 def compare_three_way(spark, d):
-    runs = {"bm25": _run(_bm25(spark, d, False)), "dense": _dense_run(spark, d), "rrf": _run(_fused(spark, d))}
+    bm25, dense = _both_runs(spark, d)
+    runs = {"bm25": bm25, "dense": dense, "rrf": _run(retrieval.rrf(bm25, dense))}
     return retrieval.compare_three({k: _own_metrics(spark, d, v) for k, v in runs.items()})
 
 
@@ -473,7 +488,7 @@ def table_detections(spark, d):
     return t.select("source_id", "rows_tables", "numbers_tables", F.size("rows_pages").alias("rows_pages"), F.size("numbers_pages").alias("numbers_pages"), "differing_pages")
 
 
-_NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
+_NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain bm25_term_join dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
 text_normalize heading_normalize cjk_compact unwrapped_pages chunk_hash dup_text_audit sentence_units text_fields context_selection extractability_audit page_policy_status included_sources repeated_margin_lines stripped_pages reading_order assembled_pages
 baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead gold_sections structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
 generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue evaluation_summary_runs evaluation_totals_runs review_queue_runs calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
