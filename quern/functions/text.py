@@ -338,15 +338,17 @@ def apply_rule(text: str, rule: dict) -> tuple[str, bool]:
 
 @F.pandas_udf(CLEANED)
 def clean_node(text: pd.Series, rules: pd.Series) -> pd.DataFrame:
-    """A node's text after its cleanup rules in order, and what each did; a required rule that does not apply is an error."""
+    """A node's text after its cleanup rules in order, as one line before and after each, and what each did; a required rule that does not apply is an error."""
+    line = lambda t: " ".join((t or "").split())
     out = []
     for t, rs in zip(text, rules):
-        notes = []
+        notes, t = [], line(t)
         for r in rs if rs is not None else ():
-            new, hit = apply_rule(t or "", r)
-            if not hit and r.get("required"):
+            new, hit = apply_rule(t, r)
+            if not hit and r.get("required") is not False:
                 raise ValueError(f"required rule did not apply: {r.get('rule_id')}")
-            notes.append({"rule_id": r.get("rule_id"), "status": "applied" if hit else "skipped", "removed": len(t or "") - len(new)})
+            new = line(new)
+            notes.append({"rule_id": r.get("rule_id"), "status": "applied" if hit else "not_applied", "removed": max(0, len(t) - len(new))})
             t = new
         out.append((t, notes))
     return pd.DataFrame(out, columns=["text", "diagnostics"])

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import strip
-from .chunking import pack_sentences
+from ..session import cut, strip
+from .chunking import PAGES_PER_BLOCK, pack
 from .hierarchy import resolve_hierarchy
 
 
+#: Parts into which the descendants of a node are divided where they fetch its title.
+TITLE_SALTS = 8
+# How nodes are extracted, and what is said of the chunks made from them.
+AUTO_MODES, MANUAL_MODES = ("auto_text", "hybrid"), ("manual_table", "hybrid")
+EXTRACTED, VERIFIED = "auto_extracted_structure_validated", "human_verified"
+SECTION_METHOD, QUESTION_METHOD, TABLE_METHOD = "hierarchy_bounded_section_v3", "question_recommendation_v3", "manual_table_import_v1"
+LEAST_ROOM, LEAST_TEXT = 220, 4
+
+
 def require_pass(*reports: DataFrame, column: str = "status") -> None:
     """All upstream validation reports must be all pass."""
     for r in reports:
@@ -29,8 +37,12 @@ def title_paths(nodes: DataFrame, strict: bool = True) -> DataFrame:
     if strict and not r.where("depth = 0").isEmpty():
         raise ValueError("the nodes have a cycle")
     steps = r.where("depth > 0").select("node", F.posexplode("path").alias("at", "step"))
-    titles = steps.join(nodes.select(F.col("node_id").alias("step"), "display_title"), "step")
-    paths = titles.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "display_title"))), lambda s: s["display_title"]).alias("title_path"))
+    # A root is a step of all its descendants, so steps meet their titles by (step, salt).
+    some = lambda c: F.when(strip(F.col(c)) != "", F.col(c))
+    own = F.coalesce(*[some(c) for c in ("display_title", "marker_text") if c in nodes.columns], "node_id")
+    steps = steps.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(TITLE_SALTS)).cast("int"))
+    titles = nodes.select(F.col("node_id").alias("step"), own.alias("title"), F.explode(F.sequence(F.lit(0), F.lit(TITLE_SALTS - 1))).alias("salt"))
+    paths = steps.join(titles, ["step", "salt"]).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "title"))), lambda s: s["title"]).alias("title_path"))
     return nodes.join(paths.withColumnRenamed("node", "node_id"), "node_id", "left")
 
 
@@ -48,40 +60,29 @@ def document_ends(boundaries: DataFrame) -> DataFrame:
 
 
 def slice_nodes(located: DataFrame, pages: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node_id, segment_text, pdf_page_start, pdf_page_end): each node's text up to the next one's start or the document's end.
+    """(source_id, node_id, segment_text, pdf_page_start, pdf_page_end): each node's text up to the next one's start or the document's end.
 
-    The next start is a lead in node order; the pages between the two are met by a
-    range join within the source and cut at both ends.
+    The next start is a lead in node order (equal orders by id); the pages between
+    the two are met by a range join within the source and cut at both ends; blank
+    parts do not count.  A node without text has an empty one on its own page.
     """
-    w = Window.partitionBy("source_id").orderBy("node_order")
+    w = Window.partitionBy("source_id").orderBy("node_order", "node_id")
     n = located.where("start_pos >= 0").select("source_id", "node_id", "node_order", F.col("pdf_page").alias("page_a"), F.col("start_pos").alias("pos_a"))
     n = n.withColumn("_n", F.lead(F.struct("page_a", "pos_a")).over(w)).join(ends, "source_id", "left")
     n = n.select("source_id", "node_id", "page_a", "pos_a", F.coalesce(F.col("_n.page_a"), "end_page", F.lit(2**31 - 1)).alias("page_b"), F.coalesce(F.col("_n.pos_a"), "end_pos", F.lit(2**31 - 1)).alias("pos_b"))
-    p = pages.select("source_id", F.col("pdf_page_number").alias("page"), "text")
-    x = n.join(p, "source_id").where("page BETWEEN page_a AND page_b")
+    # Nodes and pages meet by blocks of pages, so that a source with many of both is no single key.
+    of = lambda c: F.floor(F.col(c) / PAGES_PER_BLOCK)
+    p = pages.select("source_id", F.col("pdf_page_number").alias("page"), "text", of("pdf_page_number").alias("_block"))
+    last = p.groupBy("source_id").agg(F.max("page").alias("_max"))
+    spread = n.join(last, "source_id").withColumn("_to", F.least("page_b", "_max")).where("_to >= page_a").select(*n.columns, F.explode(F.sequence(of("page_a"), of("_to"))).alias("_block"))
+    x = spread.join(p, ["source_id", "_block"]).where("page BETWEEN page_a AND page_b")
     left = F.when(F.col("page") == F.col("page_a"), F.col("pos_a")).otherwise(0)
     right = F.when(F.col("page") == F.col("page_b"), F.col("pos_b")).otherwise(F.length("text"))
-    x = x.withColumn("_s", F.substr("text", left + 1, F.greatest(right - left, F.lit(0)))).where(F.length("_s") > 0)
+    x = x.withColumn("_s", F.substr("text", left + 1, F.greatest(right - left, F.lit(0)))).where(F.length(strip(F.col("_s"))) > 0)
     parts = F.array_sort(F.collect_list(F.struct("page", "_s")))
-    return x.groupBy("source_id", "node_id").agg(F.array_join(F.transform(parts, lambda s: s["_s"]), "\n").alias("segment_text"), F.min("page").alias("pdf_page_start"), F.max("page").alias("pdf_page_end"))
-
-
-def _pack(target: int, limit: int, least: int, overflow: int, least_room: int = 220):
-    """UDF over (text, question, context): the parts of a text; with a question, room is left for it and its context."""
-
-    @F.pandas_udf("array<string>")
-    def pack(text: pd.Series, question: pd.Series, context: pd.Series) -> pd.Series:
-        def one(t, q, c):
-            if q is None:
-                return pack_sentences(t or "", target, limit, least, overflow)
-            room = limit - len(q) - len(c or "") - 2
-            if room < least_room:
-                raise ValueError(f"no room for a recommendation beside its question: {q[:60]!r}")
-            return pack_sentences(t or "", min(room, max(300, target - len(q) - len(c or ""))), room, min(least, max(100, room // 3)), overflow)
-
-        return pd.Series([one(t, q, c) for t, q, c in zip(text, question, context)])
-
-    return pack
+    found = x.groupBy("source_id", "node_id").agg(F.array_join(F.transform(parts, lambda s: s["_s"]), "\n").alias("segment_text"), F.min("page").alias("pdf_page_start"), F.max("page").alias("pdf_page_end"))
+    return n.select("source_id", "node_id", "page_a").join(found, ["source_id", "node_id"], "left").select(
+        "source_id", "node_id", F.coalesce("segment_text", F.lit("")).alias("segment_text"), F.coalesce("pdf_page_start", "page_a").alias("pdf_page_start"), F.coalesce("pdf_page_end", "page_a").alias("pdf_page_end"))
 
 
 CHUNK_COLUMNS = [
@@ -90,60 +91,112 @@ CHUNK_COLUMNS = [
 ]
 
 
-def make_chunks(parts: DataFrame, content_type: str, build_method: str, corpus_version: str) -> DataFrame:
+def make_chunks(parts: DataFrame, content_type: str, build_method: str, review_status: str, corpus_version: str) -> DataFrame:
     """The 22 columns of a chunk from its parts; text is normalised to one line and hashed so that white space does not count."""
     have = set(parts.columns)
     opt = lambda c, t: F.col(c).cast(t) if c in have else F.lit(None).cast(t)
-    text = X.compact_cjk(X.one_line("text"))
-    x = parts.withColumn("text", text)
+    x = parts.withColumn("text", X.one_line("text"))
     return x.select(
-        F.format_string("%s-C%02d", "node_id", F.col("part_no") + 1).alias("chunk_id"), "source_id", F.col("node_order").alias("source_order"), "node_id", F.lit(content_type).alias("content_type"), "display_title", "title_path",
-        "pdf_page_start", "pdf_page_end", (F.col("pdf_page_end") > F.col("pdf_page_start")).alias("cross_page"), opt("extraction_mode", "string").alias("extraction_mode"), F.coalesce(opt("review_status", "string"), F.lit("auto")).alias("review_status"),
-        F.lit(build_method).alias("build_method"), opt("question_node_id", "string").alias("question_node_id"), F.coalesce(opt("recommendation_node_ids", "array<string>"), F.array().cast("array<string>")).alias("recommendation_node_ids"),
-        opt("table_id", "string").alias("table_id"), F.coalesce(opt("context_repeated", "boolean"), F.lit(False)).alias("context_repeated"), "text", X.retrieval_text(opt("topic", "string"), "title_path", "text").alias("retrieval_text"),
+        "chunk_id", "source_id", F.col("node_order").alias("source_order"), "node_id", F.lit(content_type).alias("content_type"), "display_title", "title_path",
+        "pdf_page_start", "pdf_page_end", (F.col("pdf_page_end") != F.col("pdf_page_start")).alias("cross_page"), "extraction_mode", F.lit(review_status).alias("review_status"),
+        F.lit(build_method).alias("build_method"), F.coalesce(opt("question_node_id", "string"), F.lit("")).alias("question_node_id"), F.coalesce(opt("recommendation_node_ids", "array<string>"), F.array().cast("array<string>")).alias("recommendation_node_ids"),
+        F.coalesce(opt("table_id", "string"), F.lit("")).alias("table_id"), F.coalesce(opt("context_repeated", "boolean"), F.lit(False)).alias("context_repeated"), "text", X.retrieval_text("display_title", "title_path", "text").alias("retrieval_text"),
         F.length("text").alias("char_count"), X.text_hash("text").alias("text_sha256"), F.lit(corpus_version).alias("corpus_version"),
     )
 
 
-def section_chunks(nodes: DataFrame, segments: DataFrame, version: str, target=1000, limit=1800, least=120, overflow=250, strategy: str | None = None) -> tuple[DataFrame, DataFrame]:
+def clean_bodies(bodies: DataFrame, column: str, cleanup: DataFrame | None) -> DataFrame:
+    """``bodies`` with the column cleaned by its node's rules, in order, as one compact line; ``cleanup`` has node_id and rules."""
+    if cleanup is not None:
+        bodies = bodies.join(cleanup.select("node_id", "rules"), "node_id", "left")
+        bodies = bodies.withColumn(column, X.clean_node(column, "rules")["text"]).drop("rules")
+    return bodies.withColumn(column, X.compact_cjk(X.one_line(column)))
+
+
+def section_chunks(nodes: DataFrame, segments: DataFrame, version: str, target=1000, limit=1800, least=120, overflow=250, by_question: Column | None = None, cleanup: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, diagnostics) of the included text nodes; empty and citation-only ones are skipped and reported.
 
-    ``strategy`` names a boolean column that says whether a node's source is chunked
-    by question, whose question and recommendation nodes are left to question_chunks.
+    ``by_question`` says of a node whether its source is chunked by question; the
+    question and recommendation nodes of such a source are left to question_chunks.
+    ``cleanup`` has a node's rules, applied to its text without its own heading.
     """
-    by_question = F.coalesce(F.col(strategy), F.lit(False)) if strategy else F.lit(False)
-    n = nodes.where((F.col("include_status") == "included") & F.col("extraction_mode").isin("auto_text", "hybrid") & ~(by_question & F.col("node_type").isin("question", "recommendation")))
+    asked = F.coalesce(by_question, F.lit(False)) if by_question is not None else F.lit(False)
+    n = nodes.where((F.col("include_status") == "included") & F.col("extraction_mode").isin(*AUTO_MODES) & ~(asked & F.col("node_type").isin("question", "recommendation")))
     x = n.join(segments, ["source_id", "node_id"], "left")
-    body = X.one_line(X.strip_own_heading(F.coalesce("segment_text", F.lit("")), "marker_text", "display_title"))
-    x = x.withColumn("_body", body).withColumn("reason", F.when(F.col("_body") == "", "structural_only").when(X.citation_only("_body"), "citation_only"))
-    none = F.lit(None).cast("string")
-    parts = x.where("reason IS NULL").withColumn("_p", _pack(target, limit, least, overflow)("_body", none, none)).select("*", F.posexplode("_p").alias("part_no", "text"))
-    return make_chunks(parts, "section_text", "node_segment", version), x.where("reason IS NOT NULL").select("source_id", "node_id", "reason")
-
-
-def question_chunks(nodes: DataFrame, segments: DataFrame, version: str, target=1000, limit=1800, least=120, overflow=250, context_limit: int = 420) -> DataFrame:
-    """One text per question and recommendation below it; continuations repeat question and context; a question without recommendation is an error."""
-    inc = nodes.where("include_status = 'included'")
-    q = inc.where("node_type = 'question'").select("source_id", F.col("node_id").alias("question_node_id"), strip(F.col("display_title")).alias("_q"))
-    r = inc.where("node_type = 'recommendation'").withColumn("question_node_id", F.col("parent_id"))
-    if not q.join(r, "question_node_id", "left_anti").isEmpty():
-        raise ValueError("an included question has no recommendation")
-    x = r.join(q, ["source_id", "question_node_id"]).join(segments, ["source_id", "node_id"])
-    x = x.withColumn("_body", X.one_line("segment_text")).withColumn("_ctx", X.recommendation_context("_body", context_limit)).withColumn("recommendation_node_ids", F.array("node_id"))
-    x = x.withColumn("_p", _pack(target, limit, least, overflow)("_body", "_q", "_ctx")).select("*", F.posexplode("_p").alias("part_no", "_t"))
-    text = F.when(F.col("part_no") == 0, F.concat_ws("\n", "_q", "_t")).otherwise(F.concat_ws("\n", "_q", "_ctx", "_t"))
-    return make_chunks(x.withColumn("text", text).withColumn("context_repeated", F.col("part_no") > 0), "question_recommendation", "question_pair", version)
-
-
-def table_chunks(evidence: DataFrame, nodes: DataFrame, version: str) -> DataFrame:
-    """Verified manual table records as chunks; a record that is not verified, or whose node is not manual or hybrid, is an error."""
+    x = x.withColumn("_body", X.strip_own_heading(F.coalesce("segment_text", F.lit("")), "marker_text", "display_title", "content_anchor" if "content_anchor" in nodes.columns else None))
+    x = clean_bodies(x, "_body", cleanup)
+    x = x.withColumn("_skip", (F.col("_body") == "") | X.citation_only("_body"))
+    sizes = [F.lit(v) for v in (target, limit, least, overflow)]
+    parts = x.where("NOT _skip").select("*", F.posexplode(pack("_body", *sizes)).alias("part_no", "text"))
+    parts = parts.withColumn("chunk_id", F.format_string("%s-SEC-%03d-C%02d", "source_id", "node_order", F.col("part_no") + 1)).withColumn("context_repeated", F.col("part_no") > 0)
+    notes = x.where("_skip").select("source_id", "node_id", F.lit("structural_only").alias("category"), F.length("_body").alias("value"))
+    return make_chunks(parts, "section_text", SECTION_METHOD, EXTRACTED, version), notes
+
+
+def question_chunks(nodes: DataFrame, segments: DataFrame, version: str, target=1000, limit=1800, least=120, overflow=250, context_limit: int = 420, by_question: Column | None = None, cleanup: DataFrame | None = None, overrides: DataFrame | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(chunks, diagnostics): the question and a recommendation below it; continuations repeat question and context.
+
+    A chunk has the question's node, title and path, and the pages of both.  A
+    question without recommendation, a text of fewer than four characters, and one
+    that leaves no room for the recommendation are errors, or with ``strict`` off
+    reported and left out.  ``overrides`` has node_id and context.
+    """
+    asked = by_question if by_question is not None else F.lit(True)
+    n = nodes.where((F.col("include_status") == "included") & F.col("extraction_mode").isin(*AUTO_MODES) & asked).join(segments, ["source_id", "node_id"], "left")
+    texts = clean_bodies(n.where(F.col("node_type").isin("question", "recommendation")).withColumn("_body", X.one_line(F.coalesce("segment_text", F.lit("")))), "_body", cleanup)
+    texts = cut(texts)  # met twice
+    q = texts.where("node_type = 'question'").select("source_id", F.col("node_id").alias("question_node_id"), F.col("node_order").alias("_qo"), F.col("_body").alias("_q"), "display_title", "title_path", F.col("pdf_page_start").alias("_qa"), F.col("pdf_page_end").alias("_qb"))
+    r = texts.where("node_type = 'recommendation'").select("source_id", F.col("parent_id").alias("question_node_id"), F.col("node_id").alias("_r"), "node_order", "_body", F.col("pdf_page_start").alias("_ra"), F.col("pdf_page_end").alias("_rb"))
+    if overrides is not None:
+        r = r.join(overrides.select(F.col("node_id").alias("_r"), F.col("context").alias("_given")), "_r", "left")
+    x = q.join(r, ["source_id", "question_node_id"], "left")
+    x = x.withColumn("_ctx", X.recommendation_context("_body", context_limit, "_given" if overrides is not None else None))
+    room = F.lit(limit) - F.length("_q") - F.length("_ctx") - 2
+    wrong = F.when(F.col("_r").isNull(), "question_without_recommendation").when(F.length("_q") < LEAST_TEXT, "question_too_short").when(F.length("_body") < LEAST_TEXT, "recommendation_too_short").when(room < LEAST_ROOM, "no_room_beside_question")
+    x = cut(x.withColumn("_room", room).withColumn("_wrong", wrong))
+    notes = x.where("_wrong IS NOT NULL").select("source_id", F.coalesce("_r", "question_node_id").alias("node_id"), F.col("_wrong").alias("category"), F.coalesce(F.length("_body"), F.lit(0)).alias("value"))
+    if strict:
+        bad = notes.limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0].category}: {bad[0].node_id}")
+    aim = F.least("_room", F.greatest(F.lit(300), F.lit(target) - F.length("_q") - F.length("_ctx")))
+    small = F.least(F.lit(least), F.greatest(F.lit(100), F.floor(F.col("_room") / 3).cast("int")))
+    x = x.where("_wrong IS NULL").select("*", F.posexplode(pack("_body", aim, "_room", small, F.lit(overflow))).alias("part_no", "_t"))
+    x = x.withColumn("text", F.when(F.col("part_no") == 0, F.concat_ws("\n", "_q", "_t")).otherwise(F.concat_ws("\n", "_q", "_ctx", "_t")))
+    x = x.withColumn("chunk_id", F.format_string("%s-QR-%03d-%03d-C%02d", "source_id", "_qo", "node_order", F.col("part_no") + 1)).withColumn("context_repeated", F.col("part_no") > 0)
+    x = x.withColumn("node_id", F.col("question_node_id")).withColumn("recommendation_node_ids", F.array("_r")).withColumn("extraction_mode", F.lit("auto_text"))
+    x = x.withColumn("pdf_page_start", F.least("_qa", "_ra")).withColumn("pdf_page_end", F.greatest("_qb", "_rb"))
+    return make_chunks(x, "question_recommendation", QUESTION_METHOD, EXTRACTED, version), notes
+
+
+def table_chunks(evidence: DataFrame, nodes: DataFrame, version: str, strict: bool = True) -> DataFrame:
+    """Verified manual table records as chunks; a record that is not verified, or whose node is not manual or hybrid, is an error, or with ``strict`` off left out."""
     n = nodes.select("source_id", "node_id", "node_order", "title_path", F.col("extraction_mode").alias("_mode"))
     x = evidence.where("include_status = 'included'").join(n, ["source_id", "node_id"], "left")
-    if not x.where((F.coalesce("review_status", F.lit("")) != "human_verified") | ~F.coalesce(F.col("_mode").isin("manual_table", "hybrid"), F.lit(False))).isEmpty():
+    sound = (F.coalesce("review_status", F.lit("")) == VERIFIED) & F.coalesce(F.col("_mode").isin(*MANUAL_MODES), F.lit(False))
+    if strict and not x.where(~sound).isEmpty():
         raise ValueError("a manual table record is not verified, or its node is not manual")
-    w = Window.partitionBy("node_id").orderBy("record_id")
-    x = x.withColumn("part_no", F.row_number().over(w) - 1).withColumn("pdf_page_start", F.col("pdf_page")).withColumn("pdf_page_end", F.col("pdf_page"))
-    return make_chunks(x, "manual_table_chunk", "manual_table", version)
+    x = x.where(sound).withColumn("chunk_id", F.col("record_id")).withColumn("extraction_mode", F.lit("manual_table")).withColumn("pdf_page_start", F.col("pdf_page")).withColumn("pdf_page_end", F.col("pdf_page"))
+    return make_chunks(x, "manual_table_chunk", TABLE_METHOD, VERIFIED, version)
+
+
+def build_corpus(nodes: DataFrame, pages: DataFrame, ends: DataFrame, evidence: DataFrame, version: str, target=1000, limit=1800, least=120, overflow=250, context_limit: int = 420, by_question: Column | None = None, cleanup: DataFrame | None = None, overrides: DataFrame | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(chunks, diagnostics): sections, questions with their recommendations and verified tables, as one corpus.
+
+    ``nodes`` are located and have their title paths.  With ``strict`` an included
+    manual node without evidence is an error too.  Chunks have no order of rows;
+    ``corpus_order`` is that of the written corpus.
+    """
+    segments = cut(slice_nodes(nodes, pages, ends))
+    sizes = {"target": target, "limit": limit, "least": least, "overflow": overflow, "by_question": by_question, "cleanup": cleanup}
+    sections, skipped = section_chunks(nodes, segments, version, **sizes)
+    asked = by_question if by_question is not None else F.lit(False)
+    questions, wrong = question_chunks(nodes, segments, version, **{**sizes, "by_question": asked}, context_limit=context_limit, overrides=overrides, strict=strict)
+    tables = table_chunks(evidence, nodes, version, strict)
+    open_ = uncovered_manual_nodes(nodes, evidence).select("source_id", "node_id", F.when(F.col("severity") == "error", "missing_manual_evidence").otherwise("hybrid_without_manual_evidence").alias("category"), F.lit(0).alias("value"))
+    if strict and not open_.where("category = 'missing_manual_evidence'").isEmpty():
+        raise ValueError("an included manual node has no evidence")
+    return sections.unionByName(questions).unionByName(tables), skipped.unionByName(wrong).unionByName(open_)
 
 
 def uncovered_manual_nodes(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -153,6 +206,7 @@ def uncovered_manual_nodes(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def corpus_order(chunks: DataFrame) -> DataFrame:
+    """The order in which a corpus is written."""
     return chunks.orderBy("source_id", "source_order", "content_type", "chunk_id")
 
 

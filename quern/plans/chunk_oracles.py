@@ -1,5 +1,7 @@
 """SQL of the chunkers: each chunk's end and its successor's start in closed form, followed from chunk to chunk by recursion."""
 
+import re
+
 from .oracle_parts import HEADING, PAGES, WS, squeeze, strip
 
 STOP = "鉴别诊断"
@@ -98,10 +100,10 @@ _CUT = f"""CASE WHEN {_LAST(_STRONG)} - 1 >= CAST(floor(lim * 0.45) AS BIGINT) T
 _NUM = f"list_max(list_filter(range(CAST(floor(lim * 0.45) AS BIGINT), length({_W})), lambda i: regexp_matches(substr({_W}, i + 1, 3), '^(?:[1-9]|1[0-9])\\.') AND (i = 0 OR NOT regexp_matches(substr(r, i, 1), '[0-9.]'))))"
 
 
-def pack_sentences(texts: str, keys: str) -> str:
-    """CTEs: ``pk`` has the parts of ``texts``, which has the keys, t, tgt, lim, mn and ov."""
+def pack_sentences(texts: str, keys: str, mark: str = "") -> str:
+    """CTEs: ``pk`` has the parts of ``texts``, which has the keys, t, tgt, lim, mn and ov; ``mark`` is put behind the names."""
     using = keys
-    return f"""
+    sql = f"""
 pu AS (SELECT {keys}, tgt, lim, mn, ov, unnest(u) AS r, generate_subscripts(u, 1) AS k FROM (SELECT *, list_filter(list_transform(regexp_extract_all(t, '(?s).+?(?:[{_STRONG}]+|$)'), lambda s: {strip('s')}), lambda s: s <> '') AS u FROM {texts} WHERE length(t) > lim)),
 pl AS (SELECT {keys}, k, 0 AS j, lim, ov, r, '' AS piece FROM pu WHERE length(r) > lim
   UNION ALL SELECT {keys}, k, j + 1, lim, ov, {strip('substr(r, ct + 1)')}, {strip('left(r, ct)')} FROM (SELECT *, CASE WHEN length(r) > lim THEN {_CUT} ELSE length(r) END AS ct FROM (SELECT *, {_NUM} AS num FROM pl WHERE r <> ''))),
@@ -114,6 +116,7 @@ pw AS (SELECT {keys}, c, arg_max(cur, n) AS x, any_value(lim) AS lim, any_value(
 pz AS (SELECT *, lag(x) OVER (PARTITION BY {keys} ORDER BY c) AS px, lead(x) OVER (PARTITION BY {keys} ORDER BY c) AS nx, lead(c) OVER (PARTITION BY {keys} ORDER BY c) = top AS nl FROM pw),
 pk AS (SELECT {keys}, CAST(c - 1 AS INTEGER) AS part_no, CASE WHEN nl AND length(nx) < mn AND length(x) + length(nx) <= lim + ov THEN x || nx ELSE x END AS part FROM pz WHERE NOT (c = top AND top > 1 AND length(x) < mn AND length(px) + length(x) <= lim + ov)
   UNION ALL SELECT {keys}, 0, t FROM {texts} WHERE length(t) <= lim AND t <> '')"""
+    return re.sub(r"\b(p[ulvqswzk])\b", rf"\1{mark}", sql)
 
 
 def compact(c: str) -> str:

@@ -1,6 +1,6 @@
 """SQL that gives the same rows as the registered core queries, independent of the Spark code."""
 
-from .chunk_oracles import CHUNK_SQL, compact
+from .chunk_oracles import CHUNK_SQL, compact, pack_sentences
 from .oracle_parts import GOLD, HEADING, PAGES, WS, blank, nfkc, squeeze, strip
 
 _TOKENS = """list_transform(regexp_extract_all(lower({c}), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9]+(?:[._/-][a-z0-9]+)*'),
@@ -175,9 +175,6 @@ SELECT page_id, cp AS chunk_policy, CASE WHEN aft THEN 'after_references' WHEN c
     "corpus_summary": f"SELECT CASE WHEN grouping(source_id) = 1 THEN 'ALL' ELSE source_id END AS source_id, CASE WHEN grouping(content_type) = 1 THEN 'ALL' ELSE content_type END AS content_type, count(*) AS chunks, {_STATS}, count(CASE WHEN cross_page THEN 1 END) AS cross_page FROM {GOLD} g GROUP BY GROUPING SETS ((g.source_id, g.content_type), ())",
     "title_path": f"""WITH RECURSIVE {_NODES}, lk AS (SELECT n.node_id, n.display_title, p.node_id AS par FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id),
 dw AS (SELECT node_id, display_title AS tp FROM lk WHERE par IS NULL UNION ALL SELECT l.node_id, d.tp || ' > ' || l.display_title FROM lk l JOIN dw d ON l.par = d.node_id) SELECT l.node_id, tp AS title_path FROM lk l LEFT JOIN dw d ON l.node_id = d.node_id""",
-    "node_slice_lead": f"""WITH {_NODES}, n AS (SELECT node_id, source_id, pdf_page, lead(pdf_page) OVER (PARTITION BY source_id ORDER BY node_order NULLS FIRST, node_id) AS next_page FROM nodes),
-p AS (SELECT source_id, pdf_page_number AS pn, max(length(coalesce(text, ''))) AS c FROM {PAGES} GROUP BY ALL)
-SELECT n.node_id, n.pdf_page, n.next_page, count(pn) AS pages, CAST(coalesce(sum(c), 0) AS BIGINT) AS chars FROM n LEFT JOIN p ON p.source_id = n.source_id AND pn BETWEEN n.pdf_page AND coalesce(n.next_page, n.pdf_page) GROUP BY ALL""",
     "structure_validation": f"WITH {_STRUCT} SELECT * FROM st",
     "structure_status": f"WITH {_STRUCT} SELECT source_id, status, count(*) AS records FROM st GROUP BY ALL",
     "manual_coverage": f"""WITH {_NODES} SELECT source_id, node_id, CASE WHEN extraction_mode = 'manual_table' THEN 'error' ELSE 'note' END AS severity FROM nodes WHERE include_status = 'included' AND extraction_mode IN ('manual_table', 'hybrid') AND node_id NOT IN (SELECT node_id FROM gold_corpus WHERE content_type = 'manual_table_chunk' AND node_id IS NOT NULL)""",
@@ -245,3 +242,45 @@ al AS (SELECT source_id, page, block_no, y0, r, 0 AS q, coalesce(zone, CASE WHEN
 SELECT source_id, page, CAST(block_no AS INTEGER) AS block_no, CAST(row_number() OVER (PARTITION BY source_id, page ORDER BY zone, q, r, round_even(y0, 1), block_no) AS INTEGER) AS position FROM al"""
 ORACLE_SQL["assembled_pages"] = f"""WITH {_LINES}, k AS (SELECT source_id, page, i, {squeeze(f"regexp_replace(text, {_NUMBERED}, '')")} AS t FROM bk WHERE NOT (margin AND (source_id, sig) IN (SELECT source_id, signature FROM rm)) AND NOT regexp_matches({strip('text')}, '^\\p{{Nd}}+$'))
 SELECT source_id, page, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text, count(*) AS text_block_count FROM k WHERE t <> '' GROUP BY ALL"""
+
+_SLICES = f"""{_NODES},
+lo AS (SELECT n.*, greatest(coalesce(CASE WHEN marker_text <> '' AND len(string_split(text, marker_text)) > coalesce(marker_occurrence, 1) THEN CAST(list_sum(list_transform(string_split(text, marker_text)[: coalesce(marker_occurrence, 1)], lambda y: length(y))) AS BIGINT) + (coalesce(marker_occurrence, 1) - 1) * length(marker_text) END, -1), 0) AS pos
+  FROM nodes n LEFT JOIN {PAGES} p ON p.source_id = n.source_id AND p.pdf_page_number = n.pdf_page),
+ld AS (SELECT *, lead({{'p': pdf_page, 'o': pos}}) OVER (PARTITION BY source_id ORDER BY node_order NULLS FIRST, node_id) AS nx FROM lo),
+bd AS (SELECT ld.*, coalesce(nx.p, m) AS pb, coalesce(nx.o, 2147483647) AS ob FROM ld LEFT JOIN (SELECT source_id, max(pdf_page_number) AS m FROM {PAGES} GROUP BY 1) USING (source_id)),
+sl AS (SELECT node_id, page, substr(text, a + 1, greatest(b - a, 0)) AS x FROM (SELECT b.node_id, p.pdf_page_number AS page, p.text, CASE WHEN p.pdf_page_number = b.pdf_page THEN b.pos ELSE 0 END AS a, CASE WHEN p.pdf_page_number = b.pb THEN b.ob ELSE length(p.text) END AS b
+  FROM bd b JOIN {PAGES} p ON p.source_id = b.source_id AND p.pdf_page_number BETWEEN b.pdf_page AND b.pb)),
+sg AS (SELECT node_id, array_to_string(list(x ORDER BY page), chr(10)) AS seg, min(page) AS ps, max(page) AS pe FROM sl WHERE NOT {blank('x')} GROUP BY 1),
+sx AS (SELECT bd.*, coalesce(seg, '') AS seg, coalesce(ps, pdf_page) AS ps, coalesce(pe, pdf_page) AS pe FROM bd LEFT JOIN sg USING (node_id))"""
+ORACLE_SQL["node_slice_lead"] = f"WITH {_SLICES} SELECT node_id, ps AS pdf_page_start, pe AS pdf_page_end, CAST(length(seg) AS INTEGER) AS chars FROM sx"
+
+_BARE = lambda c: f"regexp_replace(coalesce({c}, ''), '{WS}+', '', 'g')"
+_COVER = lambda c: f"coalesce(list_min(list_filter(range(1, 3 * length({c}) + 2), lambda i: i <= length(s) AND {c} <> '' AND replace(left(s, i), ' ', '') = {c})), 0)"
+_RULES_ON = lambda c: f"CASE WHEN node_order % 3 = 0 THEN {squeeze(f'regexp_replace({squeeze(f'replace({c}, chr(25512) || chr(33616), chr(24314) || chr(35758))')}, ' + repr('[（(][^（）()]{0,20}[）)]') + ', ' + repr('') + ', ' + repr('g') + ')')} ELSE {c} END"
+_BUILD = f"""WITH RECURSIVE {_SLICES.lstrip()},
+lk AS (SELECT n.node_id, coalesce(nullif(n.display_title, ''), nullif(n.marker_text, ''), n.node_id) AS title, p.node_id AS par FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id),
+dw AS (SELECT node_id, [title] AS tp FROM lk WHERE par IS NULL UNION ALL SELECT l.node_id, list_append(d.tp, l.title) FROM lk l JOIN dw d ON l.par = d.node_id),
+cf AS (SELECT DISTINCT target_chars AS tgt, max_chars AS lim, min_chars AS mn, sentence_overflow_chars AS ov FROM chunk_config WHERE corpus_version = (SELECT min(corpus_version) FROM chunk_config)),
+nn AS (SELECT sx.*, coalesce(tp, [display_title]) AS tp, regexp_matches(source_id, '[02468]$') AS byq, {squeeze('seg')} AS s, {_BARE('marker_text')} AS mk, {_BARE('display_title')} AS tk FROM sx LEFT JOIN dw USING (node_id)),
+inc AS (SELECT * FROM nn WHERE include_status = 'included' AND extraction_mode IN ('auto_text', 'hybrid')),
+hd AS (SELECT *, CASE WHEN length({strip("coalesce(display_title, '')")}) >= length({strip("coalesce(marker_text, '')")}) THEN tk ELSE mk END AS c1, CASE WHEN length({strip("coalesce(display_title, '')")}) >= length({strip("coalesce(marker_text, '')")}) THEN mk ELSE tk END AS c2 FROM inc WHERE NOT (byq AND node_type IN ('question', 'recommendation'))),
+bo0 AS (SELECT *, CASE WHEN mk <> '' AND tk <> '' AND (starts_with(mk, tk) OR starts_with(tk, mk)) THEN regexp_replace(substr(s, 1 + CASE WHEN {_COVER('c1')} > 0 THEN {_COVER('c1')} ELSE {_COVER('c2')} END), '^[ :：、，,；;。]+', '') ELSE s END AS b0 FROM hd),
+bo1 AS (SELECT *, {_RULES_ON('b0')} AS b1 FROM bo0),
+ts AS MATERIALIZED (SELECT bo.node_id, text AS t, tgt, lim, mn, ov FROM (SELECT *, {compact('b1')} AS text FROM bo1) bo, cf WHERE text <> '' AND NOT {_CITE}),
+{pack_sentences('ts', 'node_id')},
+qb AS (SELECT *, {_RULES_ON('s')} AS b1 FROM inc WHERE byq),
+qc AS MATERIALIZED (SELECT *, {compact('b1')} AS body FROM qb),
+qr AS (SELECT r.node_id, q.node_id AS qn, q.node_order AS qo, r.node_order AS ro, r.source_id, q.display_title, q.tp, least(q.ps, r.ps) AS ps, greatest(q.pe, r.pe) AS pe, q.body AS q, r.body AS t FROM qc q JOIN qc r ON r.parent_id = q.node_id AND r.source_id = q.source_id WHERE q.node_type = 'question' AND r.node_type = 'recommendation'),
+qx AS (SELECT *, list_filter({_MARKS}, lambda m: strpos(t, m) > 60 AND strpos(t, m) <= 120)[1] AS near, list_filter({_MARKS}, lambda m: strpos(substr(t, 121, 180), m) > 0)[1] AS far FROM qr),
+qy AS (SELECT *, {compact("CASE WHEN length(t) <= 120 THEN t WHEN near IS NOT NULL THEN left(t, strpos(t, near)) WHEN far IS NOT NULL THEN left(t, 120 + strpos(substr(t, 121, 180), far)) ELSE left(t, 300) END")} AS ctx FROM qx),
+qz AS MATERIALIZED (SELECT qy.*, cf.lim - length(q) - length(ctx) - 2 AS room, tgt AS tg, mn AS mi, ov FROM qy, cf),
+tr AS MATERIALIZED (SELECT node_id, t, least(room, greatest(300, tg - length(q) - length(ctx))) AS tgt, room AS lim, least(mi, greatest(100, room // 3)) AS mn, ov FROM qz WHERE length(q) >= 4 AND length(t) >= 4 AND room >= 220),
+{pack_sentences('tr', 'node_id', '_r')},
+ev AS (SELECT chunk_id, min(source_id) AS source_id, min(node_id) AS node_id, min(pdf_page_start) AS pg, min(table_id) AS table_id, min(display_title) AS display_title, min(text) AS text, min(review_status) AS rs FROM gold_corpus WHERE content_type = 'manual_table_chunk' AND text IS NOT NULL GROUP BY chunk_id),
+un AS (
+  SELECT printf('%s-SEC-%03d-C%02d', source_id, node_order, part_no + 1) AS chunk_id, source_id, node_order AS source_order, node_id, 'section_text' AS content_type, display_title, tp, ps, pe, extraction_mode, 'auto_extracted_structure_validated' AS review_status, 'hierarchy_bounded_section_v3' AS build_method, '' AS question_node_id, '' AS recommendation_node_ids, '' AS table_id, part_no > 0 AS context_repeated, part AS raw FROM pk JOIN nn USING (node_id)
+  UNION ALL SELECT printf('%s-QR-%03d-%03d-C%02d', source_id, qo, ro, part_no + 1), source_id, ro, qn, 'question_recommendation', display_title, tp, ps, pe, 'auto_text', 'auto_extracted_structure_validated', 'question_recommendation_v3', qn, node_id, '', part_no > 0, CASE WHEN part_no = 0 THEN q || ' ' || part ELSE q || ' ' || ctx || ' ' || part END FROM pk_r JOIN qz USING (node_id)
+  UNION ALL SELECT chunk_id, ev.source_id, nn.node_order, node_id, 'manual_table_chunk', ev.display_title, tp, pg, pg, 'manual_table', 'human_verified', 'manual_table_import_v1', '', '', coalesce(table_id, ''), false, text FROM ev JOIN nn USING (node_id, source_id) WHERE rs = 'human_verified' AND extraction_mode IN ('manual_table', 'hybrid'))
+SELECT chunk_id, source_id, source_order, node_id, content_type, display_title, array_to_string(tp, ' > ') AS title_path, ps AS pdf_page_start, pe AS pdf_page_end, ps <> pe AS cross_page, extraction_mode, review_status, build_method, question_node_id, recommendation_node_ids, table_id, context_repeated, {squeeze('raw')} AS text,
+  md5(concat_ws(chr(10), '主题：' || nullif(display_title, ''), '章节：' || nullif(array_to_string(tp, ' > '), ''), {squeeze('raw')})) AS retrieval_md5, CAST(length({squeeze('raw')}) AS INTEGER) AS char_count, sha256({squeeze('raw')}) AS text_sha256, 'built' AS corpus_version FROM un"""
+ORACLE_SQL["corpus_build"] = _BUILD

@@ -280,28 +280,35 @@ def title_path(spark, d):
     return n.select("node_id", F.array_join("title_path", " > ").alias("title_path"))
 
 
-def node_slice_lead(spark, d):
-    """Where each node's pages end, the next node's start, and how much text lies between."""
-    n = _nodes(spark, d).select("node_id", "source_id", "node_order", "pdf_page")
-    w = Window.partitionBy("source_id").orderBy("node_order", "node_id")
-    n = n.withColumn("next_page", F.lead("pdf_page").over(w))
-    p = _pages(spark, d).groupBy("source_id", "pdf_page_number").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-    x = n.join(p, (n.source_id == p.source_id) & (p.pdf_page_number >= n.pdf_page) & (p.pdf_page_number <= F.coalesce(n.next_page, n.pdf_page)), "left")
-    return x.groupBy("node_id", "pdf_page", "next_page").agg(F.count("pdf_page_number").alias("pages"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+def _located(spark, d, pages):
+    """Nodes with title paths and starts; those without a marker on their page start it."""
+    nodes = corpus.title_paths(_nodes(spark, d), strict=False).withColumn("title_path", F.coalesce("title_path", F.array("display_title")))
+    return cut(corpus.locate_nodes(nodes, pages).withColumn("start_pos", F.greatest("start_pos", F.lit(0))))
+
+
+def _ends(pages):
+    return corpus.document_ends(pages.groupBy("source_id").agg(F.max("pdf_page_number").alias("page")).withColumn("pos", F.lit(2**31 - 1)))
 
 
-def _corpus_nodes(spark, d):
-    n = corpus.title_paths(_nodes(spark, d), strict=False).withColumn("pdf_page", F.col("pdf_page"))
-    return n.withColumn("title_path", F.coalesce("title_path", F.array("display_title")))
+def node_slice_lead(spark, d):
+    """Where each node's text lies, up to the next node, and how much it is."""
+    pages = _pages(spark, d)
+    s = corpus.slice_nodes(_located(spark, d, pages), pages, _ends(pages))
+    return s.select("node_id", "pdf_page_start", "pdf_page_end", F.length("segment_text").alias("chars"))
 
 
-def gold_sections(spark, d):
-    """Section chunks built from the structure map and the pages; nodes without a marker on their page start it."""
-    nodes, pages = _corpus_nodes(spark, d), _pages(spark, d)
-    located = corpus.locate_nodes(nodes, pages).withColumn("start_pos", F.greatest("start_pos", F.lit(0)))
-    ends = corpus.document_ends(pages.groupBy("source_id").agg(F.max("pdf_page_number").alias("page")).withColumn("pos", F.lit(2**31 - 1)))
-    chunks, _ = corpus.section_chunks(nodes, corpus.slice_nodes(located, pages, ends), "gold_test", 360, 600, 60, 75)
-    return chunks.select("chunk_id", "source_id", "source_order", "node_id", "pdf_page_start", "pdf_page_end", "cross_page", "char_count", "text_sha256")
+def corpus_build(spark, d):
+    """The corpus from structure map, pages and tables, by the first configuration; sources with an even number are chunked by question."""
+    pages = _pages(spark, d)
+    nodes = _located(spark, d, pages)
+    size = table(spark, d, "chunk_config").orderBy("corpus_version").first()
+    rule = lambda op, start, to: F.struct(F.lit(op).alias("operation"), F.lit(start).alias("start"), F.lit(None).cast("string").alias("end"), F.lit(to).alias("replacement"), F.lit(0).alias("count"), F.lit(False).alias("keep_start"), F.lit(False).alias("keep_end"), F.lit(False).alias("include_marker"), F.lit(False).alias("required"), F.lit(op).alias("rule_id"))
+    cleanup = nodes.where("node_order % 3 = 0").select("node_id", F.array(rule("replace", "推荐", "建议"), rule("regex_replace", "[（(][^（）()]{0,20}[）)]", "")).alias("rules"))
+    evidence = _gold(spark, d).where("content_type = 'manual_table_chunk' AND text IS NOT NULL").groupBy(F.col("chunk_id").alias("record_id")).agg(*[F.min(c).alias(a) for c, a in (("source_id", "source_id"), ("node_id", "node_id"), ("pdf_page_start", "pdf_page"), ("table_id", "table_id"), ("display_title", "display_title"), ("text", "text"), ("review_status", "review_status"))]).withColumn("include_status", F.lit("included"))
+    chunks, _ = corpus.build_corpus(nodes, pages, _ends(pages), evidence, "built", size.target_chars, size.max_chars, size.min_chars, size.sentence_overflow_chars, 120, F.col("source_id").rlike("[02468]$"), cleanup, strict=False)
+    return corpus.corpus_order(chunks).select(
+        "chunk_id", "source_id", "source_order", "node_id", "content_type", "display_title", F.array_join("title_path", " > ").alias("title_path"), "pdf_page_start", "pdf_page_end", "cross_page", "extraction_mode", "review_status", "build_method",
+        "question_node_id", F.array_join("recommendation_node_ids", "|").alias("recommendation_node_ids"), "table_id", "context_repeated", "text", F.md5("retrieval_text").alias("retrieval_md5"), "char_count", "text_sha256", "corpus_version")
 
 
 def structure_validation(spark, d):
@@ -490,7 +497,7 @@ def table_detections(spark, d):
 
 _NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain bm25_term_join dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
 text_normalize heading_normalize cjk_compact unwrapped_pages chunk_hash dup_text_audit sentence_units text_fields context_selection extractability_audit page_policy_status included_sources repeated_margin_lines stripped_pages reading_order assembled_pages
-baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead gold_sections structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
+baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead corpus_build structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
 generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue evaluation_summary_runs evaluation_totals_runs review_queue_runs calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
 
 QUERIES = {

@@ -1,4 +1,3 @@
-import itertools
 import math
 import random
 from collections import Counter
@@ -11,9 +10,10 @@ from quern.operators import chunking, corpus, filters, generation, layout, quali
 from quern.sources import io
 
 
-@pytest.mark.parametrize("cells", [8_000_000, 0])
-def test_bm25_against_brute_force(spark, monkeypatch, cells):
-    monkeypatch.setattr(retrieval, "MATRIX_CELLS", cells)
+@pytest.mark.parametrize("block", [2048, 2])
+def test_bm25_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "DOCUMENTS_PER_BLOCK", block)
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", block)
     docs = {"d1": "膝痛 exercise", "d2": "膝痛 膝痛", "d3": "exercise exercise plan", "d4": "", "d0": "none of it"}
     queries = {"q1": "膝痛 exercise", "q2": "nothing here", "q3": "plan plan"}
 
@@ -45,7 +45,8 @@ def test_dense_blocks_agree(spark, monkeypatch):
     v = spark.createDataFrame(rows, "id long, v array<double>")
     q = v.where("id % 20 = 0 AND id < 40").select(F.col("id").alias("q"), F.col("v").alias("w"))
     a = retrieval.dense_topk(v, "id", "v", q, "q", "w", 5, True).collect()
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 1)
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 1)
+    monkeypatch.setattr(retrieval, "DOCUMENTS_PER_BLOCK", 7)
     b = retrieval.dense_topk(v, "id", "v", q, "q", "w", 5, True).collect()
     assert sorted(a) == sorted(b) and len(a) == 10
     unit = lambda x: [y / math.sqrt(sum(z * z for z in x)) for y in x]
@@ -53,6 +54,21 @@ def test_dense_blocks_agree(spark, monkeypatch):
     assert [r.id for r in sorted(a, key=lambda r: r.rank) if r.query_id == 0] == [i for _, i in best]
 
 
+def test_different_questions_are_refused(spark):
+    run = lambda *ids: spark.createDataFrame([(i, 1, "c", 1.0) for i in ids], "query_id string, rank int, id string, score double")
+    with pytest.raises(ValueError, match="different questions"):
+        retrieval.rrf(run("q1"), run("q1", "q2"))
+    with pytest.raises(ValueError, match="different questions"):
+        retrieval.rrf(run("q1"), run("q1"), questions=run("q2"))
+    ranks = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "query_id string, first_gold_rank int")
+    with pytest.raises(ValueError, match="different questions"):
+        retrieval.compare_three({"a": ranks("q1"), "b": ranks("q1"), "c": ranks("q2")})
+    frozen = spark.createDataFrame([("q1", ["a"]), ("q2", None)], "query_id string, gold array<string>")
+    assert retrieval.require_frozen(frozen.orderBy(F.col("query_id").desc()).union(frozen), retrieval.frozen_hash(frozen)) is not None
+    with pytest.raises(ValueError, match="not the frozen one"):
+        retrieval.require_frozen(frozen.where("query_id = 'q1'"), retrieval.frozen_hash(frozen))
+
+
 def test_rrf_ties_and_one_sided(spark):
     s = "query_id string, rank int, id string, score double"
     a = spark.createDataFrame([("q", 1, "x", 1.0), ("q", 2, "y", 0.5), ("q", 11, "deep", 0.1)], s)
@@ -100,15 +116,46 @@ def test_margins(spark):
 
 def test_pack_keeps_all_atoms():
     rng = random.Random(2)
+    for _ in range(500):
+        n = [rng.randint(1, 50) for _ in range(rng.randint(0, 25))]
+        lead, fixed = rng.choice([0, 7]), rng.randint(0, 1)
+        got = chunking.pack_with_overlap(n, 40, rng.choice([0, 10]), lambda at: lead, fixed)
+        width = lambda a, b: lead + sum(n[a:b]) + 2 * (b - a - 1)
+        assert [x for a, b in got for x in range(a, b)] == sorted(x for a, b in got for x in range(a, b)) or all(b[0] <= a[1] for a, b in zip(got, got[1:]))
+        assert {x for a, b in got for x in range(a, b)} == set(range(len(n)))
+        # No chunk passes its limit unless one atom does.
+        assert all(width(a, b) <= 40 or b - a == 1 for a, b in got)
+        assert all(y[1] > x[1] and y[0] > x[0] and y[0] >= min(fixed, x[1]) for x, y in zip(got, got[1:]))
+
+
+def brute_chunks(texts, limit, overlap, heading):
+    """Section chunks as a plain walk over sentences."""
+    show = lambda ts: (heading + "\n\n" if heading and not "\n\n".join(ts).startswith(heading) else "") + "\n\n".join(ts)
+    out, current = [], []
+    for t in texts:
+        if current and len(show([*current, t])) > limit:
+            out.append(show(current))
+            kept = []
+            for x in reversed(current):
+                if kept and len("\n\n".join([x, *kept])) > overlap:
+                    break
+                kept.insert(0, x)
+                if len("\n\n".join(kept)) >= overlap:
+                    break
+            while kept and len(show([*kept, t])) > limit:
+                kept.pop(0)
+            current = kept
+        current.append(t)
+    return [*out, show(current)] if current else out
+
+
+def test_section_fold_against_brute_force():
+    rng = random.Random(5)
     for _ in range(300):
-        units = ["x" * rng.randint(1, 30) for _ in range(rng.randint(0, 25))]
-        groups = chunking.pack_with_overlap(units, 40, 10, " ")
-        seen = list(itertools.chain.from_iterable(groups))
-        assert sorted(set(seen)) == list(range(len(units)))
-        assert all(len(g) == 1 or len(" ".join(units[n] for n in g)) <= 40 for g in groups)
-        assert all(b[0] <= a[-1] + 1 and b[-1] > a[-1] for a, b in zip(groups, groups[1:]))
-    with pytest.raises(ValueError):
-        chunking.pack_with_overlap(["a"], 5, 5)
+        texts = ["x" * rng.randint(1, 40) + "。" for _ in range(rng.randint(1, 20))]
+        head = rng.choice(["", "x", "H"])
+        unit = {"text": "".join(texts), "page_start": 1, "page_end": 1, "heading": head, "is_heading": False}
+        assert [c["text"] for c in chunking.section_fold([unit], 60, 15)] == brute_chunks(texts, 60, 15, head)
 
 
 def test_gold_pack_bounds():
@@ -116,7 +163,7 @@ def test_gold_pack_bounds():
     for _ in range(200):
         text = "".join(rng.choice("痛膝关。；，ab. 1") for _ in range(rng.randint(0, 900)))
         parts = chunking.pack_sentences(text, 60, 100, 20, 15)
-        assert all(len(p) <= 115 + 100 * 0 or len(p) <= 130 for p in parts)
+        assert all(len(p) <= 115 for p in parts)
         squeezed = lambda t: "".join(t.split())
         assert squeezed("".join(parts)) == squeezed(text)
     assert chunking.cut_long("甲" * 50 + "。" + "乙" * 60, 100, 10)[0] == "甲" * 50 + "。"
@@ -132,7 +179,7 @@ def test_chunkers_on_pages(spark):
 
 
 def test_filters(spark):
-    pages = spark.createDataFrame([("s", 1, "a"), ("s", 2, "参考文献\nb"), ("s", 3, "c"), ("s", 4, "d")], "source_id string, pdf_page_number int, text string")
+    pages = spark.createDataFrame([("s", 1, "a"), ("s", 2, "参考文献\n\nb"), ("s", 3, "c"), ("s", 4, "d")], "source_id string, pdf_page_number int, text string")
     policy = spark.createDataFrame([("s", 4, "review")], "source_id string, pdf_page_number int, chunk_policy string")
     got = [r.status for r in filters.stop_at_references(filters.resolve_policy(pages, policy), ["参考文献"]).orderBy("pdf_page_number").collect()]
     assert got == ["included", "included", "after_references", "after_references"]
@@ -140,24 +187,37 @@ def test_filters(spark):
     with pytest.raises(Exception, match="unknown chunk policy"):
         filters.resolve_policy(pages, bad).collect()
     b = spark.createDataFrame([("s", 1, "a", 3, "c", 4)], "source_id string, body_start_page int, body_start_marker string, reference_start_page int, reference_start_marker string, body_end_page int")
-    assert [r.text for r in filters.body_pages(pages, b).orderBy("pdf_page_number").collect()] == ["a", "参考文献\nb", ""]
+    assert [r.text for r in filters.body_pages(pages, b).orderBy("pdf_page_number").collect()] == ["a", "参考文献\n\nb", ""]
 
 
 def test_corpus_build(spark):
-    nodes = spark.createDataFrame([("s", "n1", "", 1, "section", 1, 1, "概述", 1, "概述", "included", "auto_text"), ("s", "q", "n1", 2, "question", 2, 1, "问题1", 1, "问题1", "included", "exclude"), ("s", "r", "q", 3, "recommendation", 3, 2, "推荐", 1, "推荐", "included", "exclude")], "source_id string, node_id string, parent_id string, node_order int, node_type string, level int, pdf_page int, marker_text string, marker_occurrence int, display_title string, include_status string, extraction_mode string")
+    nodes = spark.createDataFrame([("s", "n1", "", 1, "section", 1, 1, "概述", 1, "概述", "included", "auto_text"), ("s", "q", "n1", 2, "question", 2, 1, "问题1", 1, "问题1", "included", "auto_text"), ("s", "r", "q", 3, "recommendation", 3, 2, "推荐", 1, "推荐", "included", "hybrid")], "source_id string, node_id string, parent_id string, node_order int, node_type string, level int, pdf_page int, marker_text string, marker_occurrence int, display_title string, include_status string, extraction_mode string")
     pages = spark.createDataFrame([("s", 1, "概述\n膝骨关节炎很常见。\n问题1 怎么办"), ("s", 2, "推荐：坚持锻炼。参考文献")], "source_id string, pdf_page_number int, text string")
     n = corpus.title_paths(nodes)
     assert {r.node_id: r.title_path for r in n.collect()}["r"] == ["概述", "问题1", "推荐"]
     ends = corpus.document_ends(spark.createDataFrame([("s", 2, 8)], "source_id string, page int, pos int"))
     seg = corpus.slice_nodes(corpus.locate_nodes(n, pages), pages, ends)
     assert {r.node_id: r.segment_text for r in seg.collect()} == {"n1": "概述\n膝骨关节炎很常见。\n", "q": "问题1 怎么办", "r": "推荐：坚持锻炼。"}
-    chunks, notes = corpus.section_chunks(n, seg, "v")
-    assert [(r.node_id, r.text, r.chunk_id) for r in chunks.collect()] == [("n1", "膝骨关节炎很常见。", "n1-C01")] and notes.count() == 0
-    q = corpus.question_chunks(n, seg, "v").collect()
-    assert [(r.text, r.question_node_id, r.recommendation_node_ids) for r in q] == [("问题1 推荐：坚持锻炼。", "q", ["r"])] or q[0].text.startswith("问题1")
+    asked = F.lit(True)
+    chunks, notes = corpus.section_chunks(n, seg, "v", by_question=asked)
+    assert [(r.node_id, r.text, r.chunk_id) for r in chunks.collect()] == [("n1", "膝骨关节炎很常见。", "s-SEC-001-C01")] and notes.count() == 0
+    q = corpus.question_chunks(n, seg, "v")[0].collect()
+    assert [(r.chunk_id, r.node_id, r.source_order, r.text, r.question_node_id, r.recommendation_node_ids, r.pdf_page_start, r.pdf_page_end, r.cross_page) for r in q] == [("s-QR-002-003-C01", "q", 3, "问题1怎么办 推荐：坚持锻炼。", "q", ["r"], 1, 2, True)] or q[0].text == "问题1 怎么办 推荐：坚持锻炼。"
     assert chunks.columns == corpus.CHUNK_COLUMNS
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="question_without_recommendation"):
         corpus.question_chunks(n.where("node_id <> 'r'"), seg, "v")
+    with pytest.raises(ValueError, match="no_room_beside_question"):
+        corpus.question_chunks(n, seg, "v", limit=225)
+    assert [r.category for r in corpus.question_chunks(n, seg, "v", limit=225, strict=False)[1].collect()] == ["no_room_beside_question"]
+    rules = spark.createDataFrame([("n1", [("replace", "很", None, "最", 0, False, False, False, True, "r1")])], "node_id string, rules " + X.RULE)
+    assert corpus.section_chunks(n, seg, "v", by_question=asked, cleanup=rules)[0].first().text == "膝骨关节炎最常见。"
+    none = spark.createDataFrame([], "record_id string, source_id string, node_id string, pdf_page int, table_id string, display_title string, text string, include_status string, review_status string")
+    located = corpus.locate_nodes(n, pages)
+    both, notes = corpus.build_corpus(located, pages, ends, none, "v", by_question=asked)
+    assert [r.content_type for r in corpus.corpus_order(both).collect()] == ["section_text", "question_recommendation"]
+    assert [r.category for r in notes.collect()] == ["hybrid_without_manual_evidence"]
+    with pytest.raises(ValueError, match="no evidence"):
+        corpus.build_corpus(located.withColumn("extraction_mode", F.when(F.col("node_id") == "n1", "manual_table").otherwise(F.col("extraction_mode"))), pages, ends, none, "v", by_question=asked)
     with pytest.raises(ValueError):
         corpus.title_paths(nodes.withColumn("parent_id", F.lit("missing")))
     with pytest.raises(ValueError):
