@@ -6,8 +6,9 @@ then rakes all leaves.  A contracted node is written down with its anchor, the n
 it now hangs from, and the nodes contracted between the two.  A tree of any shape
 and depth is down to its root after O(log n) rounds; a cycle shrinks to a node that
 is its own parent and never goes away, which exposes it.  The rounds are then
-undone, newest first: a node's path is its anchor's path, the nodes between, and
-itself.  Every round works on what the last one left, a geometrically shrinking
+undone, newest first: a node has its anchor's root, its depth is the anchor's and
+the nodes between and itself more, and where paths are asked for its path is the
+anchor's path, the nodes between, and itself.  Every round works on what the last one left, a geometrically shrinking
 table, and exchanges rows by node only; nothing is gathered.
 """
 
@@ -30,18 +31,24 @@ def latest_links(df: DataFrame, node: str, parent: str, updated: str | None = No
     rows = df.select(clean(node).alias("node"), clean(parent).alias("parent"), time.alias("time")).where("node IS NOT NULL")
     rows = rows.groupBy("node").agg(F.max(F.struct("time", "parent")).alias("m")).select("node", F.col("m.parent").alias("parent"))
     known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    return rows.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    # Rows without a parent stay out of the join, where they would all have one key.
+    linked = rows.where("parent IS NOT NULL").join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    return linked.unionByName(rows.where("parent IS NULL"))
 
 
-def resolve_hierarchy(links: DataFrame) -> DataFrame:
-    """(node, root, depth, path) from (node, parent), one row per node.
+def resolve_hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
+    """(node, root, depth, path) from (node, parent), one row per node; without ``paths`` no path, and only numbers travel.
 
     A null parent makes a root: depth 1, path of itself.  A node that never reaches
     a root, in a cycle or below one, has root '' , depth 0 and an empty path.
     An empty table gives no rows.
     """
     spark = links.sparkSession
-    active = cut(links.select("node", "parent", F.expr("cast(array() as array<string>)").alias("between")))
+    empty = F.expr("cast(array() as array<string>)")
+    # ``between`` are the nodes contracted between a node and its parent, or their number.
+    none, plus = (empty, F.concat) if paths else (F.lit(0), lambda *c: sum(c[1:], c[0]))
+    one = (lambda c: F.array(c)) if paths else (lambda c: F.lit(1))
+    active = cut(links.select("node", "parent", none.alias("between")))
     records = []
     moving = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
     while not active.where(moving).isEmpty():
@@ -52,24 +59,24 @@ def resolve_hierarchy(links: DataFrame) -> DataFrame:
         splice = moving & (F.col("children") == 1) & (h("node") > h("parent")) & (h("node") > h("child"))
         x = x.withColumn("kind", F.when(splice, 2).when(moving & F.col("children").isNull(), 1).otherwise(0))
         # The only child of a spliced node is lifted to that node's parent.
-        up = x.where("kind = 2").select(
-            F.col("child").alias("node"), F.col("parent").alias("lift"), F.concat("between", F.array("node")).alias("over"))
+        up = x.where("kind = 2").select(F.col("child").alias("node"), F.col("parent").alias("lift"), plus(F.col("between"), one("node")).alias("over"))
         x = x.join(up, "node", "left").select(
             "node", F.coalesce("lift", "parent").alias("parent"), "kind",
-            F.when(F.col("over").isNotNull(), F.concat("over", "between")).otherwise(F.col("between")).alias("between"),
+            F.when(F.col("over").isNotNull(), plus(F.col("over"), F.col("between"))).otherwise(F.col("between")).alias("between"),
         )
         x = cut(x)
         records.append(x.where("kind > 0").select("node", F.col("parent").alias("anchor"), "between"))
         active = x.where("kind = 0").select("node", "parent", "between")
-    empty = F.expr("cast(array() as array<string>)")
-    done = active.select("node", F.when(F.col("parent").isNull(), F.array("node")).otherwise(empty).alias("path"))
+    rooted = F.col("parent").isNull()
+    done = active.select("node", F.when(rooted, F.col("node")).otherwise("").alias("root"), F.when(rooted, one("node")).otherwise(none).alias("way"))
     for k, r in enumerate(reversed(records), 1):
-        grown = r.join(done.select(F.col("node").alias("anchor"), F.col("path").alias("above")), "anchor")
-        grown = grown.select("node", F.when(F.size("above") > 0, F.concat("above", "between", F.array("node"))).otherwise(empty).alias("path"))
-        done = done.unionByName(grown)
+        grown = r.join(done.select(F.col("node").alias("anchor"), "root", "way"), "anchor")
+        done = done.unionByName(grown.select("node", "root", F.when(F.col("root") != "", plus(F.col("way"), F.col("between"), one("node"))).otherwise(none).alias("way")))
         if k % 2 == 0 and k < len(records):  # each step reads what is done twice
             done = cut(done.coalesce(shuffle_width(spark)))
-    return done.select("node", F.coalesce(F.try_element_at("path", F.lit(1)), F.lit("")).alias("root"), F.size("path").alias("depth"), "path")
+    if not paths:
+        return done.select("node", "root", F.col("way").alias("depth"))
+    return done.select("node", "root", F.size("way").alias("depth"), F.col("way").alias("path"))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
@@ -81,12 +88,12 @@ def descendants(resolved: DataFrame) -> DataFrame:
         "ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("at") - 1).alias("distance"))
 
 
-def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_hierarchy(latest_links(table(spark, sf_dir, "document_structure_map"), "node_id", "parent_id", "updated_at"))
+def _structure(spark: SparkSession, sf_dir: str, paths: bool = True) -> DataFrame:
+    return resolve_hierarchy(latest_links(table(spark, sf_dir, "document_structure_map"), "node_id", "parent_id", "updated_at"), paths)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _structure(spark, sf_dir).select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
+    return _structure(spark, sf_dir, paths=False).select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
 
 
 def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

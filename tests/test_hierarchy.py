@@ -48,3 +48,10 @@ def test_latest_row_blanks_and_unknown_parents(spark):
     df = spark.createDataFrame(rows, "node_id string, parent_id string, updated_at timestamp")
     got = {x.node: x.parent for x in latest_links(df, "node_id", "parent_id", "updated_at").collect()}
     assert got == {"a": None, "b": "a", "c": None, "d": None}
+
+
+def test_numbers_without_paths(spark):
+    rng = random.Random(8)
+    links = {"r": None} | {f"t{i}": rng.choice(["r", *(f"t{j}" for j in range(i)), "k0"]) for i in range(60)} | {"k0": "k1", "k1": "k0"}
+    df = spark.createDataFrame(list(links.items()), "node string, parent string")
+    assert {(x.node, x.root, x.depth) for x in resolve_hierarchy(df, paths=False).collect()} == {(n, r, d) for n, (r, d, _) in brute(links).items()}
