@@ -21,15 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import table
+from ..session import cut, table
 from .language import language
 
 GRADES = (1, 2, 3, 4)
 LANGUAGES = ("en", "zh")
 #: Labelled documents the model is fitted on, at most; which ones is decided by a hash of the id.
 FIT_DOCUMENTS = 20_000
-#: Words of a language that are kept, at most, those in most labelled documents first.
-FIT_WORDS = 100_000
 #: Labelled documents a word must occur in to be known.
 LEAST_DOCUMENTS = 3
 QUANTILES = np.linspace(0.05, 0.95, 10)
@@ -99,14 +97,16 @@ def fit(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUME
     """Fit on the labelled documents, or on ``fit_documents`` of them if there are more.
 
     Null or other grades than 1 to 4 and repeated label rows are ignored; documents
-    with blank text or in other languages teach nothing.  Counting is distributed;
-    the driver gets at most FIT_WORDS words a language and fit_documents feature rows.
+    with blank text or in other languages teach nothing.  The labelled documents are
+    written once and counted in one pass; the driver gets every word that enough of
+    them have, which their number bounds, and one row of features of each.
     """
     marks = labels.where(F.col("grade").isin(*GRADES)).select("label_id", "doc_id", "rater", "grade").distinct()
     shares = [F.avg((F.col("grade") == g).cast("double")).alias(f"g{g}") for g in GRADES]
     marks = marks.groupBy("doc_id").agg(*shares).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
     # At most fit_documents rows of five numbers: small whatever the corpus.
     graded = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", *[f"g{g}" for g in GRADES])
+    graded = cut(graded)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,25 +130,26 @@ def fit(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUME
 
     schema = "lang string, word string, n double, g1 double, g2 double, g3 double, g4 double"
     sums = graded.mapInPandas(count, schema).groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("n", "g1", "g2", "g3", "g4")])
+    known = sums.where(F.col("n") >= LEAST_DOCUMENTS).toPandas()
     model = ReadingModel()
-    for lang in LANGUAGES:
-        top = sums.where((F.col("lang") == lang) & (F.col("n") >= LEAST_DOCUMENTS)).orderBy(F.col("n").desc(), "word").limit(FIT_WORDS + 1).toPandas()
-        whole = top[top.word == ""]
-        top = top[top.word != ""]
+    for lang, top in known.groupby("lang"):
+        top = top.sort_values("word")
+        whole, top = top[top.word == ""], top[top.word != ""]
         if whole.empty or top.empty:
             continue
         mass = np.maximum(whole[["g1", "g2", "g3", "g4"]].to_numpy()[0], 1e-9)
         p = top[["g1", "g2", "g3", "g4"]].to_numpy() / mass
         p += 0.02 * p.sum(1, keepdims=True)
         model.grades[lang] = dict(zip(top.word, (p @ np.array(GRADES)) / p.sum(1)))
+    sent = documents.sparkSession.sparkContext.broadcast(model.grades)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t, *y in b.itertuples(index=False):
                 lang = language(t)
-                if lang in model.grades:
-                    rows.append((lang, features(model.grades[lang], words(t, lang)).tolist(), y))
+                if lang in sent.value:
+                    rows.append((lang, features(sent.value[lang], words(t, lang)).tolist(), y))
             yield pd.DataFrame(rows, columns=["lang", "x", "y"])
 
     points = graded.mapInPandas(describe, "lang string, x array<double>, y array<double>").toPandas()
@@ -164,8 +165,10 @@ def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
     give no row; equal texts get equal grades; repeated rows are kept as they are;
     whole texts are read; other columns are ignored; an empty table gives no rows.
     """
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for b in batches:
             grades = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grades, pa.int32())], names=["doc_id", "grade"])
