@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import table
+from ..session import cut, table
 
 # Letters of other scripts that cannot be told from a Latin letter, by that letter.
 LOOK_ALIKE = {
@@ -28,6 +28,13 @@ LOOK_ALIKE = {
     "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "a": "а", "c": "сϲ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "o": "οо", "p": "ρр",
     "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у", "d": "ԁ", "G": "Ԍ", "Q": "Ԛ", "W": "Ԝ", "V": "Ѵ", "l": "ӏ",
 }
+# The same of scripts that are rarely written beside Latin letters, by script: their letters, and the Latin ones they look like, in order.
+LOOK_ALIKE_RARE = [
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),  # Cherokee
+    ("օոսհցՕՍ", "onuhgOU"),  # Armenian
+    ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"),  # Coptic
+]
 # Katakana that cannot be told from a Han character, by that character.
 LOOK_ALIKE_HAN = {"口": "ロ", "工": "エ", "力": "カ", "二": "ニ", "夕": "タ", "卜": "ト", "八": "ハ", "才": "オ", "千": "チ", "一": "ー"}
 # The hyphens, dashes of a hyphen's width and the minus sign.
@@ -40,6 +47,7 @@ def _fold() -> dict[int, str]:
     if _SENT:
         return _SENT[0][0]
     out = {ord(x): latin for latin, group in LOOK_ALIKE.items() for x in group}
+    out |= {ord(x): latin for letters, like in LOOK_ALIKE_RARE for x, latin in zip(letters, like, strict=True)}
     out |= {ord(x): "-" for x in HYPHENS}
     for c in range(sys.maxunicode + 1):
         ch = chr(c)
@@ -154,34 +162,67 @@ def canonical_texts(df: DataFrame, text_col: str, out_col: str = "canonical") ->
     return df.select(*keep).mapInArrow(run, schema)
 
 
-def same_look_pairs(df: DataFrame, id_col: str, text_col: str, salts: int = 16) -> DataFrame:
-    """(id_a, id_b): ids whose non-blank texts look the same but are not equal, the smaller id first.
+#: Rows of one look that are met at a time.
+LOOK_PART = 64
 
+
+def same_look(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, look, form, parts) of the ids whose non-blank text looks like another's that is stored differently.
+
+    The look and the stored form are given by SHA-256, which travels instead of texts.
     Null ids and blank texts take no part; repeated rows count once; an id with
-    several texts pairs by each; other columns are ignored; an empty table gives no
-    rows.  A group of one look with a single stored form gives no pair and is
-    dropped before anything is paired.  Groups are met by (look, salt): one side is
-    divided, the other repeated, so that one look may hold any share of the rows.
+    several texts has a row for each; other columns are ignored; an empty table gives
+    no rows.  A look with a single stored form is dropped before anything is paired.
     """
     rows = canonical_texts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "look")
     rows = rows.where(F.col("id").isNotNull() & (F.trim(F.col("look")) != ""))
-    # Hashes of 64 bits for the look and 64 more for the stored form travel instead of texts; the look is compared exactly below.
-    rows = rows.select("id", F.xxhash64("text").alias("form"), F.sha2("look", 256).alias("look")).distinct()
+    rows = rows.select("id", F.sha2("text", 256).alias("form"), F.sha2("look", 256).alias("look")).distinct()
     looks = rows.groupBy("look").agg(F.min("form").alias("f"), F.max("form").alias("t"), F.count("*").alias("n")).where("f <> t")
-    # Only looks with several stored forms are left: n says how finely a look's rows are spread.
-    parts = F.least(F.lit(salts), F.ceil(F.col("n") / 64)).cast("int")
-    rows = rows.join(looks.select("look", parts.alias("parts")), "look")
+    return rows.join(looks.select("look", F.ceil(F.col("n") / LOOK_PART).cast("int").alias("parts")), "look")
+
+
+def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_a, id_b): ids whose texts look the same but are not equal, the smaller id first.
+
+    A look's rows are met by (look, part): one side is divided into as many parts as
+    its rows need, the other repeated, so that one look may hold any share of the
+    rows.  All pairs of a look are given; same_look_classes says the same in as many
+    rows as there are ids.
+    """
+    rows = cut(same_look(df, id_col, text_col))
     a = rows.select("look", F.col("id").alias("id_a"), F.col("form").alias("form_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     b = rows.select("look", F.col("id").alias("id_b"), F.col("form").alias("form_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return a.join(b, ["look", "part"]).where("form_a <> form_b AND id_a < id_b").select("id_a", "id_b").distinct()
 
 
+def same_look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, form_id, links): membership instead of pairs.
+
+    ``class_id`` is the smallest id of the look, ``form_id`` the smallest with the
+    same stored text, ``links`` the number of ids of the class stored differently.
+    Two ids look the same if their classes are equal, and are stored differently if
+    their forms are not.  Counted with map-side combining, so a look may hold any
+    share of the rows.
+    """
+    rows = cut(same_look(df, id_col, text_col))
+    looks = rows.groupBy("look").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    forms = rows.groupBy("look", "form").agg(F.min("id").alias("form_id"), F.count("*").alias("own"))
+    both = forms.join(looks, "look").select("look", "form", "class_id", "form_id", (F.col("n") - F.col("own")).alias("links"))
+    return rows.join(both, ["look", "form"]).select("id", "class_id", "form_id", "links")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks, and pairs of questions, that a reader cannot tell apart."""
     chunks = same_look_pairs(table(spark, sf_dir, "gold_corpus"), "chunk_id", "text")
     return chunks.unionByName(same_look_pairs(table(spark, sf_dir, "retrieval_eval"), "query_id", "query")).distinct()
 
 
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of every look that is stored in several ways, with its representatives."""
+    chunks = same_look_classes(table(spark, sf_dir, "gold_corpus"), "chunk_id", "text")
+    return chunks.unionByName(same_look_classes(table(spark, sf_dir, "retrieval_eval"), "query_id", "query"))
+
+
 def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-null text of both tables in its consistent form."""
     chunks = table(spark, sf_dir, "gold_corpus").select(F.col("chunk_id").alias("id"), "text")

@@ -14,6 +14,7 @@ QUERIES = {
     "p4_sentences": sentences.p4_sentences,
     "p5_found": topn.p5_found,
     "p7_found": canon.p7_found,
+    "p7_classes": canon.p7_classes,
     "p7_canonical": canon.p7_canonical,
     "p8_ids": bpe.p8_ids,
     "p9_containers": pack.p9_containers,
