@@ -108,9 +108,21 @@ def test_top_n_empty(spark):
 
 
 def test_top_n_hot_group_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(topn, "ROWS_PER_SALT", 1000)
     df = spark.range(30_000).select(F.lit("hot").alias("g"), F.col("id").cast("string").alias("i"), (F.col("id") % 7).cast("double").alias("s"))
-    got = [r.i for r in topn.top_n(df, "g", "i", "s", 5).orderBy("top_rank").collect()]
-    assert got == sorted(str(x) for x in range(30_000) if x % 7 == 6)[:5]
+    want = sorted(str(x) for x in range(30_000) if x % 7 == 6)[:5]
+    for few in (100, 0):  # hot groups broadcast, and joined
+        monkeypatch.setattr(topn, "BROADCAST_GROUPS", few)
+        assert [r.i for r in topn.top_n(df, "g", "i", "s", 5).orderBy("top_rank").collect()] == want
+
+
+def test_top_n_scores_over_all_magnitudes(spark):
+    rng = random.Random(6)
+    rows = [("g", f"c{i}", rng.choice([-1, 1]) * 10.0 ** rng.randint(-320, 307) * rng.random()) for i in range(800)]
+    rows += [("g", f"x{i}", s) for i, s in enumerate([5e-324, -5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), 0.0, -0.0])]
+    for n in (3, 300):
+        got = {tuple(r) for r in topn.top_n(spark.createDataFrame(rows, "g string, i string, s double"), "g", "i", "s", n).collect()}
+        assert got == brute_top(rows, n)
 
 
 # --- same look
@@ -125,6 +137,11 @@ def test_canonical_forms():
     assert len({canon.canonical(x) for x in ["Knee", "knee", "Knée", "Knee1", "Knee2"]}) == 5
 
 
+def test_rare_scripts_look_like_latin():
+    assert canon.canonical("ꓮꓐ Ꭺ ո Ⲟ") == "AB A n O"
+    assert canon.canonical(canon.canonical("ꓮꭰո")) == canon.canonical("ꓮꭰո")
+
+
 def test_canonical_is_stable_and_splices_as_whole():
     rng = random.Random(4)
     pool = "aeKоАе́̈​ 　，．ｋﬁ痛カ力ㅎ각각ำเक़्!-–—"
@@ -146,6 +163,16 @@ def test_same_look_hot_group(spark):
     assert canon.same_look_pairs(df, "id", "text").count() == 3 * 397
 
 
+def test_same_look_classes(spark):
+    rows = [("b", "Knee pain"), ("a", "Ｋnee pain"), ("c", "Ｋnee pain"), ("d", "other"), ("e", None), ("b", "Knee pain")]
+    df = spark.createDataFrame(rows, "id string, text string").withColumn("parts", F.lit(1))
+    assert {tuple(r) for r in canon.same_look_classes(df, "id", "text").collect()} == {("a", "a", "a", 1), ("c", "a", "a", 1), ("b", "a", "b", 2)}
+    assert canon.same_look_classes(df.where("false"), "id", "text").count() == 0
+    # One look holds more rows than a part: pairs and membership say the same.
+    many = spark.range(300).select(F.format_string("%04d", "id").alias("id"), F.when(F.col("id") % 3 == 0, "a b").when(F.col("id") % 3 == 1, "a\u00a0b").otherwise("a\u3000b").alias("text"))
+    assert canon.same_look_pairs(many, "id", "text").count() == sum(r.links for r in canon.same_look_classes(many, "id", "text").collect()) // 2 == 3 * 100 * 100
+
+
 # --- sentences
 
 
