@@ -216,6 +216,38 @@ def test_chunked_transducer_equals_whole():
         assert sentences.sentence_ends(t, 20) == sentences.sentence_ends(t), repr(t)
 
 
+def test_quotations_of_any_length():
+    for n in (2, 30, 300):
+        inner = "".join(f"Part {i} hurts. " for i in range(n)).strip()
+        for a, b in ("“”", '""', "「」"):
+            t = f"They said: {a}{inner}{b}, and that was all. Next one."
+            assert len(cut(t)) == 2, (n, a)
+    assert len(cut("A “ never closed. It goes on. “Here it is.” End.")) == 4
+    assert cut('It measures 5" now. Then "all is well" again. Done.')[-1] == "Done."
+
+
+def test_prefix_scan_against_a_loop():
+    rng = random.Random(3)
+    for n in range(1, 40):
+        f = [[rng.randrange(5) for _ in range(5)] for _ in range(n)]
+        state, want = 0, []
+        for g in f:
+            want.append(state)
+            state = g[state]
+        assert sentences.compose(f) == want
+
+
+def test_long_documents_are_split_over_rows(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "CHUNK", 50)
+    rng = random.Random(12)
+    pool = ["“", "”", "。", ". ", "? ", "词语", "word ", "Word ", "：", "「", "」", '"', "etc. ", "3.5 ", "\n", "ปวดเข่า ", "\u200b"]
+    rows = [(i, "".join(rng.choice(pool[: rng.choice([15, 17])]) for _ in range(rng.randint(1, 200)))) for i in range(150)]
+    df = spark.createDataFrame(rows + rows[:20] + [(1, rows[0][1]), (None, rows[2][1])], "id long, text string")
+    got = {(r.id, tuple(r.ends)) for r in sentences.split_sentences(df, "id", "text").collect()}
+    want = {(i, tuple(sentences.sentence_ends(t, 10**9))) for i, t in rows + [(1, rows[0][1]), (None, rows[2][1])]}
+    assert got == {(i, e) for i, e in want if e}
+
+
 def test_split_sentences_table(spark):
     df = spark.createDataFrame([("a", "One. Two.", False), ("a", "One. Two.", False), ("b", None, False), ("c", " ", True), ("h", "Heading. Still", True), (None, "x", False)], "id string, text string, h boolean").withColumn("ends", F.lit(0))
     got = {(r.id, tuple(r.ends)) for r in sentences.split_sentences(df, "id", "text", "h").collect()}
