@@ -3,9 +3,10 @@
 Candidates for a word that was misread come from the intersection of a Levenshtein
 automaton with a trie of the corpus vocabulary, which misses none within the
 distance; those an optical confusion explains are ranked by how often they stand
-beside the neighbouring words.  Ideographs are treated the same way with windows of
-three characters as the words.  Page furniture is told by what repeats at page
-edges of a source, by the title and by the run of page numbers.  What is left is
+beside the neighbouring words.  For ideographs the trie holds windows of three
+characters, and the automaton lets only the one in the middle differ.  Page furniture
+is told by what repeats at the edges of pages near each other, by the title and by
+the run of page numbers.  What is left is
 joined over line ends and flowed into paragraphs.
 
 The vocabulary is what makes up at least FREQUENT of all words (or windows) of the
@@ -17,9 +18,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,10 @@ TIMES = 8
 UNKNOWN_LEAST = 6
 #: Lines at either edge of a page that may be furniture.
 EDGE = 3
-#: Share of a source's pages, and pages, on which a line repeats at the edge if it is a running header.
-HEADER_SHARE, HEADER_PAGES = 0.12, 3
+#: Pages on which a line repeats at the edge if it is a running header, among so many that follow each other, whatever the source's length.
+HEADER_PAGES, HEADER_SPAN = 3, 25
+#: Share of a source's pages from which a header counts on all of them, be they far from where it repeats.
+HEADER_SHARE = 0.12
 #: A header line may appear within pages in at most this share of its occurrences.
 HEADER_WITHIN = 0.1
 
@@ -51,6 +55,7 @@ UNREADABLE = "�□¤■▯◻▢"
 _DIGIT_LIKE = str.maketrans("OoQlI|iSsBZzqg" + UNREADABLE, "00011115582299" + "0" * len(UNREADABLE))
 _HYPHEN_END = re.compile(r"([-‐‑­¬⁃‧])[ \t    　]*$")
 _WORD = re.compile(f"[A-Za-zÀ-ɏ0-9@€$|{UNREADABLE}]+")
+_WORD_OR_END = re.compile(_WORD.pattern + r"|\n")
 _NUMBER_LIKE = re.compile(r"(?=.*\d)[\dOoQlI|iSsBZzqg]{1,6}")
 _KANA = re.compile("[ぁ-ヺ]")
 _STANDALONE = re.compile(r"(?<![\w\-‐‑­¬])[a-zà-ɏ]+(?![\w\-‐‑­¬])")
@@ -79,43 +84,65 @@ class Trie:
     def within(self, word: str, most: int) -> list[tuple[str, int]]:
         """(entry, count) of all entries within ``most`` edits.
 
-        The automaton's state at depth d is the band of distances at word positions
-        d - most to d + most; a branch of the trie is left when all of it is above ``most``.
+        The automaton is the same for all words: its state is the band of distances at
+        word positions d - most to d + most, its input which of the word's characters
+        there equal the one read, and which positions there are; every transition is
+        worked out once.  A branch of the trie is left when the state is dead.
         """
         found: list[tuple[str, int]] = []
-        n, far, wide = len(word), most + 1, 2 * most + 1
-        first = [i if i <= n else far for i in range(most + 1)]
-        stack = [(self.root, "", 0, [far] * most + first)]
+        n, wide = len(word), 2 * most + 1
+        masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << (i + most)
+        full, steps, far = (1 << wide) - 1, _STEPS, most + 1
+        start = (far,) * most + tuple(i if i <= n else far for i in range(most + 1))
+        stack = [(self.root, "", 0, start)]
         while stack:
             node, prefix, d, row = stack.pop()
             end = n - d + most
             if "" in node and 0 <= end < wide and row[end] <= most:
                 found.append((prefix, node[""]))
-            lo = d + 1 - most
+            # Band position j stands for i = d + 1 - most + j characters of the word.
+            skip, there = max(0, most - d - 1), min(wide, n - d + most)
+            if there <= 0:
+                continue
             for c, below in node.items():
-                if not c:
-                    continue
-                new, before, best = [], far, far
-                for j in range(wide):
-                    i = lo + j
-                    if i < 0 or i > n:
-                        v = far
-                    else:
-                        v = before + 1
-                        if j + 1 < wide and row[j + 1] + 1 < v:
-                            v = row[j + 1] + 1
-                        if i and row[j] + (word[i - 1] != c) < v:
-                            v = row[j] + (word[i - 1] != c)
-                        if v > far:
-                            v = far
-                    new.append(v)
-                    before = v
-                    if v < best:
-                        best = v
-                if best <= most:
-                    stack.append((below, prefix + c, d + 1, new))
+                if c:
+                    key = (row, masks.get(c, 0) >> d & full, skip, there)
+                    new = steps.get(key, 0)
+                    if new == 0:
+                        new = steps[key] = _transition(row, key[1], skip, there, most)
+                    if new:
+                        stack.append((below, prefix + c, d + 1, new))
         return found
 
+    def completions(self, prefix: str) -> list[tuple[str, int]]:
+        """(next character, count) of the entries that are one character longer than ``prefix``."""
+        node = self.root
+        for c in prefix:
+            node = node.get(c)
+            if node is None:
+                return []
+        return [(c, below[""]) for c, below in node.items() if c and "" in below]
+
+
+#: Transitions of the Levenshtein automaton found so far: None where all branches are dead.
+_STEPS: dict[tuple, tuple[int, ...] | None] = {}
+
+
+def _transition(row: tuple[int, ...], equal: int, skip: int, there: int, most: int) -> tuple[int, ...] | None:
+    """The band after one more character: bit j of ``equal`` says that it is the word's at band position j."""
+    far, wide = most + 1, 2 * most + 1
+    new, before = [], far
+    for j in range(wide):
+        if j < skip or j >= there:
+            v = far
+        else:
+            v = min(before + 1, row[j + 1] + 1 if j + 1 < wide else far, row[j] + (not equal >> j & 1), far)
+        new.append(v)
+        before = v
+    return tuple(new) if min(new) <= most else None
+
 
 def confusion_at(seen: str, meant: str) -> int | None:
     """Where optical confusion of one letter group made ``seen`` of ``meant``; None if nothing so simple explains it."""
@@ -151,14 +178,15 @@ class Vocabulary:
     def prepare(self) -> Vocabulary:
         self.trie = Trie(self.words)
         self.most = max(self.words.values(), default=0)
-        self.around: dict[str, list[tuple[str, int]]] = {}
-        for w, n in self.windows.items():
-            self.around.setdefault(w[0] + w[2], []).append((w[1], n))
+        # The middle last, so that the automaton that lets only the middle differ reads its neighbours first.
+        self.window_trie = Trie({w[0] + w[2] + w[1]: n for w, n in self.windows.items()})
         self.most_after: dict[str, int] = {}
         self.most_before: dict[str, int] = {}
         for p, n in self.pairs.items():
             self.most_after[p[0]] = max(n, self.most_after.get(p[0], 0))
             self.most_before[p[1]] = max(n, self.most_before.get(p[1], 0))
+        #: Pairs that leave no doubt about the first of the two: no other character is so much likelier before the second.
+        self.sure = {p for p, n in self.pairs.items() if self.most_before[p[1]] < TIMES * n}
         self.left_parts = Counter()
         for c, n in self.compounds.items():
             parts = c.split("-")
@@ -231,7 +259,7 @@ class Vocabulary:
         """The ideograph that belongs between two characters if ``seen`` does not."""
         here = self.windows.get(left + seen + right, 0)
         best, most = None, max(TIMES * here, 2 * FREQUENT_LEAST) - 1
-        for x, n in self.around.get(left + right, ()):
+        for x, n in self.window_trie.completions(left + right):
             if x != seen and n > most and _HAN.match(x):
                 if self.pairs.get(left + x, 0) >= TIMES * max(1, self.pairs.get(left + seen, 0)) and self.pairs.get(x + right, 0) >= TIMES * max(1, self.pairs.get(seen + right, 0)):
                     best, most = x, n
@@ -323,23 +351,36 @@ def _tokens(lines: list[str], skip: dict[int, str]) -> tuple[str, list[int], lis
 
 def count_tokens(lines: list[str], skip: dict[int, str], counts: dict[str, Counter]) -> None:
     """Adds a text's words, compounds, word pairs, and windows of two and three characters to the counts."""
+    kept = []
     for i, line in enumerate(lines):
-        if i in skip:
-            continue
-        low = line.lower()
-        if _HYPHEN_END.search(line):
-            low = re.sub(r"\S*$", "", low.rstrip())
-        if i and _HYPHEN_END.search(lines[i - 1]):
-            low = re.sub(r"^\s*\S*", "", low)
-        counts["words"].update(_STANDALONE.findall(low))
-        counts["compounds"].update(_COMPOUND.findall(re.sub("[‐‑]", "-", low)))
-        words = _WORD.findall(re.sub(r"\d", "0", low))
-        counts["beside"].update(map(" ".join, zip(words, words[1:])))
-        counts["numbers"].update(w for w in _WORD.findall(low) if _NUMBER_LIKE.fullmatch(w) or _NUMBER_LIKE.fullmatch(w.upper()))
+        if i not in skip:
+            if _HYPHEN_END.search(line):
+                line = re.sub(r"\S*$", "", line.rstrip())
+            if i and _HYPHEN_END.search(lines[i - 1]):
+                line = re.sub(r"^\s*\S*", "", line)
+            kept.append(line)
+    low = "\n".join(kept).lower()
+    counts["words"].update(_STANDALONE.findall(low))
+    counts["compounds"].update(_COMPOUND.findall(low.replace("‐", "-").replace("‑", "-")))
+    # Line ends are tokens too, so that words of two lines are no neighbours.
+    words = _WORD_OR_END.findall(low)
+    masked = _DIGIT.sub("0", "\x1f".join(words)).split("\x1f") if words else []
+    counts["beside"].update(f"{a} {b}" for a, b in zip(masked, masked[1:]) if a != "\n" != b)
+    counts["numbers"].update(w for w in words if len(w) <= 6 and not w.isalpha() and (_NUMBER_LIKE.fullmatch(w) or _NUMBER_LIKE.fullmatch(w.upper())))
     text = _tokens(lines, skip)[0]
     if _HAN.search(text) and not _KANA.search(text):
-        counts["pairs"].update(a + b for a, b in zip(text, text[1:]) if a > "⺀" or b > "⺀")
-        counts["windows"].update(a + b + c for a, b, c in zip(text, text[1:], text[2:]) if "㐀" <= b <= "鿿")
+        # All of them; those without ideographs are left out once for many texts, by ``counted``.
+        pairs = list(map(add, text, text[1:]))
+        counts["pairs"].update(pairs)
+        counts["windows"].update(map(add, pairs, text[2:]))
+
+
+def counted(kind: str, c: Counter) -> dict[str, int]:
+    if kind == "pairs":
+        return {k: n for k, n in c.items() if k[0] > "⺀" or k[1] > "⺀"}
+    if kind == "windows":
+        return {k: n for k, n in c.items() if "㐀" <= k[1] <= "鿿"}
+    return c
 
 
 def _broken(vocabulary: Vocabulary, head: str, mark: str, tail: str | None) -> bool:
@@ -361,7 +402,7 @@ def _broken(vocabulary: Vocabulary, head: str, mark: str, tail: str | None) -> b
     joined = vocabulary.words.get(left + right, 0)
     hyphened = max(vocabulary.compounds.get(f"{token}-{rest}", 0), vocabulary.compounds.get(f"{token}-{right}", 0), vocabulary.left_parts.get(f"{token}-{right}", 0), vocabulary.compounds.get(f"{left}-{right}", 0))
     if "-" in token:  # part of a longer compound: the last part may still be divided
-        joined = max(joined, *(n for c, n in vocabulary.compounds.items() if c == token + right), 0)
+        joined = max(joined, vocabulary.compounds.get(token + right, 0))
     if joined or hyphened:
         return joined >= hyphened
     if len(left + right) > 4 and any(n for _, n in vocabulary.trie.within(left + right, 1)):
@@ -378,7 +419,13 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
     kept = [i for i in range(len(lines)) if i not in skip]
     body = [i for i in kept if lines[i].strip()]
     following = dict(zip(body, body[1:]))
-    fixed = {i: list(lines[i]) for i in kept}
+    fixed: dict[int, list[str]] = {}  # characters of the lines in which any changes
+
+    def put(i: int, j: int, c: str) -> None:
+        if i not in fixed:
+            fixed[i] = list(lines[i])
+        fixed[i][j] = c
+
     joins: dict[int, str] = {}
     for i in body:
         m = _HYPHEN_END.search(lines[i])
@@ -389,30 +436,39 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
                 joins[i] = "divided"
             else:
                 joins[i] = "hyphen"
-    # Words, whole over line ends where they were divided.
-    stream: list[tuple[str, list[tuple[int, int]]]] = []
+    # Words, whole over line ends where they were divided, with where their parts stand.
+    stream: list[str] = []
+    spans: list[list[tuple[int, int, int]]] = []
     glue = False
     for i in body:
         line = lines[i]
         cut_at = _HYPHEN_END.search(line).start() if i in joins else len(line)
-        found = [m for m in _WORD.finditer(line, 0, cut_at)]
-        for k, m in enumerate(found):
-            places = [(i, j) for j in range(m.start(), m.end())]
-            if glue and k == 0 and not line[: m.start()].strip() and stream:
-                word, old = stream.pop()
-                stream.append((word + m.group(), old + places))
+        at = -1
+        for k, m in enumerate(_WORD.finditer(line, 0, cut_at)):
+            start, at = m.span()
+            if glue and k == 0 and stream and not line[:start].strip():
+                stream[-1] += m.group()
+                spans[-1].append((i, start, at))
             else:
-                stream.append((m.group(), places))
-        glue = joins.get(i) == "divided" and bool(found) and found[-1].end() == cut_at
-    low = [_DIGIT.sub("0", w.lower()) for w, _ in stream]
-    for k, (word, places) in enumerate(stream):
+                stream.append(m.group())
+                spans.append([(i, start, at)])
+        glue = joins.get(i) == "divided" and at == cut_at
+    low = [_DIGIT.sub("0", w) for w in "\n".join(stream).lower().split("\n")] if stream else []
+    words = vocabulary.words
+    for k, word in enumerate(stream):
         bare = word.lower()
-        if _UNREADABLE.search(bare):
-            damage.update((i, "misread_char") for (i, _), c in zip(places, word) if c in UNREADABLE)
+        n = words.get(bare)
+        if n and TIMES * n > vocabulary.most:
+            continue  # nothing is so much more frequent
         if bare.isdigit() or not any(map(str.isalnum, bare)):
+            if _UNREADABLE.search(bare):
+                damage.update((i, "misread_char") for i, a, b in spans[k] if _UNREADABLE.search(lines[i], a, b))
             continue
+        places = [(i, j) for i, a, b in spans[k] for j in range(a, b)] if n is None else None
+        if n is None and _UNREADABLE.search(bare):
+            damage.update((i, "misread_char") for (i, _), c in zip(places, word) if c in UNREADABLE)
         before, after = low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else ""
-        mixed = bare.isascii() and _DIGIT.search(bare)
+        mixed = n is None and bare.isascii() and _DIGIT.search(bare)
         better = vocabulary.correction(bare, before, after)
         if mixed and better and vocabulary.stands(low[k], better[0], before, after):
             better = None
@@ -421,28 +477,35 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
             better = None
         if better:
             meant, at = better
+            places = places or [(i, j) for i, a, b in spans[k] for j in range(a, b)]
             i, j = places[min(at, len(places) - 1)]
             damage.add((i, "misread_char"))
             if len(meant) == len(word):
                 for (a, b), old, new in zip(places, bare, meant):
                     if old != new:
-                        fixed[a][b] = new
+                        put(a, b, new)
             else:
                 a, b = places[0]
-                fixed[a][b] = meant
+                put(a, b, meant)
                 for x, y in places[1:]:
-                    fixed[x][y] = ""
-        elif number or (re.fullmatch("[lO]{2,}", word) and low[k] not in vocabulary.words):
-            damage.add((places[0][0], "misread_char"))
+                    put(x, y, "")
+        elif number or (re.fullmatch("[lO]{2,}", word) and low[k] not in words):
+            damage.add((spans[k][0][0], "misread_char"))
     joined, starts, numbers = _tokens(lines, skip)
     chinese = bool(joined) and not _KANA.search(joined)
     chars = list(joined)
-    for m in _HAN_OR_UNREADABLE.finditer(joined):
-        k, c = m.start(), m.group()
+    doubts: Iterable[int] = ()
+    if chinese:
+        sure = vocabulary.sure
+        doubts = [k for k, p in enumerate(map(add, joined, joined[1:] + "。")) if p not in sure and ("㐀" <= p[0] <= "鿿" or p[0] in UNREADABLE)]
+    elif _UNREADABLE.search(joined):
+        doubts = [m.start() for m in _UNREADABLE.finditer(joined)]
+    for k in doubts:
+        c = joined[k]
         # The character before may have been put right just now; the ends of the text count as those of a sentence.
         left, right = chars[k - 1] if k else "。", joined[k + 1] if k + 1 < len(joined) else "。"
         unread = c in UNREADABLE
-        if not unread and not (chinese and vocabulary.doubtful(left, c, right)):
+        if not unread and not vocabulary.doubtful(left, c, right):
             continue
         n = bisect_right(starts, k) - 1
         i, j = numbers[n], k - starts[n]
@@ -452,11 +515,12 @@ def repair(text: str, skip: dict[int, str], vocabulary: Vocabulary) -> tuple[lis
             meant = vocabulary.ideograph(left, c, right) or (vocabulary.ideograph("。", c, right) if j == 0 else None)
             if meant:
                 damage.add((i, "misread_char"))
-                fixed[i][j] = chars[k] = meant
+                chars[k] = meant
+                put(i, j, meant)
     longest = max((len(lines[i]) for i in body), default=0)
     out: list[str] = []
     for n, i in enumerate(body):
-        line = "".join(fixed[i]).strip()
+        line = ("".join(fixed[i]) if i in fixed else lines[i]).strip()
         if i in joins:
             m = _HYPHEN_END.search(line)
             line = line[: m.start()] + ("" if joins[i] == "divided" else m[1]) if m else line
@@ -482,17 +546,28 @@ def _with_sources(records: DataFrame) -> DataFrame:
     lines = records.where("page IS NOT NULL").select("source_id", "record_id", "page", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l"))
     lines = lines.select("source_id", "record_id", "page", F.size("l").alias("n"), F.posexplode("l").alias("i", "line"))
     edge = (F.col("i") < EDGE) | (F.col("i") >= F.col("n") - EDGE)
-    signed = lines.select("source_id", "record_id", F.lower(F.regexp_replace("line", r"(?U)[^\p{L}]", "")).alias("s"), edge.alias("edge")).where(F.length("s") >= 4)
+    signed = lines.select("source_id", "record_id", "page", F.lower(F.regexp_replace("line", r"(?U)[^\p{L}]", "")).alias("s"), edge.alias("edge")).where(F.length("s") >= 4)
     within = signed.groupBy("s").agg(F.avg((~F.col("edge")).cast("double")).alias("within"))
-    at_edge = signed.where("edge").groupBy("source_id", "s").agg(F.countDistinct("record_id").alias("pages"))
+    # Spans of pages overlap by half, so that a run of pages is never cut in all of them.
+    spans = lambda page: F.array(*[F.struct(F.lit(k).alias("k"), F.floor((F.col(page) + k * HEADER_SPAN / 2) / HEADER_SPAN).cast("int").alias("at")) for k in (0, 1)])
+    at_edge = signed.where("edge").select("source_id", "record_id", "s", F.explode(spans("page")).alias("span")).groupBy("source_id", "s", "span").agg(F.countDistinct("record_id").alias("pages"))
     pages = records.where("page IS NOT NULL").groupBy("source_id").agg(F.countDistinct("record_id").alias("all"), F.max("title").alias("source_title"))
-    repeats = at_edge.where(F.col("pages") >= HEADER_PAGES).join(pages, "source_id").where(F.col("pages") >= HEADER_SHARE * F.col("all")).join(within, "s").where(F.col("within") <= HEADER_WITHIN)
-    headers = repeats.groupBy("source_id").agg(F.sort_array(F.collect_set("s")).alias("headers"))  # at most EDGE * 2 / HEADER_SHARE of a source
+    repeats = cut(at_edge.join(within.where(F.col("within") <= HEADER_WITHIN), "s"))
+    near = repeats.where(F.col("pages") >= HEADER_PAGES)
+    wide = repeats.where("span.k = 0").groupBy("source_id", "s").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= HEADER_PAGES).join(pages, "source_id").where(F.col("pages") >= HEADER_SHARE * F.col("all"))
+    # At most EDGE * 2 / HEADER_SHARE headers of a source, and EDGE * 2 * HEADER_SPAN / HEADER_PAGES of a span.
+    headers = wide.groupBy("source_id").agg(F.collect_set("s").alias("headers"))
+    local = near.groupBy("source_id", "span").agg(F.collect_set("s").alias("local"))
     numbers = lines.where(edge).select("source_id", "record_id", "page", F.regexp_extract("line", r"^[^\p{L}\d]*(?:[Pp]age|第|[Pp]\.?)?\s*(\d{1,5})\s*(?:/\s*\d+)?\s*页?[^\p{L}\d]*$", 1).alias("d")).where("d <> ''")
     runs = numbers.select("source_id", "record_id", (F.col("d").cast("int") - F.col("page")).alias("offset")).groupBy("source_id", "offset").agg(F.countDistinct("record_id").alias("c"))
     offsets = runs.groupBy("source_id").agg(F.max(F.struct("c", "offset")).alias("m")).where("m.c >= 2").select("source_id", F.col("m.offset").alias("offset"))
     out = records.join(pages.select("source_id", "source_title"), "source_id", "left").join(headers, "source_id", "left").join(offsets, "source_id", "left")
-    return out.select("record_id", "source_id", F.coalesce("title", "source_title", F.lit("")).alias("title"), "page", "text", F.coalesce("headers", F.array().cast("array<string>")).alias("headers"), "offset")
+    for k in (0, 1):
+        own = local.where(F.col("span.k") == k).select("source_id", F.col("span.at").alias("_at"), F.col("local").alias(f"_local{k}"))
+        out = out.withColumn("_at", spans("page")[k]["at"]).join(own, ["source_id", "_at"], "left")
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    found = F.sort_array(F.array_union(some("headers"), F.array_union(some("_local0"), some("_local1"))))
+    return out.select("record_id", "source_id", F.coalesce("title", "source_title", F.lit("")).alias("title"), "page", "text", found.alias("headers"), "offset")
 
 
 def _skip(row) -> dict[int, str]:
@@ -513,6 +588,7 @@ def learn(records: DataFrame) -> Vocabulary:
             for row in b.itertuples(index=False):
                 count_tokens(row.text.split("\n"), _skip(row), counts)
             for kind, c in counts.items():
+                c = counted(kind, c)
                 if c:
                     yield pd.DataFrame({"kind": kind, "token": list(c.keys()), "n": list(c.values())})
 
