@@ -134,12 +134,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece as a whole, and one within the limit may still have been cut to leave room
     for the overlap, so units that are in no piece are measured against the limit.
     """
-    cut = _oversized(spark, sf_dir).where(F.size("pieces") > 1).select("section_id", "max_chars", "unit_sizes", "pieces").distinct()
-    whole = cut.select("section_id", F.lit(-1).alias("unit_no"))
     starts = F.expr("transform(unit_sizes, (n, i) -> aggregate(slice(unit_sizes, 1, i), i, (a, x) -> a + x))")
     broken = F.expr("transform(filter(transform(unit_sizes, (n, i) -> struct(n, i, starts[i] as at)), u -> u.n > max_chars and not exists(pieces, p -> p.start <= u.at and u.at + u.n <= p.end)), u -> u.i)")
-    units = cut.withColumn("starts", starts).select("section_id", F.explode(broken).alias("unit_no"))
-    return whole.unionByName(units).distinct()
+    cut = _oversized(spark, sf_dir).where(F.size("pieces") > 1).withColumn("starts", starts)
+    return cut.select("section_id", F.explode(F.concat(F.array(F.lit(-1)), broken)).alias("unit_no")).distinct()
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
