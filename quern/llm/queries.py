@@ -6,6 +6,7 @@ from . import bpe, canon, pack, pairs, reading, scan, sentences, split, topn
 
 QUERIES = {
     "p1_found": pairs.p1_found,
+    "p1_rules": pairs.p1_rules,
     "p2_found": scan.p2_found,
     "p2_repaired": scan.p2_repaired,
     "p3_found": split.p3_found,
