@@ -295,13 +295,27 @@ def test_pair_rules():
     assert not any(pairs.is_empty(x) for x in ["Yes.", "可以。", "7", "不推荐。"])
     q = "病例OA-1：口服抗炎药的疗程一般是多久？"
     assert all(pairs.is_copy(q, x) for x in [q, q + q, "问题：" + q, f"**{q}**", "口服抗炎药的疗程一般是多久？", f"您的问题是“{q}”。", f"Q: {q}\nA:"])
+    assert pairs.is_copy("多久？要不要拍片？", "您的问题是“多久？要不要拍片？”。") and pairs.is_copy("Ref. НK-1, Which exеrcise helps?", "ref. нk-1, which exеrcise helps?")
     assert not pairs.is_copy(q, f"关于“{q}”，一般为8周。") and not pairs.is_copy(None, "x")
     assert all(pairs.is_refusal(x) for x in ["抱歉，我无法回答这个问题，请联系您的主治医生。", "根据现有证据，资料里看不到可用的依据，请以面诊意见为准。", "Unfortunately, I am unable to help with that request, so kindly contact your clinic.", "It is not possible to say whether this is suitable, and a doctor should be consulted."])
+    assert all(pairs.is_refusal(x) for x in ["这类问题应由专科医师判断，恕不作答。", "很遗憾，这个问题我不作评论。", "The evidence is insufficient to answer this.", "Sorry, that is best decided by a specialist and I would rather not comment.", "This lies beyond what I can discuss. Please see a professional."])
     assert not any(pairs.is_refusal(x) for x in ["不推荐。", "虽然证据中未提及具体剂量，但热敷可以放松肌肉，冷敷则能减轻肿胀。", "The dose is not mentioned; however, the advice is clear. Exercise for 12 weeks helps most people."])
     assert pairs.is_foreign("膝痛怎么办？", "Exercise is advised for the knee.") and pairs.is_foreign("What helps?", "Die Schmerzen treten vor allem beim Gehen auf.")
     assert not pairs.is_foreign("膝痛怎么办？", "原文表述为“Rest and then move again.”建议锻炼。") and not pairs.is_foreign("膝痛怎么办？", "NSAID")
 
 
+def test_what_gives_a_truncated_answer_away(spark):
+    whole = "药物甲与凝胶联合应用时，须记录评估结果。Use ice, and rest the joint for a week."
+    rows = [("r", str(i), "怎么办？", "answerable", a) for i, a in enumerate([whole, "药物甲与凝胶联合应", "药物丁与凝胶合并应用时，须记录评", "全新的一句话没有说完就", "1. 锻炼\n2. (", "锻炼"])]
+    df = spark.createDataFrame(rows, "run_id string, query_id string, query string, answerability string, answer string")
+    assert {(x.query_id, x.rule) for x in pairs.broken_pairs(df).collect()} == {("1", "prefix"), ("2", "clause_prefix"), ("3", "no_end_mark"), ("4", "open_end")}
+    spike = [("r", f"s{i}", "怎么办？", "answerable", chr(0x4E00 + i) * 5) for i in range(12)]
+    got = {(x.query_id, x.rule) for x in pairs.broken_pairs(spark.createDataFrame(rows + spike, df.schema)).collect()}
+    assert {(f"s{i}", "length_limit") for i in range(12)} <= got
+    foreign = spark.createDataFrame([("r", "1", "怎么办？", "unanswerable", "The evidence is insufficient to answer this question."), ("r", "2", "怎么办？", "unanswerable", "现有证据不足，无法回答。")], df.schema)
+    assert [(x.query_id, x.defect_type) for x in pairs.broken_pairs(foreign).collect()] == [("1", "other_language")]
+
+
 def test_long_closing_quotation():
     assert pairs.segments("It says “rest often" + " and often" * 100 + "”")[2]
     assert not pairs.segments("It says “rest often" + " and often" * 100)[2]
