@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -145,8 +146,24 @@ def _keys(judged: DataFrame) -> list[str]:
     return ["run_id", "query_id"] if "run_id" in judged.columns else ["query_id"]
 
 
-def judge(cases: DataFrame, client: Callable[[str], str], retry_note: str = "\n\nReturn only valid JSON.") -> DataFrame:
-    """Cases with judge_prompt judged; one retry where the answer does not parse, none where the call fails; run_id is kept if there."""
+def judgement_error(raw: str | None) -> str | None:
+    """Why a judge's raw answer cannot be used, or None; the checks of parse_judgement but for the echoed id, which a new answer would not mend."""
+    text = re.sub(r"(?s)\s*```\s*$", "", re.sub(r"(?s)^\s*```[a-zA-Z]*\s*", "", raw or ""))
+    try:
+        r = json.loads(text)
+    except ValueError:
+        return "not_json"
+    if not isinstance(r, dict):
+        return "not_json"
+    missing = [c for c in ("query_id", *SCORES, "unsupported_claim", *JUDGE_DOMAIN, "reason") if r.get(c) is None]
+    if missing:
+        return f"missing_{missing[0]}"
+    wrong = [c for c in SCORES if isinstance(r[c], bool) or r[c] not in (0, 1, 2)] + [c for c, v in JUDGE_DOMAIN.items() if r[c] not in v] + ([] if isinstance(r["unsupported_claim"], bool) else ["unsupported_claim"])
+    return f"invalid_{wrong[0]}" if wrong else None
+
+
+def judge(cases: DataFrame, client: Callable[[str], str], retry_note: str = "\n\nReturn only one complete, valid JSON object with all required fields.") -> DataFrame:
+    """Cases with judge_prompt judged; one retry where the answer does not parse or fails its checks, none where the call fails; run_id is kept if there."""
     key = _keys(cases)
 
     def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,11 +177,8 @@ def judge(cases: DataFrame, client: Callable[[str], str], retry_note: str = "\n\
                     except Exception as e:
                         raw, error = None, str(e)
                         break
-                    try:
-                        json.loads(raw.strip().removeprefix("```json").removeprefix("```").removesuffix("```"))
+                    if judgement_error(raw) is None:
                         break
-                    except ValueError:
-                        continue
                 rows.append((*k, raw, error))
             yield pd.DataFrame(rows, columns=[*key, "raw_response", "call_error"])
 
@@ -179,9 +193,11 @@ def evaluation_summary(rules: DataFrame, judged: DataFrame) -> DataFrame:
     """One row per answer with the flags of rules and judge, manual_review and its ordered reasons.
 
     Where ``judged`` has run_id, rows are joined on (run_id, query_id) and keep both;
-    else on query_id, which holds for the answers of one run only.
+    else on query_id, which holds for the answers of one run only.  Both must have the
+    same keys; otherwise it is an error.
     """
     key = _keys(judged)
+    require_same_keys(rules, judged, *key)
     x = rules.join(judged.select(*key, "judge_status", "judge_result"), key)
     r = F.col("judge_result")
     below = ~F.coalesce((r["relevance_score"] == 2) & (r["groundedness_score"] == 2) & (r["completeness_score"] == 2), F.lit(False))
@@ -196,9 +212,13 @@ def evaluation_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count("*").alias("answers"), F.sum("deterministic_pass").alias("deterministic_pass"), F.count_if(ok).alias("judged"), F.count_if(ok & (F.col("overall_verdict") == "pass")).alias("judge_pass"), F.count_if(F.col("unsupported_claim")).alias("unsupported"), F.sum("manual_review").alias("manual_review"), *[F.round(F.avg(F.when(ok, F.col(s))), 3).alias(f"mean_{s}") for s in SCORES])
 
 
-def require_same_keys(a: DataFrame, b: DataFrame, key: str = "query_id") -> None:
-    if not a.select(key).exceptAll(b.select(key)).isEmpty() or not b.select(key).exceptAll(a.select(key)).isEmpty():
-        raise ValueError(f"the tables hold different {key}s")
+def require_same_keys(a: DataFrame, b: DataFrame, *key: str) -> None:
+    """Both tables must hold the same keys; counted in one pass."""
+    key = key or ("query_id",)
+    both = a.select(*key, F.lit(0).alias("_side")).unionByName(b.select(*key, F.lit(1).alias("_side")))
+    odd = both.groupBy(*key).agg(F.countDistinct("_side").alias("_n")).where("_n < 2").limit(3).collect()
+    if odd:
+        raise ValueError(f"the tables hold different keys: {[tuple(r[c] for c in key) for r in odd]}")
 
 
 HUMAN = {"human_relevance_score": "int", "human_groundedness_score": "int", "human_completeness_score": "int", "human_unsupported_claim": "boolean", "human_verdict": "string", "human_review_notes": "string"}
@@ -216,9 +236,10 @@ PAIRS = {"relevance_score": "human_relevance_score", "groundedness_score": "huma
 
 
 def calibration(reviewed: DataFrame) -> DataFrame:
-    """(query_id, field, agrees): judge against reviewer by field; two nulls agree.  query_id is null in the totals."""
-    r = F.col("judge_result")
+    """(key, field, agrees): judge against reviewer by field; two nulls agree.  The key is null in the totals."""
+    key, r = _keys(reviewed), F.col("judge_result")
     items = F.array(*[F.struct(F.lit(a).alias("field"), r[a].cast("string").eqNullSafe(F.col(b).cast("string")).alias("ok")) for a, b in PAIRS.items()])
-    x = reviewed.select("query_id", F.explode(items).alias("i")).select("query_id", "i.*")
-    cases = x.select("query_id", "field", F.col("ok").cast("bigint").alias("agrees"), F.lit(1).cast("bigint").alias("compared"))
-    return cases.unionByName(x.groupBy("field").agg(F.count_if("ok").alias("agrees"), F.count("*").alias("compared")).select(F.lit(None).cast("string").alias("query_id"), "field", "agrees", "compared"))
+    x = reviewed.select(*key, F.explode(items).alias("i")).select(*key, "i.*")
+    cases = x.select(*key, "field", F.col("ok").cast("bigint").alias("agrees"), F.lit(1).cast("bigint").alias("compared"))
+    totals = x.groupBy("field").agg(F.count_if("ok").alias("agrees"), F.count("*").alias("compared"))
+    return cases.unionByName(totals.select(*[F.lit(None).cast("string").alias(k) for k in key], "field", "agrees", "compared"))

@@ -103,7 +103,7 @@ def validate_structure(nodes: DataFrame, pages: DataFrame | None = None, boundar
 
 def marker_order(located: DataFrame) -> DataFrame:
     """Nodes whose marker stands before that of the node before them on the same page."""
-    w = Window.partitionBy("source_id", "pdf_page").orderBy("node_order")
+    w = Window.partitionBy("source_id", "pdf_page").orderBy("node_order", "node_id")
     return located.where("start_pos >= 0").withColumn("previous_pos", F.lag("start_pos").over(w)).where("previous_pos > start_pos").select("source_id", "node_id", "pdf_page", "start_pos", "previous_pos")
 
 
@@ -180,7 +180,10 @@ def freeze_gate(benchmark: DataFrame, corpus: DataFrame, minimums: dict[str, int
 
 
 # What a chunk must not contain.
-FORBIDDEN = {"reference_section": "参考文献", "workgroup_roster": "共识工作组成员名单|首席临床专家：|秘书组："}
+FORBIDDEN = {
+    "reference_section": "参考文献", "workgroup_roster": "共识工作组成员名单|首席临床专家：|秘书组：", "known_layout_address": r"Kunming City,\s*Yunnan Province",
+    "table_header_pollution": "表[1-7]骨关节炎(?:临床分期|口服药物治疗推荐|外用药物治疗推荐|物理治疗推荐|常见骨关节炎的临床表现)",
+}
 
 
 def validate_corpus(chunks: DataFrame, sources: list[str] | None = None, least: int = 30, most: int = 1800, forbidden: dict[str, str] | None = None) -> DataFrame:

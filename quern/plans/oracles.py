@@ -64,9 +64,8 @@ _H = lambda k, n: f"((strpos('0123456789abcdef', substr(md5(query_id), {k}, 1))
 
 _JUDGE = f"""
 gen AS (SELECT DISTINCT run_id, query_id, answerability, top_k, len(evidence) AS ne, answer, generation_status FROM generation_run),
-gf AS (SELECT g.* FROM gen g JOIN (SELECT query_id, min(run_id) AS run_id FROM gen GROUP BY query_id) f USING (query_id, run_id)),
-ju0 AS (SELECT DISTINCT query_id, 2 - {_H(1, 8)} % 3 AS rel, CASE WHEN {_H(2, 16)} = 0 THEN 3 ELSE 2 - {_H(2, 8)} % 3 END AS gr, {_H(3, 2)} = 1 AS uns, {_H(4, 3)} AS sev, {_H(5, 3)} AS beh, {_H(6, 2)} AS ver, ({_H(7, 4)} <> 0 AND {_H(8, 16)} = 0) AS broken FROM gf),
-ju AS (SELECT query_id, CASE WHEN broken THEN 'x' WHEN gr = 3 THEN 'invalid_groundedness_score' END AS err, rel, gr, uns, CASE WHEN gr = 0 OR rel = 0 OR sev = 2 OR beh = 2 OR ver = 1 THEN 'fail' ELSE 'pass' END AS verdict FROM ju0)"""
+ju0 AS (SELECT DISTINCT run_id, query_id, 2 - {_H(1, 8)} % 3 AS rel, CASE WHEN {_H(2, 16)} = 0 THEN 3 ELSE 2 - {_H(2, 8)} % 3 END AS gr, {_H(3, 2)} = 1 AS uns, {_H(4, 3)} AS sev, {_H(5, 3)} AS beh, {_H(6, 2)} AS ver, ({_H(7, 4)} <> 0 AND {_H(8, 16)} = 0) AS broken FROM gen),
+ju AS (SELECT run_id, query_id, CASE WHEN broken THEN 'x' WHEN gr = 3 THEN 'invalid_groundedness_score' END AS err, rel, gr, uns, CASE WHEN gr = 0 OR rel = 0 OR sev = 2 OR beh = 2 OR ver = 1 THEN 'fail' ELSE 'pass' END AS verdict FROM ju0)"""
 
 _RULES = f"""
 ru AS (SELECT run_id, query_id, answerability, CAST(coalesce(generation_status = 'success', false) AS INTEGER) AS generation_success, CAST(NOT {blank('answer')} AS INTEGER) AS answer_nonempty, CAST(coalesce(ne = top_k, false) AS INTEGER) AS evidence_count_ok,
@@ -75,12 +74,12 @@ rules AS (SELECT *, CAST(answerability IS DISTINCT FROM 'unanswerable' OR says_i
 rule AS (SELECT *, generation_success * answer_nonempty * evidence_count_ok * unanswerable_ok AS deterministic_pass FROM rules)"""
 
 _SUMMARY = f"""
-su AS (SELECT r.query_id, r.answerability, deterministic_pass, CASE WHEN err IS NULL THEN 'success' ELSE 'error' END AS judge_status, CASE WHEN err IS NULL THEN rel END AS relevance_score, CASE WHEN err IS NULL THEN gr END AS groundedness_score,
+su AS (SELECT r.run_id, r.query_id, r.answerability, deterministic_pass, CASE WHEN err IS NULL THEN 'success' ELSE 'error' END AS judge_status, CASE WHEN err IS NULL THEN rel END AS relevance_score, CASE WHEN err IS NULL THEN gr END AS groundedness_score,
   CASE WHEN err IS NULL THEN uns END AS unsupported_claim, CASE WHEN err IS NULL THEN verdict END AS overall_verdict,
   concat_ws('; ', CASE WHEN deterministic_pass = 0 THEN 'deterministic_fail' END, CASE WHEN err IS NOT NULL THEN 'judge_error' END, CASE WHEN err IS NULL AND verdict = 'fail' THEN 'judge_fail' END, CASE WHEN err IS NULL AND uns THEN 'unsupported_claim' END, CASE WHEN err IS NOT NULL OR rel < 2 OR gr < 2 THEN 'non_max_score' END) AS review_reason
-  FROM rule r JOIN ju USING (query_id))"""
+  FROM rule r JOIN ju USING (run_id, query_id))"""
 
-_RULE_GF = _RULES.replace("{src}", "gf")
+_RULE_GF = _RULES.replace("{src}", "gen")
 
 _LINES = f"""
 ln AS (SELECT source_id, pdf_page_number AS page, l, len(l) AS n FROM (SELECT source_id, pdf_page_number, string_split(text, chr(10)) AS l FROM {PAGES} WHERE NOT {blank('text')})),
@@ -89,17 +88,26 @@ bk AS (SELECT *, ((i + 1) * 1000.0 / n <= 150 OR i * 1000.0 / n >= 900) AS margi
 np AS (SELECT source_id, count(DISTINCT page) AS pages FROM bk GROUP BY source_id),
 rm AS (SELECT b.source_id, sig AS signature FROM bk b JOIN np USING (source_id) WHERE margin AND sig <> '' AND length(sig) <= 180 GROUP BY b.source_id, sig, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages * 30 / 100)))"""
 
-_STRUCT = f"""
+_BOUNDS = f"""
+bs AS (SELECT source_id, min(pdf_page_number) AS fp, max(pdf_page_number) AS lp, min_by(text, pdf_page_number) AS a, max_by(text, pdf_page_number) AS z FROM {PAGES} WHERE text IS NOT NULL GROUP BY 1),
+bn AS (SELECT source_id, fp, CASE WHEN lp % 2 = 1 THEN substr(a, 1, 6) ELSE '。' END AS sm, lp - 1 AS ep, lp - 2 * (lp % 2) AS rp, CASE WHEN lp % 3 = 0 THEN 'no such text' ELSE substr(z, 10, 4) END AS rm FROM bs)"""
+_TIMES = lambda t, m: f"CASE WHEN length({m}) > 0 THEN CAST((length({t}) - length(replace({t}, {m}, ''))) / length({m}) AS INTEGER) ELSE 0 END"
+
+_STRUCT = f"""{_BOUNDS},
 sn0 AS (SELECT DISTINCT * FROM document_structure_map),
 sn AS (SELECT *, {strip("coalesce(node_id, '')")} AS nid, {strip("coalesce(parent_id, '')")} AS pid, {strip("coalesce(source_id, '')")} AS sid FROM sn0),
 pr AS (SELECT nid AS pid, max({{'s': sid, 'l': coalesce(level, -2147483648), 'o': coalesce(node_order, -2147483648), 't': coalesce(node_type, ''), 'i': coalesce(include_status, '')}}) AS p FROM sn GROUP BY nid),
 sx AS (SELECT sn.*, p.s AS ps, nullif(p.l, -2147483648) AS pl, nullif(p.o, -2147483648) AS po, nullif(p.t, '') AS pt, nullif(p.i, '') AS pi, count(*) OVER (PARTITION BY nid) > 1 AS dup, count(*) OVER (PARTITION BY sid, node_order) > 1 AS dupo FROM sn LEFT JOIN pr ON sn.pid = pr.pid),
+sy AS (SELECT sx.*, pg.t AS pgt, {_TIMES('pg.t', 'marker_text')} AS mk, fp, ep, NOT (sx.pdf_page BETWEEN fp AND ep) AS outside FROM sx LEFT JOIN (SELECT source_id AS psid, pdf_page_number AS pn, coalesce(text, '') AS t FROM {PAGES}) pg ON psid = sid AND pn = sx.pdf_page LEFT JOIN (SELECT source_id AS bsid, fp, ep FROM bn) b ON bsid = sid),
 sv AS (SELECT nid AS node_id, sid AS source_id,
   concat_ws('; ', CASE WHEN NOT coalesce(marker_occurrence, 0) >= 1 THEN 'invalid_marker_occurrence' END, CASE WHEN sid = '' THEN 'empty_source_id' END, CASE WHEN nid = '' THEN 'empty_node_id' END, CASE WHEN {blank('marker_text')} THEN 'empty_marker_text' END, CASE WHEN dup THEN 'duplicate_node_id' END, CASE WHEN dupo THEN 'duplicate_order_within_source' END,
     CASE WHEN NOT coalesce(node_type IN ('section', 'subsection', 'question', 'recommendation'), false) THEN 'invalid_node_type' END, CASE WHEN NOT coalesce(include_status IN ('included', 'excluded'), false) THEN 'invalid_include_status' END, CASE WHEN NOT coalesce(extraction_mode IN ('auto_text', 'manual_table', 'hybrid', 'exclude'), false) THEN 'invalid_extraction_mode' END,
     CASE WHEN include_status = 'included' AND extraction_mode = 'exclude' THEN 'included_node_cannot_use_extraction_mode_exclude' END, CASE WHEN pid <> '' AND ps IS NULL THEN 'parent_not_found' END, CASE WHEN pid <> '' AND ps <> sid THEN 'parent_from_different_source' END, CASE WHEN pid <> '' AND ps IS NOT NULL AND NOT coalesce(level = pl + 1, false) THEN 'parent_level_mismatch' END,
-    CASE WHEN pid <> '' AND po >= node_order THEN 'parent_not_before_child' END, CASE WHEN node_type = 'recommendation' AND ps IS NOT NULL AND pt <> 'question' THEN 'recommendation_parent_is_not_question' END, CASE WHEN pid = '' AND level > 1 THEN 'non_root_node_missing_parent' END, CASE WHEN node_type = 'recommendation' AND level < 2 THEN 'invalid_recommendation_level' END) AS e,
-  concat_ws('; ', CASE WHEN include_status = 'excluded' AND extraction_mode <> 'exclude' THEN 'excluded_node_should_use_extraction_mode_exclude' END, CASE WHEN include_status = 'included' AND pi = 'excluded' THEN 'included_child_under_excluded_parent' END, CASE WHEN node_type = 'section' AND level <> 1 THEN 'section_expected_at_level_1' END) AS w FROM sx),
+    CASE WHEN pid <> '' AND po >= node_order THEN 'parent_not_before_child' END, CASE WHEN node_type = 'recommendation' AND ps IS NOT NULL AND pt <> 'question' THEN 'recommendation_parent_is_not_question' END, CASE WHEN pid = '' AND level > 1 THEN 'non_root_node_missing_parent' END, CASE WHEN node_type = 'recommendation' AND level < 2 THEN 'invalid_recommendation_level' END,
+    CASE WHEN pgt IS NULL THEN 'pdf_page_not_found' END, CASE WHEN pgt IS NOT NULL AND mk = 0 THEN 'marker_not_found' END, CASE WHEN mk > 0 AND marker_occurrence > mk THEN 'marker_occurrence_out_of_range' END, CASE WHEN mk > 0 AND marker_occurrence < 1 THEN 'marker_occurrence_position_not_found' END,
+    CASE WHEN include_status = 'included' AND outside THEN 'included_node_outside_document_body' END, CASE WHEN fp IS NULL THEN 'document_boundary_not_found' END) AS e,
+  concat_ws('; ', CASE WHEN include_status = 'excluded' AND extraction_mode <> 'exclude' THEN 'excluded_node_should_use_extraction_mode_exclude' END, CASE WHEN include_status = 'included' AND pi = 'excluded' THEN 'included_child_under_excluded_parent' END, CASE WHEN node_type = 'section' AND level <> 1 THEN 'section_expected_at_level_1' END,
+    CASE WHEN mk > 1 AND marker_occurrence IS NULL THEN 'marker_found_multiple_without_occurrence' END, CASE WHEN include_status = 'excluded' AND outside THEN 'excluded_node_outside_document_body' END) AS w FROM sy),
 st AS (SELECT DISTINCT node_id, source_id, concat_ws('; ', nullif(e, ''), nullif(w, '')) AS issues, CASE WHEN e <> '' THEN 'error' WHEN w <> '' THEN 'review' ELSE 'pass' END AS status FROM sv)"""
 
 _G, _S, _X = "coalesce(gold_chunk_ids, [])", "coalesce(supporting_chunk_ids, [])", "coalesce(expected_source_ids, [])"
@@ -127,7 +135,8 @@ _CITE = r"length(regexp_replace(regexp_replace(text, '［[^］]{1,30}］|\[[^\]]
 _CORPUS = f"""
 cx AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) > 1 AS dup, count(*) OVER (PARTITION BY sha256({squeeze('text')})) > 1 AS dupt, {blank('text')} AS bt FROM {GOLD}),
 cv AS (SELECT chunk_id, concat_ws('; ', CASE WHEN {blank('chunk_id')} THEN 'empty_chunk_id' END, CASE WHEN dup THEN 'duplicate_chunk_id' END, CASE WHEN dupt AND NOT bt THEN 'duplicate_text' END, CASE WHEN {blank('source_id')} THEN 'missing_source' END, CASE WHEN bt THEN 'empty_text' END, CASE WHEN NOT bt AND {_CITE} THEN 'citation_only' END,
-  CASE WHEN regexp_matches(text, '参考文献') THEN 'forbidden_reference_section' END, CASE WHEN regexp_matches(text, '共识工作组成员名单|首席临床专家：|秘书组：') THEN 'forbidden_workgroup_roster' END,
+  CASE WHEN regexp_matches(text, '参考文献') THEN 'forbidden_reference_section' END, CASE WHEN regexp_matches(text, '共识工作组成员名单|首席临床专家：|秘书组：') THEN 'forbidden_workgroup_roster' END, CASE WHEN regexp_matches(text, 'Kunming City,\\s*Yunnan Province') THEN 'forbidden_known_layout_address' END,
+  CASE WHEN regexp_matches(text, '表[1-7]骨关节炎(?:临床分期|口服药物治疗推荐|外用药物治疗推荐|物理治疗推荐|常见骨关节炎的临床表现)') THEN 'forbidden_table_header_pollution' END,
   CASE WHEN content_type = 'question_recommendation' AND {blank('question_node_id')} THEN 'missing_question_node' END, CASE WHEN content_type = 'question_recommendation' AND coalesce(len(recommendation_node_ids), 0) <= 0 THEN 'missing_recommendation_nodes' END,
   CASE WHEN content_type = 'manual_table_chunk' AND coalesce(review_status, '') <> 'human_verified' THEN 'unverified_manual_table' END) AS e,
   concat_ws('; ', CASE WHEN length(text) < 30 THEN 'short_chunk' END, CASE WHEN length(text) > 1800 THEN 'long_chunk' END) AS w FROM cx)"""
@@ -188,14 +197,14 @@ SELECT 'generation_top5' AS run_id, query_id, answerability, 5 AS top_k, CAST(co
 p AS (SELECT run_id, query_id, '问题：' || chr(10) || coalesce(query, '') || chr(10) || chr(10) || '检索证据：' || chr(10) || array_to_string(list_transform(evidence, lambda e: '[Evidence ' || e.rank || ']' || chr(10) || '来源：' || coalesce(e.source_id, '') || chr(10) || '章节：' || coalesce(e.title_path, '') || chr(10) || coalesce(e.text, '')), chr(10) || chr(10)) || chr(10) || chr(10) || '请依据以上证据回答问题。' AS u FROM g)
 SELECT run_id, query_id, CAST(length(u) AS INTEGER) AS prompt_chars, md5(u) AS prompt_md5, 'prompt_ready' AS generation_status FROM p""",
     "deterministic_rules": f"WITH gen AS (SELECT DISTINCT run_id, query_id, answerability, top_k, len(evidence) AS ne, answer, generation_status FROM generation_run), {_RULES.replace('{src}', 'gen')} SELECT run_id, query_id, answerability, generation_success, answer_nonempty, evidence_count_ok, says_insufficient, unanswerable_ok, deterministic_pass FROM rule",
-    "judge_parse": f"""WITH {_JUDGE} SELECT query_id, CASE WHEN err IS NULL THEN 'success' ELSE 'error' END AS judge_status, CASE WHEN err = 'x' THEN 'not_json' ELSE err END AS judge_error, CAST(CASE WHEN err IS NULL THEN rel END AS INTEGER) AS relevance_score, CAST(CASE WHEN err IS NULL THEN gr END AS INTEGER) AS groundedness_score, CASE WHEN err IS NULL THEN verdict END AS overall_verdict FROM ju""",
-    "evaluation_summary": f"WITH {_JUDGE}, {_RULE_GF}, {_SUMMARY} SELECT query_id, answerability, deterministic_pass, judge_status, CAST(relevance_score AS INTEGER) AS relevance_score, CAST(groundedness_score AS INTEGER) AS groundedness_score, unsupported_claim, overall_verdict, CAST(review_reason <> '' AS INTEGER) AS manual_review, review_reason FROM su",
+    "judge_parse": f"""WITH {_JUDGE} SELECT run_id, query_id, CASE WHEN err IS NULL THEN 'success' ELSE 'error' END AS judge_status, CASE WHEN err = 'x' THEN 'not_json' ELSE err END AS judge_error, CAST(CASE WHEN err IS NULL THEN rel END AS INTEGER) AS relevance_score, CAST(CASE WHEN err IS NULL THEN gr END AS INTEGER) AS groundedness_score, CASE WHEN err IS NULL THEN verdict END AS overall_verdict FROM ju""",
+    "evaluation_summary": f"WITH {_JUDGE}, {_RULE_GF}, {_SUMMARY} SELECT run_id, query_id, answerability, deterministic_pass, judge_status, CAST(relevance_score AS INTEGER) AS relevance_score, CAST(groundedness_score AS INTEGER) AS groundedness_score, unsupported_claim, overall_verdict, CAST(review_reason <> '' AS INTEGER) AS manual_review, review_reason FROM su",
     "evaluation_totals": f"""WITH {_JUDGE}, {_RULE_GF}, {_SUMMARY} SELECT count(*) AS answers, CAST(sum(deterministic_pass) AS BIGINT) AS deterministic_pass, count(CASE WHEN judge_status = 'success' THEN 1 END) AS judged, count(CASE WHEN overall_verdict = 'pass' THEN 1 END) AS judge_pass, count(CASE WHEN unsupported_claim THEN 1 END) AS unsupported, count(CASE WHEN review_reason <> '' THEN 1 END) AS manual_review,
   round(avg(relevance_score), 3) AS mean_relevance_score, round(avg(groundedness_score), 3) AS mean_groundedness_score, round(avg(CASE WHEN judge_status = 'success' THEN 2 END), 3) AS mean_completeness_score FROM su""",
-    "review_queue": f"WITH {_JUDGE}, {_RULE_GF}, {_SUMMARY} SELECT su.query_id, review_reason, CAST(ne AS INTEGER) AS evidence_count, CAST(NULL AS VARCHAR) AS human_verdict FROM su JOIN gf USING (query_id) WHERE review_reason <> ''",
-    "calibration": f"""WITH {_JUDGE}, c AS (SELECT query_id, err IS NULL AS ok, rel, uns, {_H(9, 4)} > 0 AS same FROM ju),
-x AS (SELECT query_id, 'relevance_score' AS field, CASE WHEN same THEN true WHEN ok THEN rel = 1 ELSE false END AS a FROM c UNION ALL SELECT query_id, 'groundedness_score', true FROM c UNION ALL SELECT query_id, 'completeness_score', ok FROM c UNION ALL SELECT query_id, 'unsupported_claim', NOT ok FROM c UNION ALL SELECT query_id, 'overall_verdict', true FROM c)
-SELECT query_id, field, CAST(a AS BIGINT) AS agrees, CAST(1 AS BIGINT) AS compared FROM x UNION ALL SELECT NULL, field, CAST(sum(CAST(a AS INTEGER)) AS BIGINT), count(*) FROM x GROUP BY field""",
+    "review_queue": f"WITH {_JUDGE}, {_RULE_GF}, {_SUMMARY} SELECT su.run_id, su.query_id, review_reason, CAST(ne AS INTEGER) AS evidence_count, CAST(NULL AS VARCHAR) AS human_verdict FROM su JOIN gen USING (run_id, query_id) WHERE review_reason <> ''",
+    "calibration": f"""WITH {_JUDGE}, c AS (SELECT run_id, query_id, err IS NULL AS ok, rel, uns, {_H(9, 4)} > 0 AS same FROM ju),
+x AS (SELECT run_id, query_id, 'relevance_score' AS field, CASE WHEN same THEN true WHEN ok THEN rel = 1 ELSE false END AS a FROM c UNION ALL SELECT run_id, query_id, 'groundedness_score', true FROM c UNION ALL SELECT run_id, query_id, 'completeness_score', ok FROM c UNION ALL SELECT run_id, query_id, 'unsupported_claim', NOT ok FROM c UNION ALL SELECT run_id, query_id, 'overall_verdict', true FROM c)
+  SELECT run_id, query_id, field, CAST(a AS BIGINT) AS agrees, CAST(1 AS BIGINT) AS compared FROM x UNION ALL SELECT NULL, NULL, field, CAST(sum(CAST(a AS INTEGER)) AS BIGINT), count(*) FROM x GROUP BY field""",
     "seeded_sample": f"SELECT chunk_id, source_id FROM {GOLD} ORDER BY sha256('42|' || chunk_id), chunk_id LIMIT 20",
     "edge_samples": f"""WITH x AS (SELECT source_id, chunk_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS i, count(*) OVER (PARTITION BY source_id) AS n, min(CASE WHEN pdf_page_end > pdf_page_start THEN chunk_id END) OVER (PARTITION BY source_id) AS c FROM {GOLD}),
 y AS (SELECT source_id, chunk_id, concat_ws('|', CASE WHEN i = 1 THEN 'first' END, CASE WHEN i = (n + 1) // 2 THEN 'middle' END, CASE WHEN i = n THEN 'last' END, CASE WHEN chunk_id = c THEN 'cross_page' END) AS sample_reason FROM x) SELECT * FROM y WHERE sample_reason <> ''""",
@@ -284,3 +293,26 @@ un AS (
 SELECT chunk_id, source_id, source_order, node_id, content_type, display_title, array_to_string(tp, ' > ') AS title_path, ps AS pdf_page_start, pe AS pdf_page_end, ps <> pe AS cross_page, extraction_mode, review_status, build_method, question_node_id, recommendation_node_ids, table_id, context_repeated, {squeeze('raw')} AS text,
   md5(concat_ws(chr(10), '主题：' || nullif(display_title, ''), '章节：' || nullif(array_to_string(tp, ' > '), ''), {squeeze('raw')})) AS retrieval_md5, CAST(length({squeeze('raw')}) AS INTEGER) AS char_count, sha256({squeeze('raw')}) AS text_sha256, 'built' AS corpus_version FROM un"""
 ORACLE_SQL["corpus_build"] = _BUILD
+
+_AT = lambda page: f"(SELECT text FROM {PAGES} q WHERE q.source_id = bn.source_id AND q.pdf_page_number = {page})"
+ORACLE_SQL["boundary_validation"] = f"""WITH {_BOUNDS},
+x AS (SELECT bn.*, (SELECT max(pdf_page_number) FROM {PAGES} q WHERE q.source_id = bn.source_id) AS n, coalesce({_AT('fp')}, '') AS a, coalesce({_AT('rp')}, '') AS z FROM bn),
+y AS (SELECT *, CASE WHEN length(sm) = 0 THEN -1 ELSE {_TIMES('a', 'sm')} END AS ka, CASE WHEN length(rm) = 0 THEN -1 ELSE {_TIMES('z', 'rm')} END AS kz FROM x),
+v AS (SELECT source_id, concat_ws('; ', CASE WHEN NOT fp BETWEEN 1 AND n THEN 'start_page_out_of_range' END, CASE WHEN NOT ep BETWEEN 1 AND n THEN 'end_page_out_of_range' END, CASE WHEN NOT rp BETWEEN 1 AND n THEN 'tail_page_out_of_range' END, CASE WHEN fp > ep THEN 'start_after_end' END,
+  CASE WHEN rp < fp THEN 'tail_before_start' END, CASE WHEN ka = 0 THEN 'start_marker_not_found' END, CASE WHEN kz = 0 THEN 'tail_marker_not_found' END) AS e,
+  concat_ws('; ', CASE WHEN rp < ep THEN 'tail_page_before_end_page' END, CASE WHEN ka > 1 THEN 'start_marker_multiple' END, CASE WHEN kz > 1 THEN 'tail_marker_multiple' END) AS w FROM y)
+SELECT source_id, {_REPORT} FROM v"""
+ORACLE_SQL["marker_order"] = f"""WITH {_NODES}, l AS (SELECT n.*, CASE WHEN left(display_title, 1) <> '' AND len(string_split(p.text, left(display_title, 1))) > coalesce(marker_occurrence, 1) THEN CAST(list_sum(list_transform(string_split(p.text, left(display_title, 1))[: coalesce(marker_occurrence, 1)], lambda y: length(y))) AS BIGINT) + coalesce(marker_occurrence, 1) - 1 END AS pos FROM nodes n JOIN {PAGES} p ON p.source_id = n.source_id AND p.pdf_page_number = n.pdf_page),
+o AS (SELECT *, lag(pos) OVER (PARTITION BY source_id, pdf_page ORDER BY node_order NULLS FIRST, node_id) AS prev FROM l WHERE pos >= 0)
+SELECT source_id, node_id, pdf_page, CAST(pos AS INTEGER) AS start_pos, CAST(prev AS INTEGER) AS previous_pos FROM o WHERE prev > pos"""
+ORACLE_SQL["table_validation"] = f"""WITH {_BOUNDS}, {_NODES.lstrip()},
+ev AS (SELECT *, array_to_string(title_path, ' > ') AS scope FROM {GOLD} WHERE content_type = 'manual_table_chunk'),
+ex AS (SELECT ev.*, n.source_id AS ns, n.include_status AS ni, n.extraction_mode AS nm, n.pdf_page AS np, n.node_id IS NOT NULL AS found, fp, ep, count(*) OVER (PARTITION BY chunk_id) > 1 AS dup, count(*) OVER (PARTITION BY sha256({squeeze('ev.text')})) > 1 AS dupt
+  FROM ev LEFT JOIN nodes n ON n.node_id = ev.node_id LEFT JOIN bn ON bn.source_id = ev.source_id),
+v AS (SELECT DISTINCT chunk_id AS record_id, source_id, node_id, concat_ws('; ', CASE WHEN NOT coalesce(pdf_page_start >= 1, false) THEN 'invalid_pdf_page' END, CASE WHEN {blank('chunk_id')} THEN 'empty_record_id' END, CASE WHEN dup THEN 'duplicate_record_id' END, CASE WHEN {blank('node_id')} THEN 'empty_node_id' END,
+  CASE WHEN ns IS NULL THEN 'structure_node_not_found' END, CASE WHEN ns <> source_id THEN 'structure_source_mismatch' END, CASE WHEN ni <> 'included' THEN 'structure_node_not_included' END, CASE WHEN nm NOT IN ('manual_table', 'hybrid') THEN 'structure_node_not_manual_or_hybrid' END,
+  CASE WHEN ns IS NOT NULL AND NOT coalesce(np >= 1, false) THEN 'invalid_structure_pdf_page' END, CASE WHEN fp IS NULL THEN 'document_boundary_not_found' END, CASE WHEN NOT pdf_page_start BETWEEN fp AND ep THEN 'evidence_outside_document_body' END,
+  CASE WHEN NOT coalesce(extraction_mode IN ('manual_table', 'hybrid'), false) THEN 'invalid_evidence_extraction_mode' END, CASE WHEN coalesce(review_status, '') <> 'human_verified' THEN 'evidence_not_human_verified' END,
+  CASE WHEN {blank('table_id')} THEN 'empty_table_id' END, CASE WHEN {blank('display_title')} THEN 'empty_table_title' END, CASE WHEN {blank('display_title')} THEN 'empty_display_title' END, CASE WHEN {blank('scope')} THEN 'empty_scope' END, CASE WHEN {blank('text')} THEN 'empty_text' END, CASE WHEN dupt AND NOT {blank('text')} THEN 'duplicate_evidence_text' END) AS e,
+  concat_ws('; ', CASE WHEN pdf_page_start <> np THEN 'evidence_page_differs_from_structure_start_page' END, CASE WHEN length(text) < 40 THEN 'text_unusually_short' END) AS w FROM ex)
+SELECT record_id, source_id, node_id, {_REPORT} FROM v"""

@@ -311,8 +311,39 @@ def corpus_build(spark, d):
         "question_node_id", F.array_join("recommendation_node_ids", "|").alias("recommendation_node_ids"), "table_id", "context_repeated", "text", F.md5("retrieval_text").alias("retrieval_md5"), "char_count", "text_sha256", "corpus_version")
 
 
+def _bounds(pages):
+    """Document bodies made up from the pages: all but the last page, marked by how the first one begins and the last one goes on."""
+    n = pages.where("text IS NOT NULL").groupBy("source_id").agg(F.min("pdf_page_number").alias("body_start_page"), F.max("pdf_page_number").alias("last"), F.min_by("text", "pdf_page_number").alias("a"), F.max_by("text", "pdf_page_number").alias("z"))
+    odd = F.col("last") % 2
+    return n.select(
+        "source_id", "body_start_page", F.when(odd == 1, F.substring("a", 1, 6)).otherwise("。").alias("body_start_marker"), (F.col("last") - 1).alias("body_end_page"),
+        (F.col("last") - 2 * odd).alias("reference_start_page"), F.when(F.col("last") % 3 == 0, "no such text").otherwise(F.substring("z", 10, 4)).alias("reference_start_marker"))
+
+
+def boundary_validation(spark, d):
+    pages = _pages(spark, d)
+    return quality.validate_boundaries(_bounds(pages), pages)
+
+
 def structure_validation(spark, d):
-    return quality.validate_structure(table(spark, d, "document_structure_map").distinct()).distinct()
+    pages = _pages(spark, d)
+    return quality.validate_structure(table(spark, d, "document_structure_map").distinct(), pages, _bounds(pages)).distinct()
+
+
+def marker_order(spark, d):
+    """Nodes out of order on their page; as titles are rarely on the pages here, their first characters are the markers."""
+    pages = _pages(spark, d)
+    nodes = _nodes(spark, d).withColumn("marker_text", F.substring("display_title", 1, 1))
+    return quality.marker_order(corpus.locate_nodes(nodes, pages))
+
+
+def table_validation(spark, d):
+    """The corpus's tables as evidence, against structure map and document bodies."""
+    pages = _pages(spark, d)
+    e = _gold(spark, d).where("content_type = 'manual_table_chunk'").select(
+        F.col("chunk_id").alias("record_id"), "source_id", "node_id", F.col("pdf_page_start").alias("pdf_page"), "table_id", F.col("display_title").alias("table_title"), F.lit("row").alias("record_type"),
+        F.array_join("title_path", " > ").alias("scope"), "display_title", "text", F.lit("included").alias("include_status"), "extraction_mode", "review_status")
+    return quality.validate_tables(e, _nodes(spark, d), _bounds(pages)).distinct()
 
 
 def structure_status(spark, d):
@@ -363,11 +394,6 @@ def deterministic_rules(spark, d):
     return generation.deterministic_rules(_generated(spark, d))
 
 
-def _first_run(spark, d):
-    g = _generated(spark, d)
-    return g.join(g.groupBy("query_id").agg(F.min("run_id").alias("run_id")), ["query_id", "run_id"])
-
-
 def _digit(k: int, n: int):
     """A number below n from the k-th hexadecimal digit of the question id's hash."""
     return (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("query_id"), k, 1)) - 1) % n
@@ -386,27 +412,20 @@ def _raw_judgements(answers, *key):
     return q.withColumn("raw_response", fenced)
 
 
-def _judge(answers, *key):
-    x = _raw_judgements(answers, *key).withColumn("p", generation.parse_judgement("raw_response", "query_id"))
+def _judged(spark, d):
+    """Judgements of the answers of all runs."""
+    key = ("run_id", "query_id")
+    x = _raw_judgements(_generated(spark, d), *key).withColumn("p", generation.parse_judgement("raw_response", "query_id"))
     r = F.col("p.judge_result")
     return x.select(*key, "p.judge_status", F.when(r.isNotNull(), r.withField("overall_verdict", generation.hard_fail(r))).alias("judge_result"), "p.judge_error")
 
 
-def _judged(spark, d):
-    return _judge(_first_run(spark, d), "query_id")
-
-
-def _judged_runs(spark, d):
-    return _judge(_generated(spark, d), "run_id", "query_id")
-
-
 def judge_parse(spark, d):
-    return _judged(spark, d).select("query_id", "judge_status", "judge_error", F.col("judge_result.relevance_score").alias("relevance_score"), F.col("judge_result.groundedness_score").alias("groundedness_score"), F.col("judge_result.overall_verdict").alias("overall_verdict"))
+    return _judged(spark, d).select("run_id", "query_id", "judge_status", "judge_error", F.col("judge_result.relevance_score").alias("relevance_score"), F.col("judge_result.groundedness_score").alias("groundedness_score"), F.col("judge_result.overall_verdict").alias("overall_verdict"))
 
 
 def _summary(spark, d):
-    rules = generation.deterministic_rules(_first_run(spark, d))
-    return generation.evaluation_summary(rules, _judged(spark, d))
+    return generation.evaluation_summary(generation.deterministic_rules(_generated(spark, d)), _judged(spark, d))
 
 
 def evaluation_summary(spark, d):
@@ -418,32 +437,13 @@ def evaluation_totals(spark, d):
 
 
 def review_queue(spark, d):
-    q = generation.review_queue(_summary(spark, d), _first_run(spark, d), _judged(spark, d))
-    return q.select("query_id", "review_reason", F.size("evidence").alias("evidence_count"), "human_verdict")
-
-
-def _summary_runs(spark, d):
-    rules = generation.deterministic_rules(_generated(spark, d))
-    return generation.evaluation_summary(rules, _judged_runs(spark, d))
-
-
-def evaluation_summary_runs(spark, d):
-    """evaluation_summary over the answers of all runs."""
-    return _summary_runs(spark, d).drop("completeness_score")
-
-
-def evaluation_totals_runs(spark, d):
-    return generation.evaluation_totals(_summary_runs(spark, d))
-
-
-def review_queue_runs(spark, d):
-    q = generation.review_queue(_summary_runs(spark, d), _generated(spark, d), _judged_runs(spark, d))
+    q = generation.review_queue(_summary(spark, d), _generated(spark, d), _judged(spark, d))
     return q.select("run_id", "query_id", "review_reason", F.size("evidence").alias("evidence_count"), "human_verdict")
 
 
 def calibration(spark, d):
     j = _judged(spark, d)
-    h = j.select("query_id", "judge_result", F.when(_digit(9, 4) > 0, F.col("judge_result.relevance_score")).otherwise(1).alias("human_relevance_score"), F.col("judge_result.groundedness_score").alias("human_groundedness_score"), F.lit(2).alias("human_completeness_score"), F.lit(None).cast("boolean").alias("human_unsupported_claim"), F.col("judge_result.overall_verdict").alias("human_verdict"))
+    h = j.select("run_id", "query_id", "judge_result", F.when(_digit(9, 4) > 0, F.col("judge_result.relevance_score")).otherwise(1).alias("human_relevance_score"), F.col("judge_result.groundedness_score").alias("human_groundedness_score"), F.lit(2).alias("human_completeness_score"), F.lit(None).cast("boolean").alias("human_unsupported_claim"), F.col("judge_result.overall_verdict").alias("human_verdict"))
     return generation.calibration(h)
 
 
@@ -497,8 +497,8 @@ def table_detections(spark, d):
 
 _NAMES = """bm25_index_stats token_df_topn bm25_topk bm25_topk_plain bm25_term_join dense_topk rrf_fusion retrieval_query_metrics retrieval_metrics retrieval_metrics_bm25 compare_two_way compare_three_way winner_counts
 text_normalize heading_normalize cjk_compact unwrapped_pages chunk_hash dup_text_audit sentence_units text_fields context_selection extractability_audit page_policy_status included_sources repeated_margin_lines stripped_pages reading_order assembled_pages
-baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead corpus_build structure_validation structure_status manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
-generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue evaluation_summary_runs evaluation_totals_runs review_queue_runs calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
+baseline_chunks section_chunks boundary_chunks gold_pack section_carry_forward chunk_summary corpus_summary title_path node_slice_lead corpus_build boundary_validation structure_validation structure_status marker_order table_validation manual_coverage benchmark_validation benchmark_composition benchmark_topics corpus_validation
+generation_inputs prompt_render deterministic_rules judge_parse evaluation_summary evaluation_totals review_queue calibration seeded_sample edge_samples review_sample preview_pages full_text authoring_catalog embedding_signatures marker_positions table_detections""".split()
 
 QUERIES = {
     **{n: globals()[n] for n in _NAMES},

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; set a folder of our own only where none is configured."""
+    """Use the cluster's shared spark.checkpoint.dir; a folder of our own only in local mode, an error on a cluster that names none."""
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        if path is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
+            atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -35,6 +35,11 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def read_pages(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """Pages of one or several JSON-lines files, in the order of source and page, which sorts by ranges."""
+    return read_jsonl(spark, path, schema).orderBy("source_id", "pdf_page_number")
+
+
 def latest_per_key(df: DataFrame, key: str, order: str, reject: bool = False) -> DataFrame:
     """One row per key, that of the greatest ``order``; with ``reject`` a repeated key is an error instead."""
     if reject:
@@ -44,11 +49,12 @@ def latest_per_key(df: DataFrame, key: str, order: str, reject: bool = False) ->
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with header; nulls are empty cells; an empty table is refused."""
+    """CSV with header and byte order mark; nulls are empty cells; an empty table is refused."""
     if df.isEmpty():
         raise ValueError("nothing to write")
     plain = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in df.columns]
-    df.select(plain).write.mode(mode).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    # The header is written first in every part, so the mark stands in front of its first name.
+    df.select(plain).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode(mode).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -270,8 +270,11 @@ def test_judgements(spark):
 def test_judge_retries_once(spark):
     ok = '{"query_id":"q","relevance_score":2,"groundedness_score":0,"completeness_score":2,"unsupported_claim":false,"unsupported_claim_severity":"none","unanswerable_behavior":"pass","overall_verdict":"pass","reason":"r"}'
     cases = spark.createDataFrame([("q", "prompt")], "query_id string, judge_prompt string")
-    r = generation.judge(cases, lambda p: ok if p.endswith("JSON.") else "no json").first()
-    assert r.judge_status == "success" and r.judge_result.overall_verdict == "fail"
+    for first in ("no json", ok.replace('"groundedness_score":0', '"groundedness_score":3'), ok.replace(',"reason":"r"', ""), ok.replace('"pass","reason"', '"maybe","reason"'), "[]"):
+        r = generation.judge(cases, lambda p, first=first: ok if p.endswith("fields.") else first).first()
+        assert r.judge_status == "success" and r.judge_result.overall_verdict == "fail", first
+    r = generation.judge(cases, lambda p: ok.replace('"relevance_score":2', '"relevance_score":9')).first()
+    assert (r.judge_status, r.judge_error) == ("error", "invalid_relevance_score")
 
     def down(p):
         raise RuntimeError("http")
@@ -287,10 +290,10 @@ def test_evaluation_over_all_runs(spark, tmp_path):
     df = spark.createDataFrame(rows, "run_id string, query_id string, answer string").withColumns({"query": F.lit("Q?"), "answerability": F.lit("answerable"), "top_k": F.lit(1), "generation_status": F.lit("success")})
     df = df.withColumn("evidence", F.array(F.struct(F.lit(1).alias("rank"))))
     df.write.parquet(f"{tmp_path}/generation_run.parquet")
-    got = {n: e.queries()[n](spark, str(tmp_path)).collect() for n in ("evaluation_summary_runs", "evaluation_totals_runs", "review_queue_runs")}
-    assert sorted((r.run_id, r.query_id, r.deterministic_pass) for r in got["evaluation_summary_runs"]) == [("r1", "q1", 1), ("r2", "q1", 0), ("r2", "q2", 1)]
-    assert [(r.answers, r.deterministic_pass) for r in got["evaluation_totals_runs"]] == [(3, 2)]
-    queue = {(r.run_id, r.query_id): r.review_reason for r in got["review_queue_runs"]}
+    got = {n: e.queries()[n](spark, str(tmp_path)).collect() for n in ("evaluation_summary", "evaluation_totals", "review_queue")}
+    assert sorted((r.run_id, r.query_id, r.deterministic_pass) for r in got["evaluation_summary"]) == [("r1", "q1", 1), ("r2", "q1", 0), ("r2", "q2", 1)]
+    assert [(r.answers, r.deterministic_pass) for r in got["evaluation_totals"]] == [(3, 2)]
+    queue = {(r.run_id, r.query_id): r.review_reason for r in got["review_queue"]}
     assert queue[("r2", "q1")].startswith("deterministic_fail") and "deterministic_fail" not in queue.get(("r1", "q1"), "")
     # The operators themselves: judgements of one run must not reach another's answers.
     cases = df.where("query_id = 'q1'").select("run_id", "query_id", F.col("run_id").alias("judge_prompt"))
@@ -298,6 +301,8 @@ def test_evaluation_over_all_runs(spark, tmp_path):
     summary = generation.evaluation_summary(generation.deterministic_rules(df.where("query_id = 'q1'")), judged)
     assert sorted((r.run_id, r.judge_status, r.manual_review) for r in summary.collect()) == [("r1", "success", 0), ("r2", "error", 1)]
     assert [r.run_id for r in generation.review_queue(summary, df, judged).collect()] == ["r2"]
+    with pytest.raises(ValueError, match="different keys"):
+        generation.evaluation_summary(generation.deterministic_rules(df), judged)
 
 
 def test_sampling(spark):
@@ -405,3 +410,56 @@ def test_freeze_gate(spark):
             quality.freeze_gate(spark.createDataFrame([tuple(row.values())], b), corp, {})
     with pytest.raises(ValueError):
         quality.freeze_gate(spark.createDataFrame([good], b), corp, {"multi_chunk": 2})
+
+
+def test_helpers_without_queries(spark, tmp_path):
+    b = spark.createDataFrame([("q1", "pilot", "verified"), ("q2", "expansion", "verified"), ("q3", "pilot", "draft"), ("q4", None, None)], "query_id string, phase string, review_status string")
+    assert [r.query_id for r in filters.verified_questions(b).orderBy("query_id").collect()] == ["q1", "q2"]
+    assert [r.query_id for r in filters.verified_questions(b, "pilot").collect()] == ["q1"]
+    assert [r.query_id for r in filters.limit_rows(b, "query_id", limit=2).collect()] == ["q1", "q2"] and filters.limit_rows(b, "query_id", only="q3").count() == 1
+    done = f"{tmp_path}/done"
+    io.append_done(b.where("query_id = 'q1'"), done)
+    io.append_done(b.where("query_id = 'q2'"), done)
+    assert sorted(r.query_id for r in io.resume(b, spark.read.parquet(done), "query_id").collect()) == ["q3", "q4"]
+    generation.require_same_keys(b, b.union(b))
+    with pytest.raises(ValueError):
+        generation.require_same_keys(b, b.where("query_id <> 'q4'"))
+
+
+def test_csv_with_mark_and_ordered_pages(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, "x,\"y\"")], "k string, n int, t string")
+    io.write_csv(df.coalesce(1), f"{tmp_path}/c")
+    part = next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part-"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfk,n,t")
+    assert [tuple(r) for r in io.read_csv(spark, f"{tmp_path}/c", "k string, n int, t string").orderBy("k").collect()] == [("a", 1, ""), ("b", 2, 'x,"y"')]
+    with pytest.raises(ValueError, match="nothing to write"):
+        io.write_csv(df.where("false"), f"{tmp_path}/d")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/1.jsonl").write_text('{"source_id":"s","pdf_page_number":2}\n\n{"source_id":"a","pdf_page_number":9}\n')
+    (tmp_path / "p/2.jsonl").write_text('{"source_id":"s","pdf_page_number":1}\n')
+    got = io.read_pages(spark, f"{tmp_path}/p/*.jsonl", "source_id string, pdf_page_number int").collect()
+    assert [tuple(r) for r in got] == [("a", 9), ("s", 1), ("s", 2)]
+    (tmp_path / "p/3.jsonl").write_text("{broken\n")
+    with pytest.raises(Exception, match="FAILFAST|Malformed"):
+        io.read_jsonl(spark, f"{tmp_path}/p/3.jsonl", "source_id string").collect()
+
+
+def test_page_rules_and_registry(spark):
+    pages = spark.createDataFrame([("s", 1, "head A body B tail"), ("s", 2, "x"), ("s", 3, None)], "source_id string, pdf_page_number int, text string")
+    rules = spark.createDataFrame([("s", 1, 2, "trim_after", "B"), ("s", 1, 1, " Trim_Before ", "A"), ("s", 2, 1, "trim_after", "none")], "source_id string, pdf_page_number int, rule_order int, action string, marker string")
+    assert [r.text for r in chunking.apply_page_rules(pages, rules).orderBy("pdf_page_number").collect()] == ["A body", "x", None]
+    with pytest.raises(Exception, match="unknown cleanup action"):
+        chunking.apply_page_rules(pages, rules.withColumn("action", F.lit("cut"))).collect()
+    registry = spark.createDataFrame([("s", "ZH_cn")], "source_id string, language string")
+    assert [r.language for r in chunking.prepare_pages(pages, registry).collect()] == ["ZH_cn"] * 3
+    with pytest.raises(Exception, match="not in the registry"):
+        chunking.prepare_pages(pages, registry.where("false")).collect()
+
+
+def test_pages_in_blocks_follow_each_other(spark, monkeypatch):
+    pages = spark.createDataFrame([("s", "zh", p, f"句{p}没有完" if p % 5 else f"第{p}句。\n\n一、题{p}") for p in range(1, 41) if p != 17], "source_id string, language string, pdf_page_number int, text string")
+    whole = [tuple(r) for r in chunking.section_chunks(pages, 60, 10).orderBy("chunk_id").collect()]
+    parts = [tuple(r) for r in chunking.boundary_chunks(pages, 60, 20, 10).orderBy("chunk_id").collect()]
+    monkeypatch.setattr(chunking, "PAGES_PER_BLOCK", 3)
+    assert [tuple(r) for r in chunking.section_chunks(pages, 60, 10).orderBy("chunk_id").collect()] == whole
+    assert [tuple(r) for r in chunking.boundary_chunks(pages, 60, 20, 10).orderBy("chunk_id").collect()] == parts
