@@ -54,7 +54,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         raise ValueError("nothing to write")
     plain = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in df.columns]
     # The header is written first in every part, so the mark stands in front of its first name.
-    df.select(plain).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode(mode).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    df.select(plain).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode(mode).option("header", True).option("escape", "\"").option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
