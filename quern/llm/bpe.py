@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 import sys
 import unicodedata
@@ -25,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -186,6 +188,13 @@ def encoder(path: str, pattern: str) -> PrefixEncoder:
     return PrefixEncoder(path, pattern)
 
 
+def ship(df: DataFrame, vocabulary: str | None) -> str:
+    """Sends the vocabulary file, which only the driver needs to have, to all workers; its name there."""
+    path = vocabulary or default_tokenizer_path("byte_bpe_50k.tiktoken")
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each row's text, without special tokens.
 
@@ -194,11 +203,10 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
     table gives an empty result; columns other than the two named are not read.
     One pass without a shuffle.
     """
-    path = vocabulary or default_tokenizer_path("byte_bpe_50k.tiktoken")
-    pattern = pattern_source()
+    name, pattern = ship(df, vocabulary), pattern_source()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(SparkFiles.get(name), pattern)
         for b in batches:
             texts = b.column(1).to_pylist()
             flat: list[int] = []
@@ -216,11 +224,10 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
 
 def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
     """(id, n_tokens): as encode_texts, but only the number of ids; 0 for null and empty texts."""
-    path = vocabulary or default_tokenizer_path("byte_bpe_50k.tiktoken")
-    pattern = pattern_source()
+    name, pattern = ship(df, vocabulary), pattern_source()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(SparkFiles.get(name), pattern)
         for b in batches:
             n = [sum(map(len, enc.encode(t))) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
