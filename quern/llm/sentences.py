@@ -92,11 +92,7 @@ def _step(state: int, kind: int, follow: int, lead: bool, content: bool) -> tupl
     return (FRESH, True) if ends else (state, False)
 
 
-def _symbol(kind: int, follow: int, lead: bool, content: bool) -> int:
-    return ((kind * len(FOLLOWS) + follow) * 2 + lead) * 2 + content
-
-
-#: The compiled transducer: by symbol and state the next state, and the same number negative and less one where a sentence ends.
+#: The compiled transducer: by symbol, which is ((kind * 6 + follow) * 2 + lead) * 2 + content, and state the next state, and the same number negative and less one where a sentence ends.
 TABLE = [[-1 - to if ends else to for to, ends in (_step(s, k, f, lead, content) for s in STATES)] for k in KINDS for f in FOLLOWS for lead in (False, True) for content in (False, True)]
 
 
@@ -187,7 +183,9 @@ def _symbols(text: str, a: int, b: int, thai: bool, later: list[int]) -> tuple[l
 
     def put(kind: int, at: int, follow: int, lead: bool = False, upto: int | None = None) -> None:
         nonlocal done
-        symbols.append(_symbol(kind, follow, lead, _content(text, done, at if upto is None else upto)))
+        # Only these symbols ask what lies before them.
+        content = (kind == OPEN or kind >= THAI_BLANK) and _content(text, done, at if upto is None else upto)
+        symbols.append(((kind * 6 + follow) * 2 + lead) * 2 + content)
         places.append(at)
         done = at
 
