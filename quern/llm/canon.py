@@ -176,7 +176,8 @@ def same_look(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     rows = canonical_texts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "look")
     rows = rows.where(F.col("id").isNotNull() & (F.trim(F.col("look")) != ""))
-    rows = rows.select("id", F.sha2("text", 256).alias("form"), F.sha2("look", 256).alias("look")).distinct()
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    rows = rows.select("id", digest("text").alias("form"), digest("look").alias("look")).distinct()
     looks = rows.groupBy("look").agg(F.min("form").alias("f"), F.max("form").alias("t"), F.count("*").alias("n")).where("f <> t")
     return rows.join(looks.select("look", F.ceil(F.col("n") / LOOK_PART).cast("int").alias("parts")), "look")
 
