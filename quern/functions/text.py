@@ -7,7 +7,6 @@ gives null unless a function says otherwise.
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -164,31 +163,10 @@ def citation_only(c) -> Column:
     return F.length(F.regexp_replace(text, rf"[^A-Za-z0-9{CJK_BLOCKS}]+", "")) < 4
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; the JVM side has no function for it."""
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
-
-
 # Fixed value: what a search token is.
 TOKEN = r"[\x{4e00}-\x{9fff}]+|[a-z0-9]+(?:[._/-][a-z0-9]+)*"
 
 
-def tokens(c, normalize: bool = True) -> Column:
-    """Search tokens: of each run of ideographs all single ones, then all pairs; words with inner . _ / or -."""
-    text = F.lower(nfkc(col(c)) if normalize else col(c))
-    runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-    def expand(run: Column) -> Column:
-        n = F.length(run)
-        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(run, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
-        ideo = run.rlike(r"^[\x{4e00}-\x{9fff}]")
-        return F.when(ideo & (n > 1), F.concat(single, pairs)).when(ideo, single).otherwise(F.array(run))
-
-    return F.flatten(F.transform(runs, expand))
-
-
 def raw_hash(c) -> Column:
     return F.sha2(col(c), 256)
 

@@ -171,7 +171,7 @@ SELECT query_id, x AS bm25_rank, y AS dense_rank, w AS rrf_rank, concat_ws('|',
   list_filter(list_transform(regexp_extract_all(text, '(?s).+?(?:[。！？；!?;]+|$)'), lambda s: {strip('s')}), lambda s: s <> '') AS b FROM {GOLD} WHERE text IS NOT NULL)
 SELECT chunk_id, CAST(len(a) AS INTEGER) AS spaced, CAST(len(b) AS INTEGER) AS strong, CAST(coalesce(list_max(list_transform(b, lambda s: length(s))), 0) AS INTEGER) AS longest FROM x""",
     "text_fields": f"SELECT chunk_id, {_DENSE_TEXT} AS dense_text, concat_ws(chr(10), '主题：膝', '章节：' || nullif(array_to_string(title_path, ' > '), ''), CASE WHEN {_SOME('text')} IS NOT NULL THEN text END) AS retrieval_text, coalesce({_CITE}, true) AS citation_only FROM {GOLD}",
-    "extractability_audit": f"""WITH g AS (SELECT source_id, count(*) AS pages, count(CASE WHEN length(coalesce(text, '')) >= 20 THEN 1 END) AS nonempty_pages, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, round_even(avg(length(coalesce(text, ''))), 1) AS mean_chars FROM {PAGES} GROUP BY source_id)
+    "extractability_audit": f"""WITH g AS (SELECT source_id, count(*) AS pages, count(CASE WHEN length({strip("coalesce(text, '')")}) >= 20 THEN 1 END) AS nonempty_pages, CAST(sum(length({strip("coalesce(text, '')")})) AS BIGINT) AS chars, round_even(avg(length({strip("coalesce(text, '')")})), 1) AS mean_chars FROM {PAGES} GROUP BY source_id)
 SELECT *, CASE WHEN chars < 500 OR nonempty_pages / pages < 0.3 THEN 'ocr_required' WHEN chars / pages < 200 OR nonempty_pages / pages < 0.7 THEN 'partial' ELSE 'ok' END AS status FROM g""",
     "page_policy_status": f"""WITH p AS (SELECT *, CASE WHEN removed_margin_block_count = 0 THEN 'exclude' WHEN pdf_page_number % 10 = 9 THEN 'exclude_pending' ELSE 'include' END AS cp FROM {PAGES}),
 r AS (SELECT *, cp = 'include' AND coalesce(len(list_filter(string_split(text, chr(10)), lambda s: {HEADING.replace('{c}', 's')} = '鉴别诊断')) > 0, false) AS ref FROM p),

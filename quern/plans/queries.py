@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -181,9 +181,7 @@ def context_selection(spark, d):
 
 
 def extractability_audit(spark, d):
-    p = _pages(spark, d).select("source_id", "page_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    g = p.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(F.col("n") >= 20).alias("nonempty_pages"), F.sum("n").alias("chars"), F.bround(F.avg("n"), 1).alias("mean_chars"))
-    return g.withColumn("status", X.extractability("pages", "nonempty_pages", "chars"))
+    return quality.extractability_audit(_pages(spark, d))
 
 
 def _lines_as_blocks(pages):
