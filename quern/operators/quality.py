@@ -49,6 +49,13 @@ def duplicates(df: DataFrame, key: Column, id_col: str, name: str = "key") -> Da
     return g.groupBy(name).agg(F.count("*").alias("copies"), F.min("_i").alias("first_id")).where("copies > 1")
 
 
+def extractability_audit(pages: DataFrame, least: int = 20) -> DataFrame:
+    """Per source: pages, those with at least ``least`` characters of text without white space at the ends, all characters, their mean a page, and whether its text can be extracted; null texts are empty."""
+    p = pages.select("source_id", F.length(strip(F.coalesce("text", F.lit("")))).alias("n"))
+    g = p.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(F.col("n") >= least).alias("nonempty_pages"), F.sum("n").alias("chars"), F.bround(F.avg("n"), 1).alias("mean_chars"))
+    return g.withColumn("status", X.extractability("pages", "nonempty_pages", "chars"))
+
+
 def validate_boundaries(boundaries: DataFrame, pages: DataFrame) -> DataFrame:
     """Body and reference boundaries against the pages they name."""
     n = pages.groupBy("source_id").agg(F.max("pdf_page_number").alias("_n"))

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import chunking, corpus, filters, generation, layout, quality, retrieval, sampling
-from quern.sources import io
+from quern.sources import config, io
 
 
 @pytest.mark.parametrize("block", [2048, 2])
@@ -463,3 +464,27 @@ def test_pages_in_blocks_follow_each_other(spark, monkeypatch):
     monkeypatch.setattr(chunking, "PAGES_PER_BLOCK", 3)
     assert [tuple(r) for r in chunking.section_chunks(pages, 60, 10).orderBy("chunk_id").collect()] == whole
     assert [tuple(r) for r in chunking.boundary_chunks(pages, 60, 20, 10).orderBy("chunk_id").collect()] == parts
+
+
+def test_build_settings(spark):
+    base = {"corpus_version": "v", "included_sources": ["s"], "target_chars": 10, "max_chars": 20, "min_chars": 5, "review_sample_size": 3, "random_seed": 1, "other": 0}
+    c = config.CorpusConfig.from_json(json.dumps(base))
+    assert (c.included_sources, c.sentence_overflow_chars, c.recommendation_context_max_chars) == (("s",), 300, 420)
+    for bad in ({"included_sources": []}, {"min_chars": 11}, {"max_chars": 9}, {"sentence_overflow_chars": -1}, {"recommendation_context_max_chars": 119}):
+        with pytest.raises(ValueError, match="out of bounds"):
+            config.CorpusConfig.from_json(json.dumps(base | bad))
+    with pytest.raises(ValueError, match="missing"):
+        config.CorpusConfig.from_json("{}")
+    public = {"recommendation_context_overrides": {"a": "public", "b": "kept"}, "required_recommendation_context_override_ids": ["a", "c"], "node_cleanup_rules": {"n": [{"operation": "replace", "old": "x", "new": "y"}, {"operation": "trim_after", "marker": "END", "required": False}]}}
+    private = {"recommendation_context_overrides": {"a": "private", "c": "new"}}
+    got = config.CleanupConfig.from_json(json.dumps(public), json.dumps(private))
+    assert {r.node_id: r.context for r in got.overrides(spark).collect()} == {"a": "private", "b": "kept", "c": "new"}
+    for over in (None, json.dumps({"recommendation_context_overrides": {"c": " "}})):
+        with pytest.raises(ValueError, match="required context overrides"):
+            config.CleanupConfig.from_json(json.dumps(public), over)
+    with pytest.raises(ValueError, match="unknown cleanup operations"):
+        config.CleanupConfig.from_json('{"node_cleanup_rules": {"n": [{"operation": "drop"}]}}')
+    bodies = spark.createDataFrame([("n", "a x  x END b"), ("m", "x")], "node_id string, t string")
+    assert {r.node_id: r.t for r in corpus.clean_bodies(bodies, "t", got.rules(spark)).collect()} == {"n": "a y y", "m": "x"}
+    with pytest.raises(Exception, match="required rule did not apply"):
+        corpus.clean_bodies(bodies.withColumn("t", F.lit("none")), "t", got.rules(spark)).collect()
