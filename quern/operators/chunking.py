@@ -108,12 +108,14 @@ def page_units(pages: DataFrame, stop_headings: tuple[str, ...] = (), clean: Cal
     ``follows`` says that the page before is there too, be it empty; ``clean`` maps a
     paragraph and its source to what is left of it.
     """
-    x = pages.select("source_id", "language", F.col("pdf_page_number").alias("page"), X.paragraphs("text").alias("p"))
-    there = x.select("source_id", (F.col("page") + 1).alias("page")).distinct().withColumn("follows", F.lit(True))
-    x = x.join(there, ["source_id", "page"], "left").withColumn("follows", F.coalesce("follows", F.lit(False)))
+    found = X.paragraphs("text")
     if stop_headings:
-        stop = F.array_position(F.transform("p", lambda t: F.coalesce(is_reference_heading(t, list(stop_headings)), F.lit(False))), True)
-        x = x.withColumn("p", F.when(stop > 0, F.slice("p", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("p")))
+        stop = lambda p: F.array_position(F.transform(p, lambda t: F.coalesce(is_reference_heading(t, list(stop_headings)), F.lit(False))), True).cast("int")
+        # As an element of an array the paragraphs have a name, so they are found once and not once for every use.
+        found = F.transform(F.array(found), lambda p: F.transform(F.array(stop(p)), lambda k: F.when(k > 0, F.slice(p, F.lit(1), k - 1)).otherwise(p))[0])[0]
+    x = pages.select("source_id", "language", F.col("pdf_page_number").alias("page"), "text")
+    there = x.select("source_id", (F.col("page") + 1).alias("page")).distinct().withColumn("follows", F.lit(True))
+    x = x.join(there, ["source_id", "page"], "left").select("source_id", "language", "page", F.coalesce("follows", F.lit(False)).alias("follows"), found.alias("p"))
     x = x.select("source_id", "language", "page", "follows", F.posexplode("p").alias("seq", "text")).withColumn("text", X.normalize_paragraph("text"))
     x = x.withColumn("text", clean(F.col("text"), F.col("source_id"))) if clean else x
     return x.where("text <> ''").select("source_id", "language", "page", "seq", "text", "follows")
@@ -184,10 +186,8 @@ def fragment_merge(units: DataFrame) -> DataFrame:
 
 def carry_sections(units: DataFrame) -> DataFrame:
     """Islands with their section's number, from 1, and its heading; a unit that starts a section, or a source, begins one."""
-    x = with_previous(cut(units), "page_start", ["page_start", "island"], ["island"])
-    begins = F.col("prev").isNull() | starts_section("text")
-    x = with_running_sum(x.withColumn("begins", begins), "page_start", ["page_start", "island"], begins, "section_no").drop("prev")
-    x = cut(x)
+    begins = (F.col("island") == 1) | starts_section("text")
+    x = cut(with_running_sum(cut(units.withColumn("begins", begins)), "page_start", ["page_start", "island"], F.col("begins"), "section_no"))
     heads = x.where("begins").select("source_id", "section_no", F.when(starts_section("text"), section_heading("text")).otherwise("").alias("heading"))
     return x.drop("begins").join(heads, ["source_id", "section_no"])
 

@@ -125,7 +125,7 @@ def section_chunks(nodes: DataFrame, segments: DataFrame, version: str, target=1
     x = n.join(segments, ["source_id", "node_id"], "left")
     x = x.withColumn("_body", X.strip_own_heading(F.coalesce("segment_text", F.lit("")), "marker_text", "display_title", "content_anchor" if "content_anchor" in nodes.columns else None))
     x = clean_bodies(x, "_body", cleanup)
-    x = x.withColumn("_skip", (F.col("_body") == "") | X.citation_only("_body"))
+    x = cut(x.withColumn("_skip", (F.col("_body") == "") | X.citation_only("_body")))  # chunks and diagnostics
     sizes = [F.lit(v) for v in (target, limit, least, overflow)]
     parts = x.where("NOT _skip").select("*", F.posexplode(pack("_body", *sizes)).alias("part_no", "text"))
     parts = parts.withColumn("chunk_id", F.format_string("%s-SEC-%03d-C%02d", "source_id", "node_order", F.col("part_no") + 1)).withColumn("context_repeated", F.col("part_no") > 0)

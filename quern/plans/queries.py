@@ -94,10 +94,11 @@ def dense_topk(spark, d):
 
 
 def _both_runs(spark, d):
-    """The lexical and the dense run over the questions that both answer; the lexical one, which is used twice, is written."""
+    """The lexical and the dense run over the questions that both answer; both are used twice and written."""
     dense = _dense_run(spark, d)
+    dense = cut(dense.join(_questions(spark, d).select("query_id").distinct(), "query_id", "left_semi"))
     bm25 = cut(_run(_bm25(spark, d, False)).join(dense.select("query_id").distinct(), "query_id", "left_semi"))
-    return bm25, dense.join(bm25.select("query_id").distinct(), "query_id", "left_semi")
+    return bm25, dense
 
 
 def rrf_fusion(spark, d):
@@ -202,7 +203,7 @@ def page_policy_status(spark, d):
 
 
 def _prepared(spark, d, blocks: bool):
-    pages = _pages(spark, d)
+    pages = cut(_pages(spark, d))  # met several times
     return chunking.prepare_pages(_lines_as_blocks(pages) if blocks else pages, table(spark, d, "source_registry"), _policy(pages), tuple(STOP_HEADINGS))
 
 
@@ -297,14 +298,14 @@ def node_slice_lead(spark, d):
 
 def corpus_build(spark, d):
     """The corpus from structure map, pages and tables, by the first configuration; sources with an even number are chunked by question."""
-    pages = _pages(spark, d)
+    pages = cut(_pages(spark, d))
     nodes = _located(spark, d, pages)
     size = table(spark, d, "chunk_config").orderBy("corpus_version").first()
     rule = lambda op, start, to: F.struct(F.lit(op).alias("operation"), F.lit(start).alias("start"), F.lit(None).cast("string").alias("end"), F.lit(to).alias("replacement"), F.lit(0).alias("count"), F.lit(False).alias("keep_start"), F.lit(False).alias("keep_end"), F.lit(False).alias("include_marker"), F.lit(False).alias("required"), F.lit(op).alias("rule_id"))
     cleanup = nodes.where("node_order % 3 = 0").select("node_id", F.array(rule("replace", "推荐", "建议"), rule("regex_replace", "[（(][^（）()]{0,20}[）)]", "")).alias("rules"))
     evidence = _gold(spark, d).where("content_type = 'manual_table_chunk' AND text IS NOT NULL").groupBy(F.col("chunk_id").alias("record_id")).agg(*[F.min(c).alias(a) for c, a in (("source_id", "source_id"), ("node_id", "node_id"), ("pdf_page_start", "pdf_page"), ("table_id", "table_id"), ("display_title", "display_title"), ("text", "text"), ("review_status", "review_status"))]).withColumn("include_status", F.lit("included"))
     chunks, _ = corpus.build_corpus(nodes, pages, _ends(pages), evidence, "built", size.target_chars, size.max_chars, size.min_chars, size.sentence_overflow_chars, 120, F.col("source_id").rlike("[02468]$"), cleanup, strict=False)
-    return corpus.corpus_order(chunks).select(
+    return chunks.select(
         "chunk_id", "source_id", "source_order", "node_id", "content_type", "display_title", F.array_join("title_path", " > ").alias("title_path"), "pdf_page_start", "pdf_page_end", "cross_page", "extraction_mode", "review_status", "build_method",
         "question_node_id", F.array_join("recommendation_node_ids", "|").alias("recommendation_node_ids"), "table_id", "context_repeated", "text", F.md5("retrieval_text").alias("retrieval_md5"), "char_count", "text_sha256", "corpus_version")
 
