@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import chunking, corpus, filters, generation, layout, quality, retrieval, sampling
+from quern.plans import queries as core
 from quern.sources import config, io
 
 
@@ -40,6 +41,43 @@ def test_bm25_against_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+def test_bm25_scores_of_all_pairs_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "DOCUMENTS_PER_BLOCK", block)
+    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", block)
+    monkeypatch.setattr(retrieval, "ROWS_PER_BATCH", 3)
+    docs = [("d1", "a b"), ("d2", "a a c"), ("d2", "b"), ("d3", ""), ("d4", None), (None, "a e"), ("d5", "e"), ("d6", "f")]
+    queries = [("q1", "a b"), ("q2", "c c z"), ("q3", "z"), ("q4", "a"), ("q4", "a e"), ("q5", None), (None, "a")]
+    bags = [(i, Counter((t or "").split())) for i, t in docs]
+    df, mean = Counter(t for _, c in bags for t in c), sum(c.total() for _, c in bags) / len(bags)
+    asked = {}
+    for q, t in queries:
+        asked.setdefault(q, Counter()).update((t or "").split())
+    want = {}
+    for q, terms in asked.items():
+        for i, c in bags:
+            for t in terms.keys() & c.keys() if q and i else ():
+                score, n = want.get((q, i), (0, 0))
+                want[q, i] = (score + terms[t] * math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean)), n + 1)
+    dd, qq = spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame(queries, "query_id string, query string")
+    for expected in (None, 1, 1000):
+        got = retrieval.bm25_scores(dd, "id", F.col("text"), qq, "query_id", "query", expected=expected).collect()
+        assert len(got) == len(want) and {(r.query_id, r.id): (round(r.score, 9), r.terms) for r in got} == {k: (round(s, 9), n) for k, (s, n) in want.items()}
+    assert retrieval.bm25_scores(dd.where("false"), "id", F.col("text"), qq, "query_id", "query").count() == 0
+    assert retrieval.bm25_scores(dd, "id", F.col("text"), qq.where("false"), "query_id", "query").count() == 0
+
+
+def test_bm25_term_join_sends_no_table_to_the_driver(spark, tmp_path):
+    """Spark guesses postings to be smaller than their texts; under its own threshold it broadcast them all."""
+    d = str(tmp_path)
+    spark.createDataFrame([(f"c{i}", ["t"], f"title {i}", f"word{i} shared") for i in range(50)], "chunk_id string, title_path array<string>, display_title string, text string").write.parquet(f"{d}/gold_corpus.parquet")
+    spark.createDataFrame([(f"q{i}", "shared word7") for i in range(0, 60, 10)], "query_id string, query string").write.parquet(f"{d}/retrieval_eval.parquet")
+    df = core.bm25_term_join(spark, d)
+    assert len(rows := df.collect()) == 150 and {r.terms for r in rows if r.chunk_id == "c7"} == {2}
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_dense_blocks_agree(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(40, [0.0] * 4), (41, None)]
